@@ -105,18 +105,21 @@ def binarize(df: DataFrame, column: str, threshold: float, out: str) -> DataFram
     return df.withColumn(out, (F.col(column) >= threshold).cast("int"))
 
 
-def derived_features(df: DataFrame) -> DataFrame:
-    """Engineered columns, each only when its inputs exist."""
+# fixed values: the engineered track features (inputs, expression)
+TRACK_FEATURES = {
+    "duration_min": (("duration_ms",), lambda: F.col("duration_ms") / 60000.0),
+    "beats_in_track": (("tempo", "duration_ms"), lambda: F.col("tempo") * (F.col("duration_ms") / 60000.0)),
+    "energy_x_danceability": (("energy", "danceability"), lambda: F.col("energy") * F.col("danceability")),
+    "loudness_abs": (("loudness",), lambda: F.abs(F.col("loudness"))),
+}
+
+
+def derived_features(df: DataFrame, spec: dict | None = None) -> DataFrame:
+    """Add engineered columns, each only when all its inputs exist.
+    ``spec`` maps name -> (input columns, function returning the expression)."""
+    spec = TRACK_FEATURES if spec is None else spec
     cols = set(df.columns)
-    new = {}
-    if "duration_ms" in cols:
-        new["duration_min"] = F.col("duration_ms") / 60000.0
-        if "tempo" in cols:
-            new["beats_in_track"] = F.col("tempo") * (F.col("duration_ms") / 60000.0)
-    if {"energy", "danceability"} <= cols:
-        new["energy_x_danceability"] = F.col("energy") * F.col("danceability")
-    if "loudness" in cols:
-        new["loudness_abs"] = F.abs("loudness")
+    new = {name: make() for name, (inputs, make) in spec.items() if set(inputs) <= cols}
     return df.withColumns(new) if new else df
 
 
