@@ -153,8 +153,8 @@ def one_hot(df: DataFrame, column: str, levels=None, prefix: str | None = None,
 
 def sparse_one_hot(fit: DataFrame, df: DataFrame, column: str, out: str = "ohe") -> DataFrame:
     """Vector one-hot fitted on ``fit``; unknown levels map to the zero vector
-    (M6): StringIndexer(keep) gives them the extra last index, which the
-    encoder's dropLast removes."""
+    (M6): StringIndexer(keep) gives them an extra last index, which the
+    encoder's dropLast removes, so every seen level keeps a slot."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     idx = StringIndexer(inputCol=column, outputCol=f"{out}_idx", handleInvalid="keep",
