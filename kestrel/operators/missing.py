@@ -41,9 +41,10 @@ def smallest_k_cutoff(df: DataFrame, hash_col: str, tie_col: str, k_of_n, by=Non
     wr = Window.partitionBy(*by).orderBy(hash_col, tie_col)
     cut = (edge.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need"))
                .select(*by, F.col(hash_col).alias("cut_hash"), F.col(tie_col).alias("cut_tie")))
-    # groups whose k is out of range: everything (k >= n) or nothing (k <= 0)
+    # groups whose k is out of range: everything (k > n) or nothing (k <= 0);
+    # k == n has a regular cutoff (the last row) from ``bound``
     ends = (counts.groupBy(*by).agg(F.max("_n").alias("_n"), F.max("_k").alias("_k"))
-                  .where((F.col("_k") >= F.col("_n")) | (F.col("_k") <= 0))
+                  .where((F.col("_k") > F.col("_n")) | (F.col("_k") <= 0))
                   .select(*by, F.when(F.col("_k") <= 0, F.lit(-1)).otherwise(F.lit(1 << 40)).alias("cut_hash"),
                           F.lit(None).cast(d.schema[tie_col].dataType).alias("cut_tie")))
     return cut.unionByName(ends)

@@ -131,16 +131,16 @@ def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
 def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """F, p, eta² (T6, T7) from per-group (n, mean, var) — one aggregate."""
     g = group_moments(df, value, group).fillna({"var": 0.0})
-    tot = g.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
-                (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
-    j = g.join(F.broadcast(tot), how="cross")  # tot is one row
-    s = j.agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ssb"),
-              F.sum((F.col("n") - 1) * F.col("var")).alias("ssw"),
-              F.first("N").alias("N"), F.first("k").alias("k"))
-    f = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("N") - F.col("k")))
-    out = s.select(f.alias("F"), (F.col("k") - 1).cast("double").alias("df_between"),
-                   (F.col("N") - F.col("k")).cast("double").alias("df_within"),
-                   (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta2"), "N", "k")
+    tot = g.agg(F.sum("n").alias("nn"), F.count(F.lit(1)).alias("k"),
+                (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")).collect()[0]  # one row
+    nn, k, grand = tot["nn"] or 0, tot["k"], tot["grand"]
+    s = g.agg(F.sum(F.col("n") * (F.col("mean") - F.lit(grand)) ** 2).alias("ssb"),
+              F.sum((F.col("n") - 1) * F.col("var")).alias("ssw"))
+    f = (F.col("ssb") / (k - 1)) / (F.col("ssw") / (nn - k))
+    out = s.select(f.alias("F"), F.lit(float(k - 1)).alias("df_between"),
+                   F.lit(float(nn - k)).alias("df_within"),
+                   (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta2"),
+                   F.lit(nn).cast("bigint").alias("N"), F.lit(k).cast("bigint").alias("k"))
     return out.withColumn("p_value", dist.f_sf_udf("F", "df_between", "df_within"))
 
 
@@ -189,14 +189,15 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     ties = rh.agg(F.sum(F.col("n") ** 3 - F.col("n")).alias("tie"), F.sum("n").alias("N"))
     rs = (gh.join(rh.select(value, "rank"), value)
             .groupBy(group).agg(F.sum(F.col("n") * F.col("rank")).alias("R"), F.sum("n").alias("ng")))
+    tr = ties.collect()[0]  # one row
+    tie, nn = tr["tie"] or 0.0, tr["N"] or 0.0
     s = rs.agg(F.sum(F.col("R") ** 2 / F.col("ng")).alias("s"), F.count(F.lit(1)).alias("k"))
-    j = s.join(ties, how="cross")  # both one row
-    N = F.col("N")
+    N = F.lit(float(nn))
     h0 = F.lit(12.0) / (N * (N + 1)) * F.col("s") - 3 * (N + 1)
-    c = F.lit(1.0) - F.col("tie") / (N ** 3 - N)
+    c = F.lit(1.0) - F.lit(tie) / (N ** 3 - N)
     h = h0 / c
     eps = F.when((N <= F.col("k")) | (N <= 1), F.lit(None)).otherwise((h - F.col("k") + 1) / (N - F.col("k")))
-    out = j.select(h.alias("H"), (F.col("k") - 1).cast("double").alias("dof"), N.cast("bigint").alias("N"),
+    out = s.select(h.alias("H"), (F.col("k") - 1).cast("double").alias("dof"), N.cast("bigint").alias("N"),
                    F.col("k").cast("bigint").alias("k"), eps.alias("epsilon2"))
     return out.withColumn("p_value", dist.chi2_sf_udf("H", "dof"))
 
