@@ -1,0 +1,6 @@
+"""No streaming operators: the reference only reads whole files.
+
+Every batch operator in :mod:`kestrel.operators` works on a static frame; a
+Structured Streaming job can call them from ``foreachBatch`` on each
+micro-batch when incremental profiling is wanted.
+"""
