@@ -19,35 +19,83 @@ def py_unit_hash(*parts) -> float:
 
 
 # ---------------------------------------------------------------- seeded selection
-def smallest_k_cutoff(df: DataFrame, hash_col: str, tie_col: str, k_of_n, by=None) -> DataFrame:
+def smallest_k_cutoff(df: DataFrame, hash_col: str, tie_col: str, k_of_n, by=None):
     """Per group, the (hash, tie) of the k-th smallest row, k = ``k_of_n(n)``.
 
     Exact and distributed: a radix histogram over the top 16 bits of the
     32-bit hash finds the boundary bucket from a (group x 65,536) count table;
     only rows in that one bucket (~n/65,536 of the group) are ranked.  A row
     is selected iff ``(hash, tie) <= (cut_hash, cut_tie)``.  Groups with
-    k >= n get an open cutoff; k <= 0 selects nothing.
+    k > n get an open cutoff; k <= 0 selects nothing.
+
+    With at most ``SMALL_GROUPS`` groups the narrow (group, hash, tie) frame is
+    persisted for the three passes and the cutoffs come back as a list of
+    rows; with more groups a lazy DataFrame is returned (joined by key).
     """
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
     d = df.select(*by, hash_col, tie_col).withColumn("_hi", F.shiftright(F.col(hash_col), 16))
-    counts = d.groupBy(*by, "_hi").agg(F.count(F.lit(1)).alias("_c"))
+    tie_type = d.schema[tie_col].dataType
     w = Window.partitionBy(*by).orderBy("_hi").rowsBetween(Window.unboundedPreceding, 0)
-    counts = (counts.withColumn("_cum", F.sum("_c").over(w))
-                    .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-                    .withColumn("_k", k_of_n(F.col("_n")).cast("bigint")))
-    bound = (counts.where((F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
-                   .select(*by, "_hi", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")))
-    edge = null_safe_join(d, bound, [*by, "_hi"])
+
+    def counts_of(src):
+        c = src.groupBy(*by, "_hi").agg(F.count(F.lit(1)).alias("_c"))
+        return (c.withColumn("_cum", F.sum("_c").over(w))
+                 .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+                 .withColumn("_k", k_of_n(F.col("_n")).cast("bigint")))
+
+    def bound_of(counts):
+        return (counts.where((F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
+                      .select(*by, "_hi", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")))
+
+    def ends_of(counts):
+        # k > n: everything; k <= 0: nothing; k == n has a regular cutoff
+        return (counts.groupBy(*by).agg(F.max("_n").alias("_n"), F.max("_k").alias("_k"))
+                      .where((F.col("_k") > F.col("_n")) | (F.col("_k") <= 0))
+                      .select(*by, F.when(F.col("_k") <= 0, F.lit(-1)).otherwise(F.lit(1 << 40)).alias("cut_hash"),
+                              F.lit(None).cast(tie_type).alias("cut_tie")))
+
     wr = Window.partitionBy(*by).orderBy(hash_col, tie_col)
-    cut = (edge.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need"))
-               .select(*by, F.col(hash_col).alias("cut_hash"), F.col(tie_col).alias("cut_tie")))
-    # groups whose k is out of range: everything (k > n) or nothing (k <= 0);
-    # k == n has a regular cutoff (the last row) from ``bound``
-    ends = (counts.groupBy(*by).agg(F.max("_n").alias("_n"), F.max("_k").alias("_k"))
-                  .where((F.col("_k") > F.col("_n")) | (F.col("_k") <= 0))
-                  .select(*by, F.when(F.col("_k") <= 0, F.lit(-1)).otherwise(F.lit(1 << 40)).alias("cut_hash"),
-                          F.lit(None).cast(d.schema[tie_col].dataType).alias("cut_tie")))
-    return cut.unionByName(ends)
+    pick = [*by, F.col(hash_col).alias("cut_hash"), F.col(tie_col).alias("cut_tie")]
+    cached = d.persist()
+    try:
+        counts = counts_of(cached).persist()
+        small = _collect_if_small(bound_of(counts))
+        if small is not None:
+            cond, need = F.lit(False), F.lit(None).cast("bigint")
+            for r in small:
+                key = _group_match(by, r) & (F.col("_hi") == F.lit(r["_hi"]))
+                cond = cond | key
+                need = F.when(key, F.lit(r["_need"])).otherwise(need)
+            edge = cached.where(cond).withColumn("_need", need)
+            cut = edge.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need")).select(*pick)
+            rows = cut.collect() + ends_of(counts).collect()
+            counts.unpersist()
+            return rows
+        counts.unpersist()
+    finally:
+        cached.unpersist()
+    counts = counts_of(d)
+    edge = null_safe_join(d, bound_of(counts), [*by, "_hi"])
+    cut = edge.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") == F.col("_need")).select(*pick)
+    return cut.unionByName(ends_of(counts))
+
+
+SMALL_GROUPS = 2000
+
+
+def _collect_if_small(frame: DataFrame, limit: int = SMALL_GROUPS):
+    """Rows of a per-group table when it has at most ``limit`` rows (the
+    count is checked first), else None so the caller joins instead."""
+    rows = frame.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def _group_match(by, row) -> Column:
+    cond = F.lit(True)
+    for b in by:
+        v = row[b]
+        cond = cond & (F.col(b).isNull() if v is None else (F.col(b) == F.lit(v)))
+    return cond
 
 
 def _selected(hash_c: Column, tie_c: Column, cut_h: Column, cut_t: Column) -> Column:
@@ -79,8 +127,9 @@ def inject_missing(df: DataFrame, columns, row_id: str, seed="42", lo: float = 0
                   .unpivot([row_id], cols, "column", "_h"))
         frac_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(fr[c]))])
         k_of_n = lambda n: F.greatest(F.lit(1), F.bround(n * frac_map[F.col("column")], 0))
+        res = smallest_k_cutoff(long, "_h", row_id, k_of_n, by="column")
         cut = {r["column"]: (r["cut_hash"], r["cut_tie"])
-               for r in smallest_k_cutoff(long, "_h", row_id, k_of_n, by="column").collect()}
+               for r in (res if isinstance(res, list) else res.collect())}  # one row per column
         hit = {}
         for c in cols:
             ch, ct = cut.get(c, (-1, None))
@@ -193,13 +242,17 @@ def apply_fills(df: DataFrame, fills: dict) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M12 / M13 / M14 splits
-def _attach_cut(d: DataFrame, cut: DataFrame, by: list) -> DataFrame:
-    """Per-group cutoffs join by key; a single global cutoff becomes literals."""
-    if by:
+def _attach_cut(d: DataFrame, cut, by: list) -> DataFrame:
+    """Add (cut_hash, cut_tie) per group: literals when the cutoffs were
+    collected (few groups), else an equi-join on the group key."""
+    if not isinstance(cut, list):
         return null_safe_join(d, cut, by)
-    r = cut.collect()[0]
-    return (d.withColumn("cut_hash", F.lit(r["cut_hash"]).cast("bigint"))
-             .withColumn("cut_tie", F.lit(r["cut_tie"])))
+    ch, ct = F.lit(None).cast("bigint"), F.lit(None)
+    for r in cut:
+        m = _group_match(by, r)
+        ch = F.when(m, F.lit(r["cut_hash"])).otherwise(ch)
+        ct = F.when(m, F.lit(r["cut_tie"])).otherwise(ct)
+    return d.withColumn("cut_hash", ch).withColumn("cut_tie", ct)
 
 
 def train_test_split(df: DataFrame, row_id: str, test_size: float = 0.2, seed="42",

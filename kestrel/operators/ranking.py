@@ -6,8 +6,8 @@ group.  It is computed as
 
 1. ``groupBy(group, value).count()`` — map-side combined, so a hot value or a
    hot group collapses before the shuffle;
-2. value buckets from ``percentile_approx`` over the *distinct* (group, value)
-   rows, so every bucket holds about the same number of histogram rows;
+2. value buckets from ``percentile_approx`` bounds (over the raw values, or
+   over the histogram when only that is given);
 3. a window partitioned by (group, bucket) for the running count inside a
    bucket, and a window over the tiny (group, bucket) totals for the bucket
    offsets.
@@ -95,9 +95,13 @@ def ranked_histogram(df: DataFrame, value: str, by=None, weight: str | None = No
     long frames whose groups live on different scales.
     """
     by = _by(by)
+    # bucket bounds only shape the work, never the result: take them from the
+    # raw rows when available (one scan with partial aggregation, no shuffle
+    # of the histogram); a hot value merely collapses some bounds.
+    src = df.where(F.col(value).isNotNull()) if df is not None else None
     if hist is None:
         hist = value_histogram(df, value, by, weight)
-    bounds = _bucket_bounds(hist, value, buckets, bucket_by)
+    bounds = _bucket_bounds(src if src is not None else hist, value, buckets, bucket_by)
     h = hist.withColumn("_b", _bucket_expr(value, bounds, bucket_by))
     w_local = (Window.partitionBy(*by, "_b").orderBy(value)
                .rowsBetween(Window.unboundedPreceding, -1))

@@ -23,8 +23,8 @@ def model_frame(spark, sf_dir):
     """holes -> rows with a target -> indicators -> exact split + folds ->
     train-fitted median fill -> one-hot ptype (all levels: singular design).
     Returns (frame, feature names, target)."""
-    h = holes(spark, sf_dir).where(F.col("price").isNotNull())
-    h = mm.na_indicators(h, WIDE_FEATURES)
+    src = holes(spark, sf_dir).where(F.col("price").isNotNull()).persist()  # several fitting passes follow
+    h = mm.na_indicators(src, WIDE_FEATURES)
     h = mm.train_test_split(h, "rid", 0.2, seed="42")
     h = mm.kfold(h, "rid", 5)
     fills = mm.fit_simple_imputer(h.where(F.col("split") == "train"), WIDE_FEATURES)
@@ -36,6 +36,7 @@ def model_frame(spark, sf_dir):
     # many passes follow (moments, metrics per model): cut the lineage into
     # the shared checkpoint folder once
     h = h.select("rid", "split", "fold", "price", *feats).checkpoint()
+    src.unpersist()
     return h, feats, "price"
 
 
@@ -476,8 +477,8 @@ def q_m10(spark, sf_dir):
     """Ridge(alpha=1) behind median imputation and behind KNN imputation,
     fitted on a 12,000-row train sample, scored on a 6,000-row test sample."""
     from kestrel.operators.neighbors import knn_impute
-    h = holes(spark, sf_dir).where(F.col("price").isNotNull())
-    h = mm.na_indicators(h, WIDE_FEATURES)
+    src = holes(spark, sf_dir).where(F.col("price").isNotNull()).persist()  # several fitting passes follow
+    h = mm.na_indicators(src, WIDE_FEATURES)
     h = mm.train_test_split(h, "rid", 0.2, seed="411")
     tr = mm.subsample(h.where(F.col("split") == "train"), "rid", 12000, seed="411")
     te = mm.subsample(h.where(F.col("split") == "test"), "rid", 6000, seed="411")
