@@ -31,8 +31,10 @@ def model_frame(spark, sf_dir):
     h = mm.apply_fills(h, fills)
     levels = mm.levels_of(h, "ptype")
     h = mm.one_hot(h, "ptype", levels=levels, prefix="genre")
-    feats = WIDE_FEATURES + [f"{c}_missing" for c in WIDE_FEATURES if f"{c}_missing" in h.columns] + \
-        [f"genre_{v}" for v in levels]
+    # feature groups by name (P3): plain numeric, ``*_missing`` indicators, ``genre_*`` dummies
+    from kestrel.functions.columns import feature_groups
+    cands = [c for c in h.columns if c not in ("rid", "price", "split", "fold", "returnflag", "linestatus", "brand")]
+    feats = feature_groups(cands, prefix="genre_", suffix="_missing")
     # many passes follow (moments, metrics per model): cut the lineage into
     # the shared checkpoint folder once
     h = h.select("rid", "split", "fold", "price", *feats).checkpoint()
@@ -396,7 +398,10 @@ def q_v2(spark, sf_dir):
 def class_frame(spark, sf_dir):
     """documents join labels -> features (log length, language one-hot),
     exact stratified split, folds, train-fitted scaling."""
+    from kestrel.functions.columns import leakage_guard
     b = bin_frame(spark, sf_dir).withColumn("log_chars", F.log1p("n_chars"))
+    # leakage guard (P12): the second label and the raw length never enter X
+    b = b.drop(*leakage_guard(b.columns, ["toxic", "n_chars"], id_columns=["source"]))
     b = mm.one_hot(b, "lang", levels=mm.levels_of(b, "lang"), prefix="lang", keep_source=False)
     feats = ["log_chars"] + [c for c in b.columns if c.startswith("lang_")]
     b = mm.train_test_split(b, "doc_id", 0.2, seed="42", stratify="quality")

@@ -322,3 +322,21 @@ def q_w8(spark, sf_dir):
 SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3""")
 def q_w9(spark, sf_dir):
     return agg.top_k_levels(table(spark, sf_dir, "events"), "event_type", 3)
+
+
+@register("W4_W5_running_share_first_reaching", f"""{W},
+c AS (SELECT brand, count(*) AS n FROM wide GROUP BY brand),
+r AS (SELECT brand, n, row_number() OVER (ORDER BY n DESC, brand) AS pos FROM c),
+s AS (SELECT pos, sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1.0
+             / sum(n) OVER () AS share FROM r)
+SELECT CAST(min(pos) AS INTEGER) AS pos, round(min(share), 8) AS share FROM s WHERE share >= 0.5""")
+def q_w4(spark, sf_dir):
+    """Running share of rows over levels by frequency (W4) and the first level
+    count reaching half of the rows (W5); the frame has one row per level."""
+    from pyspark.sql import Window
+    c = agg.value_counts(wide(spark, sf_dir), "brand")
+    c = c.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n"), "brand")).cast("int"))
+    tot = c.agg(F.sum("n")).collect()[0][0]
+    run = ranking.running_total(c.withColumn("share_n", F.col("n") / F.lit(float(tot))), "pos", "share_n", "share")
+    first = ranking.first_reaching(run, "pos", "share", 0.5)
+    return round_doubles(first.join(run.select("pos", "share"), "pos"), 8)

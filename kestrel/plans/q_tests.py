@@ -240,3 +240,19 @@ SELECT round(coalesce((SELECT n FROM c WHERE a = 'F' AND NOT b), 0.5) * coalesce
 def q_t16(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "A").alias("is_a"))
     return round_doubles(st.odds_ratio_2x2(li, "l_linestatus", "is_a"), 8)
+
+
+@register("T17_pair_choice_chi2_stat", """WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY 1, 2),
+ra AS (SELECT a, sum(o) AS ra FROM c GROUP BY a), cb AS (SELECT b, sum(o) AS cb FROM c GROUP BY b),
+tot AS (SELECT sum(o) AS nn FROM c)
+SELECT 'o_orderstatus' AS first, 'o_orderpriority' AS second,
+       round(sum(power(c.o, 2) / (ra.ra * cb.cb / tot.nn)) - max(tot.nn), 6) AS chi2
+FROM c JOIN ra ON c.a = ra.a JOIN cb ON c.b = cb.b, tot""")
+def q_t17(spark, sf_dir):
+    """No preferred pair in the orders table, so the first two categorical
+    columns are crossed (T17)."""
+    from kestrel.operators.clean import column_kinds
+    o = table(spark, sf_dir, "orders")
+    a, b = st.choose_pair(column_kinds(o))
+    r = st.chi2_independence(o, a, b).select("chi2")
+    return round_doubles(r.select(F.lit(a).alias("first"), F.lit(b).alias("second"), "chi2"), 6)
