@@ -96,7 +96,8 @@ def rf_importance(train: DataFrame, features, label: str, num_trees: int = 300,
     from pyspark.ml.regression import RandomForestRegressor
     va = VectorAssembler(inputCols=list(features), outputCol="_f")
     rf = RandomForestRegressor(featuresCol="_f", labelCol=label, numTrees=num_trees, maxDepth=max_depth,
-                               featureSubsetStrategy="all", seed=seed, subsamplingRate=1.0, bootstrap=True)
+                               featureSubsetStrategy="all", seed=seed, subsamplingRate=1.0, bootstrap=True,
+                               maxMemoryInMB=1024, cacheNodeIds=True)
     model = rf.fit(va.transform(train))
     imp = model.featureImportances.toArray().tolist()
     spark = train.sparkSession
