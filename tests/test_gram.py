@@ -78,3 +78,26 @@ def test_gram_moments_spark(spark):
     f0 = gram.fit_linear(_moments(X, y), "ols")
     assert np.allclose(f.coef, f0.coef, rtol=1e-8)
     assert set(folds) == {0, 1, 2}
+
+
+def test_logistic_newton_stationary(spark):
+    from kestrel.operators import logistic as lg
+    rng = np.random.default_rng(5)
+    n = 400
+    X = rng.normal(size=(n, 2))
+    yv = (rng.random(n) < 1 / (1 + np.exp(-(0.5 + X @ [1.0, -2.0])))).astype(int)
+    rows = [(float(a), float(b), int(t), int(i % 5)) for (a, b), t, i in zip(X, yv, range(n))]
+    df = spark.createDataFrame(rows, "a double, b double, y int, fold int")
+    specs = [lg.Spec("all", 0.5, -1, False), lg.Spec("bal", 0.5, 2, True)]
+    coefs = lg.fit_many(df, ["a", "b"], "y", specs)
+    A = np.hstack([X, np.ones((n, 1))])
+    b = coefs["all"]
+    mu = 1 / (1 + np.exp(-(A @ b)))
+    grad = b - 0.5 * A.T @ (yv - mu)
+    assert np.max(np.abs(grad)) < 1e-8
+    keep = np.arange(n) % 5 != 2
+    n1, n0 = yv[keep].sum(), (1 - yv[keep]).sum()
+    sw = np.where(yv[keep] == 1, keep.sum() / (2 * n1), keep.sum() / (2 * n0))
+    b2 = coefs["bal"]
+    mu2 = 1 / (1 + np.exp(-(A[keep] @ b2)))
+    assert np.max(np.abs(b2 - 0.5 * A[keep].T @ (sw * (yv[keep] - mu2)))) < 1e-8
