@@ -36,10 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lineitem_row_id() -> F.Column:
     """60-bit md5 of all lineitem columns (doubles as integers, date as day number)."""
     parts = [F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"),
-             F.round("l_quantity").cast("bigint"),
-             F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-             F.round(F.col("l_discount") * 100).cast("bigint"),
-             F.round(F.col("l_tax") * 100).cast("bigint"),
+             # non-negative columns: floor(x + 0.5) is half-up rounding without
+             # Spark's BigDecimal-based round()
+             F.floor(F.col("l_quantity") + 0.5),
+             F.floor(F.col("l_extendedprice") * 100 + 0.5),
+             F.floor(F.col("l_discount") * 100 + 0.5),
+             F.floor(F.col("l_tax") * 100 + 0.5),
              F.col("l_returnflag"), F.col("l_linestatus"),
              F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))]
     return hash60(*parts)
@@ -53,7 +55,22 @@ LINEITEM_ROW_ID_SQL = (
 )
 
 
+_CACHE: dict = {}
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis table, built once per application and cached
+    (MEMORY_AND_DISK; lost blocks are recomputed from lineage): nearly every
+    query reads it, and its row id costs an md5 per row."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    df = _CACHE.get(key)
+    if df is None:
+        df = _build_wide(spark, sf_dir).persist()
+        _CACHE[key] = df
+    return df
+
+
+def _build_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part")
     li = li.select(lineitem_row_id().alias("rid"), "l_partkey",

@@ -168,6 +168,20 @@ def q_v4(spark, sf_dir):
     return round_doubles(md.regression_metrics(test, "price"), 6, {"r2": 8})
 
 
+@register("V10_residual_bins_one_feature", f"""{W}, s AS {split_sql('wide', 'rid')},
+f AS (SELECT regr_slope(price, quantity) AS b, regr_intercept(price, quantity) AS a FROM s WHERE split = 'train'),
+p AS (SELECT a + b * quantity AS fitted, price - (a + b * quantity) AS residual FROM s, f WHERE split = 'test'),
+m AS (SELECT min(fitted) AS lo, max(fitted) AS hi FROM p)
+SELECT CAST(least(floor(20 * (fitted - lo) / (hi - lo)) + 1, 20) AS INTEGER) AS bin, count(*) AS n,
+       round(avg(residual), 4) AS mean_residual, round(stddev_samp(residual), 4) AS std_residual
+FROM p, m GROUP BY 1""")
+def q_v10b(spark, sf_dir):
+    s = _train(spark, sf_dir)
+    fit = gram.fit_linear(gram.total(gram.gram_moments(s.where(F.col("split") == "train"), ["quantity"], "price")), "ols")
+    res = md.residuals(s.where(F.col("split") == "test").select("price", md.linear_predict(["quantity"], fit)), "price")
+    return round_doubles(md.residual_bins(res, 20).withColumn("bin", F.col("bin").cast("int")), 4)
+
+
 # ---------------------------------------------------------------- L1-L5, V3, V9-V12 on the model frame
 def _suite(spark, sf_dir):
     h, feats, y = model_frame(spark, sf_dir)

@@ -200,6 +200,19 @@ def q_a19(spark, sf_dir):
     return round_doubles(agg.box_stats(t, "price", "brand"))
 
 
+@register("A19_box_stats_global", f"""{W},
+q AS (SELECT quantile_cont(quantity, 0.25) AS q1, quantile_cont(quantity, 0.5) AS median,
+             quantile_cont(quantity, 0.75) AS q3 FROM wide),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(min(CASE WHEN quantity BETWEEN lo AND hi THEN quantity END), 6) AS whisker_lo,
+       round(max(CASE WHEN quantity BETWEEN lo AND hi THEN quantity END), 6) AS whisker_hi,
+       count(CASE WHEN NOT (quantity BETWEEN lo AND hi) THEN 1 END) AS n_outliers
+FROM wide, f GROUP BY q1, median, q3""")
+def q_a19g(spark, sf_dir):
+    return round_doubles(agg.box_stats(wide(spark, sf_dir), "quantity"))
+
+
 # ---------------------------------------------------------------- A20-A24, A26
 CORR_COLS = WIDE_NUMERIC
 

@@ -44,6 +44,19 @@ def q_t1(spark, sf_dir):
     return round_doubles(st.shapiro_by_group(_top(spark, sf_dir), "price", "brand", "rid"), 8)
 
 
+def _jb_sql(c):
+    return (f"SELECT '{c}' AS \"column\", count({c}) AS n, round(count({c}) / 6.0 * ("
+            f"power(avg(power({c} - m, 3)) / power(avg(power({c} - m, 2)), 1.5), 2) + "
+            f"power(avg(power({c} - m, 4)) / power(avg(power({c} - m, 2)), 2) - 3, 2) / 4), 6) AS jb "
+            f"FROM wide, (SELECT avg({c}) AS m FROM wide)")
+
+
+@register("T1_jarque_bera_stat", f"""{W}
+{' UNION ALL '.join(_jb_sql(c) for c in WIDE_FEATURES + ['price'])}""")
+def q_t1jbs(spark, sf_dir):
+    return round_doubles(st.jarque_bera(wide(spark, sf_dir), WIDE_FEATURES + ["price"]).drop("p_value"), 6)
+
+
 @register("T1_jarque_bera_whole_table")
 def q_t1jb(spark, sf_dir):
     return round_doubles(st.jarque_bera(wide(spark, sf_dir), WIDE_FEATURES + ["price"]), 6)
