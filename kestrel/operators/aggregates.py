@@ -198,24 +198,32 @@ def kde_curve(df: DataFrame, column: str, grid_points: int = 200) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by=None) -> DataFrame:
-    """q1, median, q3 and whiskers at 1.5·IQR, per group."""
+    """q1, median, q3 and whiskers at 1.5·IQR, per group (A19).  Grouped
+    fences join back by key; global fences are three collected numbers."""
+    from kestrel.operators.ranking import null_safe_join
     byl = [] if by is None else ([by] if isinstance(by, str) else list(by))
     q = exact_quantiles(df, value, [0.25, 0.5, 0.75], byl)
     qw = q.groupBy(*byl).agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
         F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
+    if not byl:
+        r = qw.collect()[0]
+        q1, med, q3 = r["q1"], r["median"], r["q3"]
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = F.col(value).between(F.lit(lo), F.lit(hi))
+        return df.agg(F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"),
+                      F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
+                      F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
+                      F.count_if(F.col(value).isNotNull() & ~inside).alias("n_outliers"))
     qw = qw.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
            .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    from kestrel.operators.ranking import null_safe_join
-    j = null_safe_join(df.select(*byl, value), qw, byl) if byl else \
-        df.select(value).join(F.broadcast(qw), how="cross")  # qw: one row
+    j = null_safe_join(df.select(*byl, value), qw, byl)
     inside = F.col(value).between(F.col("lo_fence"), F.col("hi_fence"))
     w = j.groupBy(*byl).agg(F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
                             F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
                             F.count_if(F.col(value).isNotNull() & ~inside).alias("n_outliers"))
-    out = null_safe_join(qw, w, byl) if byl else qw.join(w, how="cross")
-    return out.drop("lo_fence", "hi_fence")
+    return null_safe_join(qw, w, byl).drop("lo_fence", "hi_fence")
 
 
 # ---------------------------------------------------------------- correlation
@@ -231,6 +239,8 @@ def correlation_matrix(df: DataFrame, columns, method: str = "pearson") -> DataF
     src = df
     if method == "spearman":
         src = rank_columns(df.select(*cols).na.drop("any"), cols)
+    if len(cols) > WIDE_CORR:
+        return _correlation_mllib(src, cols)
     pairs = [(a, b) for a in cols for b in cols]
     names = [f"c{i}_{j}" for i in range(len(cols)) for j in range(len(cols))]
     row = src.agg(*[F.corr(a, b).alias(n) for (a, b), n in zip(pairs, names)])
@@ -242,6 +252,21 @@ def correlation_matrix(df: DataFrame, columns, method: str = "pearson") -> DataF
                       "corr", "i", "j")
 
 
+WIDE_CORR = 40
+
+
+def _correlation_mllib(df: DataFrame, cols) -> DataFrame:
+    """p x p Pearson matrix through MLlib's distributed ``Correlation`` (one
+    treeAggregate of the covariance instead of p² SQL aggregates); rows with
+    a NULL in any column are skipped (complete cases)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    v = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(df.select(*cols))
+    m = Correlation.corr(v, "_v", "pearson").collect()[0][0].toArray()  # p x p
+    rows = [(a, b, float(m[i, j]), i, j) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double, i int, j int")
+
+
 def rank_columns(df: DataFrame, columns, row_id: str | None = None) -> DataFrame:
     """Replace each column by its average rank (W6), all columns in one pass:
     unpivot, one ranked histogram grouped (and bucketed) by column, join the

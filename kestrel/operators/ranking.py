@@ -38,7 +38,7 @@ def _by(by) -> list[str]:
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where NULL keys match each other (J1 semantics)."""
     if not keys:
-        return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
+        raise ValueError("null_safe_join needs at least one key")
     r = right
     renamed = {}
     for k in keys:

@@ -286,11 +286,16 @@ def chi2_independence(df: DataFrame, a: str, b: str, yates: bool = True) -> Data
         return spark.createDataFrame([(None, 0, None, None, 0.0)], "chi2 double, dof int, p_value double, cramers_v double, n double")
     e = cells.join(ra, a).join(cb, b).withColumn("E", F.col("Ra") * F.col("Cb") / N)
     if yates and dof == 1:
-        full = ra.crossJoin(cb)  # 2 x 2 margins: four cells
-        full = full.join(cells, [a, b], "left").fillna({"O": 0.0}).withColumn("E", F.col("Ra") * F.col("Cb") / N)
-        d = F.abs(F.col("O") - F.col("E"))
-        term = (d - F.least(F.lit(0.5), d)) ** 2 / F.col("E")
-        chi2 = full.agg(F.sum(term)).collect()[0][0]
+        # 2 x 2: the four cells and margins are eight numbers; zero cells count too
+        obs = {(r[a], r[b]): r["O"] for r in cells.collect()}
+        rows_a = {r[a]: r["Ra"] for r in ra.collect()}
+        cols_b = {r[b]: r["Cb"] for r in cb.collect()}
+        chi2 = 0.0
+        for ka, va in rows_a.items():
+            for kb, vb in cols_b.items():
+                e_ = va * vb / N
+                d_ = abs(obs.get((ka, kb), 0.0) - e_)
+                chi2 += (d_ - min(0.5, d_)) ** 2 / e_
     else:
         chi2 = e.agg(F.sum(F.col("O") ** 2 / F.col("E"))).collect()[0][0] - N
     v = cramers_v(chi2, N, r, c)

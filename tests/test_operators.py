@@ -75,3 +75,16 @@ def test_value_counts_keeps_null(spark):
     vc = {r["c"]: r["n"] for r in agg.value_counts(df, "c").collect()}
     assert vc == {None: 2, "a": 1, "b": 1}
     assert F is not None
+
+
+def test_wide_correlation_uses_mllib_and_matches_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 45))
+    x[:, 1] += x[:, 0]
+    cols = [f"c{i}" for i in range(45)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in cols))
+    m = {(r["i"], r["j"]): r["corr"] for r in agg.correlation_matrix(df, cols).collect()}
+    ref = np.corrcoef(x, rowvar=False)
+    assert m[(0, 1)] == pytest.approx(ref[0, 1], abs=1e-9)
+    assert m[(10, 44)] == pytest.approx(ref[10, 44], abs=1e-9)
