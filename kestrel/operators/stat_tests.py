@@ -255,10 +255,11 @@ def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame)
     return out.withColumn("p_value_raw", p).drop("_z")
 
 
-def holm_adjust(df: DataFrame, p_col: str = "p_value_raw", out: str = "p_value_holm") -> DataFrame:
-    """Holm step-down: (m - i)·p_(i), running max, clipped to 1 (T13).  For
-    result tables (one row per comparison)."""
-    w = Window.orderBy(p_col)
+def holm_adjust(df: DataFrame, p_col: str = "p_value_raw", out: str = "p_value_holm",
+                order_tiebreak: str | None = None) -> DataFrame:
+    """Holm step-down: (m - i)·p_(i), running max, clipped to 1.
+    For result tables (one row per comparison)."""
+    w = Window.orderBy(p_col, *([order_tiebreak] if order_tiebreak else []))
     wc = w.rowsBetween(Window.unboundedPreceding, 0)
     m = F.count(F.lit(1)).over(Window.partitionBy())
     d = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_m", m)

@@ -293,3 +293,36 @@ def q_d3(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(lineitem_row_id().alias("rid"), "l_orderkey", "l_linenumber",
                                                   "l_quantity", "l_extendedprice")
     return clean.keep_first(li, ["l_orderkey", "l_linenumber"], "rid")
+
+
+@register("S7_parquet_roundtrip", f"""{H}
+SELECT count(*) AS n, count(quantity) AS n_quantity, round(sum(price), 2) AS total_price,
+       CAST(sum(rid % 1000003) AS BIGINT) AS id_checksum FROM holes""")
+def q_s7(spark, sf_dir):
+    """Default sink: parquet written to the shared folder and read back."""
+    path = scratch_dir(spark, "holes-parquet")
+    io.write_table(holes(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return round_doubles(back.agg(F.count(F.lit(1)).alias("n"), F.count("quantity").alias("n_quantity"),
+                                  F.sum("price").alias("total_price"),
+                                  F.sum(F.col("rid") % 1000003).cast("bigint").alias("id_checksum")), 2)
+
+
+@register("P3_feature_groups_by_name", f"""{W}
+SELECT feature, grp FROM (
+  SELECT c AS feature, 'plain' AS grp FROM (VALUES ('quantity'), ('discount'), ('tax'), ('size'), ('retailprice')) t(c)
+  UNION ALL SELECT c || '_missing', 'suffix' FROM (VALUES ('quantity'), ('discount'), ('tax'), ('size'), ('retailprice')) t(c)
+  UNION ALL SELECT DISTINCT 'genre_' || ptype, 'prefix' FROM wide)""")
+def q_p3(spark, sf_dir):
+    """Model-matrix columns grouped by name pattern: plain, ``*_missing``, ``genre_*``."""
+    from kestrel.functions.columns import feature_groups
+    from kestrel.operators import missing as mm
+    h = mm.na_indicators(holes(spark, sf_dir), ["quantity", "discount", "tax", "size", "retailprice"])
+    h = mm.one_hot(h, "ptype", prefix="genre")
+    cands = [c for c in h.columns if c not in ("rid", "price", "returnflag", "linestatus", "brand")]
+    rows = []
+    for grp, kw in (("plain", dict(include_prefixed=False, include_suffixed=False)),
+                    ("suffix", dict(include_prefixed=False, include_plain=False)),
+                    ("prefix", dict(include_suffixed=False, include_plain=False))):
+        rows += [(c, grp) for c in feature_groups(cands, prefix="genre_", suffix="_missing", **kw)]
+    return spark.createDataFrame(rows, "feature string, grp string")

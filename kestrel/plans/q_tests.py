@@ -269,3 +269,25 @@ def q_t17(spark, sf_dir):
     a, b = st.choose_pair(column_kinds(o))
     r = st.chi2_independence(o, a, b).select("chi2")
     return round_doubles(r.select(F.lit(a).alias("first"), F.lit(b).alias("second"), "chi2"), 6)
+
+
+@register("J5_group_pairs_top10", f"""{TOP}
+SELECT a.brand AS group_1, b.brand AS group_2 FROM top a JOIN top b ON a.pos < b.pos""")
+def q_j5(spark, sf_dir):
+    """i < j pairs of the (bounded) top-10 level list."""
+    return st.group_pairs(_levels(spark, sf_dir).select("brand", "pos"), "brand").select("group_1", "group_2")
+
+
+@register("W7_T13_holm_running_max", f"""{W},
+c AS (SELECT brand, count(*) * 1.0 / (SELECT count(*) FROM wide) AS p FROM wide GROUP BY brand),
+r AS (SELECT brand, p, row_number() OVER (ORDER BY p, brand) - 1 AS i, count(*) OVER () AS m FROM c)
+SELECT brand, round(p, 10) AS p_value_raw,
+       round(least(1.0, max((m - i) * p) OVER (ORDER BY p, brand ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 10)
+       AS p_value_holm FROM r""")
+def q_w7(spark, sf_dir):
+    """Holm step-down (running max of (m - i)·p, clipped) on per-level row
+    shares used as p-values; the table has one row per level."""
+    c = agg.value_counts(wide(spark, sf_dir), "brand")
+    tot = c.agg(F.sum("n")).collect()[0][0]
+    c = c.select("brand", (F.col("n") / F.lit(float(tot))).alias("p_value_raw"))
+    return round_doubles(st.holm_adjust(c, order_tiebreak="brand"), 10)
