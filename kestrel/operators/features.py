@@ -84,14 +84,14 @@ def mutual_information(df: DataFrame, columns, target: str, bins: int = 10, top:
 
 
 # ---------------------------------------------------------------- F8
-def rf_importance(train: DataFrame, features, label: str, num_trees: int = 300, max_depth: int = 12,
+def rf_importance(train: DataFrame, features, label: str, num_trees: int = 300, max_depth: int = 10,
                   seed: int = 42) -> tuple:
     """Random-forest regressor importances (F8): (importance frame, model).
 
     300 trees and "all" features per split as in the reference.  The
     reference grows trees without a depth limit; a fitted MLlib forest lives
     on the driver, and unlimited depth makes it grow with the row count
-    (about 300·n nodes), so depth is bounded (12 by default, at most 30)."""
+    (about 300·n nodes), so depth is bounded (10 by default, at most 30)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
     va = VectorAssembler(inputCols=list(features), outputCol="_f")

@@ -221,38 +221,56 @@ def group_pairs(levels: DataFrame, group: str) -> DataFrame:
     return a.join(b, F.col("pos_1") < F.col("pos_2"))
 
 
-def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame) -> DataFrame:
+def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame,
+                       buckets: int = 64) -> DataFrame:
     """Two-sided Mann-Whitney U for every pair of the given levels.
 
-    ``levels`` (group, pos) is bounded (top-k).  Each group's value histogram
-    is copied once per partner group (k-1 copies of histogram rows, never of
-    raw rows); per pair the ranked histogram gives U_1 = R_1 - n_1(n_1+1)/2,
-    the tie term and the normal approximation with continuity correction.
+    ``levels`` (group, pos) is bounded (top-k).  The value histogram is
+    pivoted once into k count columns (one combining aggregate), running
+    counts below each value come from windows over value buckets plus tiny
+    per-bucket offsets (as in the ranked histogram), and one aggregate gives,
+    for every pair, U_1 = Σ_v n_1(v)·(N_2(<v) + n_2(v)/2) and the tie term
+    Σ_v (t³ − t) with t = n_1(v) + n_2(v).  p uses the tie-corrected normal
+    approximation with continuity correction.
     """
-    d = df.where(F.col(value).isNotNull()).select(group, value)
-    gh = value_histogram(d, value, group)
-    pairs = group_pairs(levels, group).select("group_1", "group_2")
-    left = gh.join(F.broadcast(pairs), gh[group] == pairs["group_1"]).select(
-        "group_1", "group_2", value, F.col("n").alias("n1"), F.lit(0.0).alias("n2"))
-    right = gh.join(F.broadcast(pairs), gh[group] == pairs["group_2"]).select(
-        "group_1", "group_2", value, F.lit(0.0).alias("n1"), F.col("n").alias("n2"))
-    ph = (left.unionByName(right).groupBy("group_1", "group_2", value)
-              .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
-              .withColumn("n", F.col("n1") + F.col("n2")))
-    rh = ranked_histogram(None, value, by=["group_1", "group_2"], hist=ph.select("group_1", "group_2", value, "n"))
-    j = ph.join(rh.select("group_1", "group_2", value, "rank"), ["group_1", "group_2", value])
-    s = j.groupBy("group_1", "group_2").agg(
-        F.sum(F.col("n1") * F.col("rank")).alias("R1"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"),
-        F.sum(F.col("n") ** 3 - F.col("n")).alias("tie"))
-    n1, n2 = F.col("n1"), F.col("n2")
-    N = n1 + n2
-    u1 = F.col("R1") - n1 * (n1 + 1) / 2.0
-    mu = n1 * n2 / 2.0
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((N + 1) - F.col("tie") / (N * (N - 1))))
-    z = (F.abs(u1 - mu) - 0.5) / sigma
-    out = s.select("group_1", "group_2", u1.alias("U_stat"), z.alias("_z"))
-    p = F.least(F.lit(1.0), 2.0 * dist.norm_sf_udf(F.greatest(F.col("_z"), F.lit(0.0))))
-    return out.withColumn("p_value_raw", p).drop("_z")
+    from kestrel.operators.ranking import _bucket_bounds, _bucket_expr
+    lv = levels.orderBy("pos").collect()  # k rows
+    names = [r[group] for r in lv]
+    k = len(names)
+    d = df.where(F.col(value).isNotNull() & F.col(group).isin(*names)).select(group, value)
+    h = d.groupBy(value).pivot(group, names).agg(F.count(F.lit(1)))
+    h = h.select(value, *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).cast("double").alias(f"n{i}")
+                          for i, g in enumerate(names)])
+    bounds = _bucket_bounds(d, value, buckets)
+    h = h.withColumn("_b", _bucket_expr(value, bounds))
+    w_local = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = h.withColumns({f"l{i}": F.coalesce(F.sum(f"n{i}").over(w_local), F.lit(0.0)) for i in range(k)})
+    tot = h.groupBy("_b").agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(k)])
+    w_off = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    tot = tot.select("_b", *[F.coalesce(F.sum(f"t{i}").over(w_off), F.lit(0.0)).alias(f"o{i}") for i in range(k)])
+    j = local.join(F.broadcast(tot), "_b")  # tot: one row per bucket
+    pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
+    aggs = []
+    for a, b in pairs:
+        below_b = F.col(f"o{b}") + F.col(f"l{b}")
+        t = F.col(f"n{a}") + F.col(f"n{b}")
+        aggs.append(F.sum(F.col(f"n{a}") * (below_b + F.col(f"n{b}") / 2.0)).alias(f"u_{a}_{b}"))
+        aggs.append(F.sum(t * t * t - t).alias(f"tie_{a}_{b}"))
+    aggs += [F.sum(f"n{i}").alias(f"N{i}") for i in range(k)]
+    row = j.agg(*aggs).collect()[0]  # 2·k(k-1)/2 + k numbers
+    out = []
+    for a, b in pairs:
+        n1, n2 = row[f"N{a}"], row[f"N{b}"]
+        u1, tie = row[f"u_{a}_{b}"], row[f"tie_{a}_{b}"]
+        nn = n1 + n2
+        sigma = math.sqrt(n1 * n2 / 12.0 * ((nn + 1) - tie / (nn * (nn - 1)))) if nn > 1 else 0.0
+        z = (abs(u1 - n1 * n2 / 2.0) - 0.5) / sigma if sigma > 0 else 0.0
+        p = min(1.0, 2.0 * dist.norm_sf(max(z, 0.0))) if sigma > 0 else 1.0
+        out.append((names[a], names[b], float(u1), float(p)))
+    sch = T.StructType([T.StructField("group_1", df.schema[group].dataType),
+                        T.StructField("group_2", df.schema[group].dataType),
+                        T.StructField("U_stat", T.DoubleType()), T.StructField("p_value_raw", T.DoubleType())])
+    return df.sparkSession.createDataFrame(out, sch)
 
 
 def holm_adjust(df: DataFrame, p_col: str = "p_value_raw", out: str = "p_value_holm",

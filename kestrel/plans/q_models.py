@@ -272,7 +272,7 @@ def q_f7(spark, sf_dir):
 @register("F8_random_forest_importance")
 def q_f8(spark, sf_dir):
     h, feats, y, train, test = _suite(spark, sf_dir)
-    imp, _ = fe.rf_importance(train, feats, y, num_trees=300, max_depth=12)
+    imp, _ = fe.rf_importance(train, feats, y, num_trees=300, max_depth=10)
     return round_doubles(imp, 6)
 
 

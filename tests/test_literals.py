@@ -123,3 +123,26 @@ def test_ranked_histogram_global_and_grouped(spark):
     q = {r["prob"]: r["quantile"] for r in ranking.exact_quantiles(df, "v", [0.1, 0.5, 0.77]).collect()}
     for p, val in q.items():
         assert val == pytest.approx(pdf["v"].quantile(p))
+
+
+def test_mann_whitney_matches_brute_force(spark):
+    import itertools
+    import numpy as np
+    from kestrel.functions.distributions import norm_sf
+    rng = np.random.default_rng(4)
+    data = {g: rng.integers(0, 12, size=n).astype(float) for g, n in (("a", 40), ("b", 55), ("c", 30))}
+    rows = [(g, float(v)) for g, vals in data.items() for v in vals]
+    df = spark.createDataFrame(rows, "g string, v double")
+    levels = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "g string, pos int")
+    got = {(r["group_1"], r["group_2"]): (r["U_stat"], r["p_value_raw"])
+           for r in stat_tests.mann_whitney_pairs(df, "v", "g", levels).collect()}
+    for x, y in itertools.combinations(["a", "b", "c"], 2):
+        a, b = data[x], data[y]
+        u = sum((ai > bi) + 0.5 * (ai == bi) for ai in a for bi in b)
+        allv = np.concatenate([a, b])
+        _, t = np.unique(allv, return_counts=True)
+        n1, n2, n = len(a), len(b), len(allv)
+        sigma = math.sqrt(n1 * n2 / 12 * ((n + 1) - (t ** 3 - t).sum() / (n * (n - 1))))
+        p = min(1.0, 2 * norm_sf((abs(u - n1 * n2 / 2) - 0.5) / sigma))
+        assert got[(x, y)][0] == pytest.approx(u)
+        assert got[(x, y)][1] == pytest.approx(p, rel=1e-9)
