@@ -71,18 +71,32 @@ def _bucket_bounds(hist: DataFrame, value: str, buckets: int, bucket_by: str | N
             for r in hist.groupBy(bucket_by).agg(q).collect()}
 
 
+def _search(col: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Number of ``bounds`` (sorted, unique) strictly below ``col``, as a
+    balanced CASE tree: log2(len) comparisons, no lambda."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(col <= F.lit(bounds[mid]), _search(col, bounds, lo, mid)) \
+            .otherwise(_search(col, bounds, mid + 1, hi))
+
+
 def _bucket_expr(value: str, bounds, bucket_by: str | None = None) -> Column:
-    if bucket_by is not None:
-        if not bounds:
-            return F.lit(0)
-        m = F.create_map(*[x for k, v in bounds.items()
-                           for x in (F.lit(k), F.array(*[F.lit(float(b)) for b in v]) if v
-                                     else F.array().cast("array<double>"))])
-        return F.coalesce(F.size(F.filter(m[F.col(bucket_by)], lambda b: b < F.col(value))), F.lit(0))
+    v = F.col(value)
+    if bucket_by is None:
+        return _search(v, bounds, 0, len(bounds)) if bounds else F.lit(0)
     if not bounds:
         return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < F.col(value)))
+    if len(bounds) <= 64:
+        expr = F.lit(0)
+        for k, b in bounds.items():
+            if b:
+                expr = F.when(F.col(bucket_by) == F.lit(k), _search(v, b, 0, len(b))).otherwise(expr)
+        return expr
+    m = F.create_map(*[x for k, b in bounds.items()
+                       for x in (F.lit(k), F.array(*[F.lit(float(t)) for t in b]) if b
+                                 else F.array().cast("array<double>"))])
+    return F.coalesce(F.size(F.filter(m[F.col(bucket_by)], lambda t: t < v)), F.lit(0))
 
 
 def ranked_histogram(df: DataFrame, value: str, by=None, weight: str | None = None,
