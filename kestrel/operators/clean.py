@@ -91,7 +91,7 @@ def apply_rules(df: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
 
 def iqr_filter(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Keep rows inside [q1 - k·iqr, q3 + k·iqr], inclusive (P10).  Quartiles are
-    exact (linear) and arrive as a one-row frame joined by broadcast."""
+    exact (linear, distributed) and come back as two numbers used as literals."""
     q = {r["prob"]: r["quantile"] for r in exact_quantiles(df, column, [0.25, 0.75]).collect()}
     q1, q3 = q[0.25], q[0.75]
     if q1 is None:

@@ -144,7 +144,7 @@ def inject_missing(df: DataFrame, columns, row_id: str, seed="42", lo: float = 0
     return out, positions
 
 
-def positions_report(positions: DataFrame, n_rows: int | None = None, total: DataFrame | None = None) -> DataFrame:
+def positions_report(positions: DataFrame, n_rows: int | None = None) -> DataFrame:
     """(column, na_count, pct) from a position table, by column name."""
     out = positions.groupBy("column").agg(F.count(F.lit(1)).alias("na_count"))
     if n_rows is not None:
