@@ -84,7 +84,23 @@ def q_f3(spark, sf_dir):
     return round_doubles(fe.f_scores(wide(spark, sf_dir), WIDE_FEATURES, "price", top=3), 8, {"f_score": 6})
 
 
-@register("F4_mutual_information_binned")
+def _mi_sql():
+    probs = [i / 10 for i in range(1, 10)]
+    cols = WIDE_FEATURES + ["price"]
+    edges = ", ".join(f"quantile_cont({c}, {p}) AS e_{c}_{i}" for c in cols for i, p in enumerate(probs))
+    binx = ", ".join("(" + " + ".join(f"CAST({c} > e_{c}_{i} AS INTEGER)" for i in range(9)) + f") AS b_{c}"
+                     for c in cols)
+    joint = " UNION ALL ".join(f"SELECT '{c}' AS feature, b_{c} AS xb, b_price AS yb FROM b" for c in WIDE_FEATURES)
+    return f"""{W},
+e AS (SELECT {edges} FROM wide),
+b AS (SELECT {binx} FROM wide, e),
+j AS (SELECT feature, xb, yb, count(*) AS nxy FROM ({joint}) GROUP BY 1, 2, 3),
+m AS (SELECT *, sum(nxy) OVER (PARTITION BY feature) AS n,
+             sum(nxy) OVER (PARTITION BY feature, xb) AS nx, sum(nxy) OVER (PARTITION BY feature, yb) AS ny FROM j)
+SELECT feature, round(sum(nxy * 1.0 / n * ln(nxy * 1.0 * n / (nx * ny))), 8) AS mutual_info FROM m GROUP BY feature"""
+
+
+@register("F4_mutual_information_binned", _mi_sql())
 def q_f4(spark, sf_dir):
     return round_doubles(fe.mutual_information(wide(spark, sf_dir), WIDE_FEATURES, "price", bins=10), 8)
 
