@@ -64,3 +64,19 @@ def test_knn_block_matches_naive():
         w = np.array([1 / x for x, _ in top])
         v = np.array([don[i, j] for _, i in top])
         assert out[r, j] == pytest.approx((w * v).sum() / w.sum())
+
+
+def test_iterative_impute_recovers_linear_relation(spark):
+    from kestrel.operators.imputation import iterative_impute
+    rows = []
+    for i in range(200):
+        a = float(i % 17)
+        b = 3.0 * a + 2.0
+        if i % 10 == 0:
+            b = None
+        rows.append((i, a, b))
+    df = spark.createDataFrame(rows, "rid long, a double, b double")
+    out = {r["rid"]: r for r in iterative_impute(df, ["a", "b"], rounds=3).collect()}
+    for i, a, b in rows:
+        assert out[i]["a"] == a
+        assert out[i]["b"] == pytest.approx(3.0 * a + 2.0, abs=1e-6)
