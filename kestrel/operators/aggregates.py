@@ -59,7 +59,7 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- describe
-def describe_numeric(df: DataFrame, columns=None, buckets: int = 64) -> DataFrame:
+def describe_numeric(df: DataFrame, columns=None, buckets: int | None = None) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (exact, linear), max per column (A5)."""
     cols = list(columns or numeric_columns(df))
     long = to_long(df, cols).where(F.col("value").isNotNull())
@@ -122,7 +122,7 @@ def n_levels(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
 
 
 # ---------------------------------------------------------------- groups
-def group_summary(df: DataFrame, group, value: str, buckets: int = 64) -> DataFrame:
+def group_summary(df: DataFrame, group, value: str, buckets: int | None = None) -> DataFrame:
     """n / mean / median / std (n-1) of ``value`` per group, by mean desc.
 
     Moments come from one combining aggregate.  The median comes from the

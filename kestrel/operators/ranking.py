@@ -24,7 +24,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+DEFAULT_BUCKETS = None  # None: follow spark.sql.shuffle.partitions (64 .. 65,536)
+CASE_LIMIT = 256         # beyond this many bounds, bucket with MLlib's Bucketizer
+
+
+def _auto_buckets(spark) -> int:
+    try:
+        sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        sp = 200
+    return int(min(65536, max(64, sp)))
 
 
 def _by(by) -> list[str]:
@@ -63,7 +72,7 @@ def _bucket_bounds(hist: DataFrame, value: str, buckets: int, bucket_by: str | N
     if buckets <= 1:
         return [] if bucket_by is None else {}
     fracs = [i / buckets for i in range(1, buckets)]
-    q = F.percentile_approx(value, fracs, 10000).alias("b")
+    q = F.percentile_approx(value, fracs, max(10000, 10 * buckets)).alias("b")
     if bucket_by is None:
         bounds = hist.agg(q).collect()[0]["b"] or []
         return sorted(set(b for b in bounds if b is not None))
@@ -115,8 +124,18 @@ def ranked_histogram(df: DataFrame, value: str, by=None, weight: str | None = No
     src = df.where(F.col(value).isNotNull()) if df is not None else None
     if hist is None:
         hist = value_histogram(df, value, by, weight)
+    if buckets is None:
+        buckets = _auto_buckets(hist.sparkSession)
     bounds = _bucket_bounds(src if src is not None else hist, value, buckets, bucket_by)
-    h = hist.withColumn("_b", _bucket_expr(value, bounds, bucket_by))
+    if bucket_by is None and len(bounds) > CASE_LIMIT:
+        # many buckets (a large cluster): a JVM binary search instead of a CASE tree
+        from pyspark.ml.feature import Bucketizer
+        splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
+        h = hist.withColumn("_bv", F.col(value).cast("double"))
+        h = Bucketizer(splits=splits, inputCol="_bv", outputCol="_bd", handleInvalid="keep").transform(h)
+        h = h.withColumn("_b", F.col("_bd").cast("int")).drop("_bv", "_bd")
+    else:
+        h = hist.withColumn("_b", _bucket_expr(value, bounds, bucket_by))
     w_local = (Window.partitionBy(*by, "_b").orderBy(value)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = h.withColumn("_lb", F.coalesce(F.sum("n").over(w_local), F.lit(0.0)))
@@ -164,7 +183,9 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None,
                .withColumn("_lo", F.floor("_h").cast("double"))
                .withColumn("_hi", F.ceil("_h").cast("double")))
     if not by:
-        targets = targets.withColumn("_k", F.lit(0))
+        # one constant key: the target table (#probs rows) must be broadcast,
+        # or a shuffle join would send every histogram row to one partition
+        targets = F.broadcast(targets.withColumn("_k", F.lit(0)))
         rhk = rh.withColumn("_k", F.lit(0))
         keys = ["_k"]
     else:

@@ -146,3 +146,17 @@ def test_mann_whitney_matches_brute_force(spark):
         p = min(1.0, 2 * norm_sf((abs(u - n1 * n2 / 2) - 0.5) / sigma))
         assert got[(x, y)][0] == pytest.approx(u)
         assert got[(x, y)][1] == pytest.approx(p, rel=1e-9)
+
+
+def test_ranked_histogram_bucketizer_path(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(8)
+    vals = np.round(rng.normal(size=3000), 3)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    got = {r["v"]: r["rank"] for r in ranking.ranked_histogram(df, "v", buckets=400).collect()}
+    want = pd.Series(vals).rank(method="average")
+    for v, rk in zip(vals, want):
+        assert got[float(v)] == pytest.approx(rk)
+    q = ranking.exact_quantiles(df, "v", [0.5], buckets=400).collect()[0]["quantile"]
+    assert q == pytest.approx(float(np.quantile(vals, 0.5)))
