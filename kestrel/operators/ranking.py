@@ -108,6 +108,25 @@ def _bucket_expr(value: str, bounds, bucket_by: str | None = None) -> Column:
     return F.coalesce(F.size(F.filter(m[F.col(bucket_by)], lambda t: t < v)), F.lit(0))
 
 
+def assign_buckets(frame: DataFrame, value: str, bounds_src: DataFrame, buckets: int | None = None,
+                   bucket_by: str | None = None, out: str = "_b") -> DataFrame:
+    """Add a monotone value-bucket column ``out`` to ``frame``.  Bounds are
+    approximate quantiles of ``bounds_src``; the bucket count follows
+    ``spark.sql.shuffle.partitions`` unless given.  Up to ``CASE_LIMIT``
+    bounds use a CASE binary search, beyond that MLlib's Bucketizer."""
+    if buckets is None:
+        buckets = _auto_buckets(frame.sparkSession)
+    bounds = _bucket_bounds(bounds_src, value, buckets, bucket_by)
+    if bucket_by is None and len(bounds) > CASE_LIMIT:
+        # many buckets (a large cluster): a JVM binary search instead of a CASE tree
+        from pyspark.ml.feature import Bucketizer
+        splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
+        h = frame.withColumn("_bv", F.col(value).cast("double"))
+        h = Bucketizer(splits=splits, inputCol="_bv", outputCol="_bd", handleInvalid="keep").transform(h)
+        return h.withColumn(out, F.col("_bd").cast("int")).drop("_bv", "_bd")
+    return frame.withColumn(out, _bucket_expr(value, bounds, bucket_by))
+
+
 def ranked_histogram(df: DataFrame, value: str, by=None, weight: str | None = None,
                      buckets: int = DEFAULT_BUCKETS, hist: DataFrame | None = None,
                      bucket_by: str | None = None) -> DataFrame:
@@ -124,18 +143,7 @@ def ranked_histogram(df: DataFrame, value: str, by=None, weight: str | None = No
     src = df.where(F.col(value).isNotNull()) if df is not None else None
     if hist is None:
         hist = value_histogram(df, value, by, weight)
-    if buckets is None:
-        buckets = _auto_buckets(hist.sparkSession)
-    bounds = _bucket_bounds(src if src is not None else hist, value, buckets, bucket_by)
-    if bucket_by is None and len(bounds) > CASE_LIMIT:
-        # many buckets (a large cluster): a JVM binary search instead of a CASE tree
-        from pyspark.ml.feature import Bucketizer
-        splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
-        h = hist.withColumn("_bv", F.col(value).cast("double"))
-        h = Bucketizer(splits=splits, inputCol="_bv", outputCol="_bd", handleInvalid="keep").transform(h)
-        h = h.withColumn("_b", F.col("_bd").cast("int")).drop("_bv", "_bd")
-    else:
-        h = hist.withColumn("_b", _bucket_expr(value, bounds, bucket_by))
+    h = assign_buckets(hist, value, src if src is not None else hist, buckets, bucket_by)
     w_local = (Window.partitionBy(*by, "_b").orderBy(value)
                .rowsBetween(Window.unboundedPreceding, -1))
     local = h.withColumn("_lb", F.coalesce(F.sum("n").over(w_local), F.lit(0.0)))

@@ -222,7 +222,7 @@ def group_pairs(levels: DataFrame, group: str) -> DataFrame:
 
 
 def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame,
-                       buckets: int = 64) -> DataFrame:
+                       buckets: int | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U for every pair of the given levels.
 
     ``levels`` (group, pos) is bounded (top-k).  The value histogram is
@@ -233,7 +233,7 @@ def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame,
     Σ_v (t³ − t) with t = n_1(v) + n_2(v).  p uses the tie-corrected normal
     approximation with continuity correction.
     """
-    from kestrel.operators.ranking import _bucket_bounds, _bucket_expr
+    from kestrel.operators.ranking import assign_buckets
     lv = levels.orderBy("pos").collect()  # k rows
     names = [r[group] for r in lv]
     k = len(names)
@@ -241,8 +241,7 @@ def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame,
     h = d.groupBy(value).pivot(group, names).agg(F.count(F.lit(1)))
     h = h.select(value, *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).cast("double").alias(f"n{i}")
                           for i, g in enumerate(names)])
-    bounds = _bucket_bounds(d, value, buckets)
-    h = h.withColumn("_b", _bucket_expr(value, bounds))
+    h = assign_buckets(h, value, d, buckets)
     w_local = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = h.withColumns({f"l{i}": F.coalesce(F.sum(f"n{i}").over(w_local), F.lit(0.0)) for i in range(k)})
     tot = h.groupBy("_b").agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(k)])
