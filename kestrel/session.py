@@ -51,6 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     lost and lineage must be cut into shared storage.
     """
     sc = spark.sparkContext
+    ship_package(spark)
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
@@ -64,6 +65,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kestrel`` importable in the Python workers (pandas UDFs and
+    ``mapInPandas`` functions are pickled by module reference).
+
+    Zips the installed package once per application and registers it with
+    ``addPyFile`` — the programmatic form of ``spark-submit --py-files``;
+    executors fetch the archive from the driver.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="kestrel-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "kestrel"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def scratch_dir(spark: SparkSession, name: str = "") -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
