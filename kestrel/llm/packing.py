@@ -26,7 +26,7 @@ from kestrel.llm.common import by_slices, texts_of
 
 MAX_LENGTH = 4096
 END_ID = 2
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 
 # Latin letters whose class and lower case Python and the tokenizer's Unicode
@@ -35,6 +35,18 @@ _LATIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ž]*")
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ž"
 _LATIN_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}0-9]+")
 _ANY_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_ANY_WORD = regex.compile(r"\S+")
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The visible character that byte-level BPE writes for each byte: printable
+    Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    plain = [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]
+    return {b: chr(b) for b in plain} | {
+        b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
+_BYTE_SYMBOLS = _byte_symbols()
 
 
 class WordEncoder:
@@ -46,31 +58,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
+        """The normalised text, cut at blanks: no token crosses one."""
         if _LATIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
-            return _LATIN_PIECE.findall(text.lower())
-        return _ANY_PIECE.findall(self.tokenizer.normalizer.normalize_str(text))
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """All pieces in one call; a token that ends a word ends a piece."""
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(pieces) or (len(ids) and ends[-1] != len(ids)):
-            return [np.array(e.ids, "<u4").tobytes()
-                    for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        data = ids.astype("<u4").tobytes()
-        edges = [0, *(ends * 4).tolist()]
-        return [data[edges[i]:edges[i + 1]] for i in range(len(pieces))]
+            return text.lower().split()
+        return _ANY_WORD.findall(self.tokenizer.normalizer.normalize_str(text))
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """New words, piece by piece; the pieces have a cache of their own."""
+        cache, split, seen = self.pieces, [], set()
+        for word in words:
+            found = (_LATIN_PIECE if _LATIN.fullmatch(word) else _ANY_PIECE).findall(word)
+            split.append(found)
+            seen.update(found)
+        tokenize = self.tokenizer.model.tokenize
+        for piece in seen.difference(cache):
+            symbols = piece.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+            cache[piece] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(symbols)])
+        out = [b"".join(map(cache.__getitem__, found)) for found in split]
+        if len(cache) > CACHE_ENTRIES:
+            cache.clear()
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cache, split, seen = self.cache, [], set()
         for text in texts:
-            found = self.pieces(text)
+            found = self.words(text)
             split.append(found)
             seen.update(found)
         misses = list(seen.difference(cache))
@@ -80,9 +96,9 @@ class WordEncoder:
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         else:
-            for piece in misses:
-                if len(piece) > CACHE_CHARS:
-                    del cache[piece]
+            for word in misses:
+                if len(word) > CACHE_CHARS:
+                    del cache[word]
         return out
 
 
