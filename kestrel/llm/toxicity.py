@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,15 +60,14 @@ MIN_COUNT, MIN_RATIO, L2, SWAP_PENALTY, ROUNDS = 3, 2.0, 1e-4, 5.0, 300
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by word, and the bias."""
+    """Weights by word hash, and the bias."""
     weights: dict
     bias: float
 
     def score(self, texts) -> list[float]:
         get, out = self.weights.get, []
         for text in texts:
-            words = set(_WORD.findall(text.lower())) if text else ()
-            z = self.bias + math.fsum(w for w in map(get, words) if w is not None)
+            z = self.bias + math.fsum(w for w in map(get, word_hashes(text)) if w is not None)
             out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
         return out
 
@@ -77,7 +77,7 @@ class Model:
     @staticmethod
     def from_json(data: str) -> Model:
         x = json.loads(data)
-        return Model(x["weights"], x["bias"])
+        return Model({int(k): w for k, w in x["weights"].items()}, x["bias"])
 
 
 def swaps(text: str) -> list[tuple[set, set]]:
@@ -102,28 +102,44 @@ def _lexicon_swaps() -> list[tuple[set, set]]:
     return out
 
 
-def _distinct_words(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: list(set(_WORD.findall(t.lower()))) if t else [])
+def _hash(word: str) -> int:
+    """crc32 of a word, as a signed integer."""
+    h = zlib.crc32(word.encode())
+    return h - (h >> 31 << 32)
 
 
-def _swapped_words(texts: pd.Series) -> pd.Series:
-    """Differences by swap, as "+word" and "-word"."""
-    return texts.map(lambda t: [["+" + w for w in b - a] + ["-" + w for w in a - b] for a, b in swaps(t)] if t else [])
+def word_hashes(text: str | None) -> set[int]:
+    """The hashes of the distinct lower-case words of a text."""
+    return set(map(_hash, set(_WORD.findall(text.lower())))) if text else set()
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_rows: int = MAX_FIT_ROWS,
+def _hash_lists(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: sorted(word_hashes(t)))
+
+
+def _swap_lists(texts: pd.Series) -> pd.Series:
+    """By swap: the hashes that it brings in, and those that it takes out."""
+    return texts.map(lambda t: [{"gone": [_hash(w) for w in a - b], "new": [_hash(w) for w in b - a]}
+                                for a, b in swaps(t)] if t else [])
+
+
+def word_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, words, swaps``: what the classifier reads of each row; an integer for
+    each distinct word, so that joins move less than the texts."""
+    words = F.pandas_udf(_hash_lists, "array<int>")
+    changes = F.pandas_udf(_swap_lists, "array<struct<gone:array<int>,new:array<int>>>")
+    return docs.select("doc_id", words(text).alias("words"), changes(text).alias("swaps"))
+
+
+def fit(labelled: DataFrame, label: str = "label", max_rows: int = MAX_FIT_ROWS,
         max_features: int = MAX_FEATURES, swap_penalty: float = SWAP_PENALTY) -> Model:
-    """Fit on ``labelled(text, label)``; rows with a null label are left out.
+    """Fit on ``labelled(words, swaps, label)``; rows with a null label are left out.
 
     Without rows, or with one class, the model has no weights and its bias is
     the smoothed share of label 1.
     """
-    words = F.pandas_udf(_distinct_words, "array<string>")
-    changes = F.pandas_udf(_swapped_words, "array<array<string>>")
-    rows = labelled.where(F.col(label).isNotNull()).select(
-        F.col(label).cast("int").alias("y"), F.xxhash64(F.col(text)).alias("h"), words(F.col(text)).alias("words"),
-        changes(F.col(text)).alias("swaps"))
-    rows = cut(rows)
+    rows = cut(labelled.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("int").alias("y"), F.xxhash64("words").alias("h"), "words", "swaps"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1 = sum(n for y, n in sizes.items() if y == 1)
     n0 = sum(n for y, n in sizes.items() if y != 1)
@@ -140,20 +156,17 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", max_rows:
     features = {r["word"]: r["ratio"] for r in counted.select("word", "ratio").collect()}
     names = list(features)
     column = {w: i for i, w in enumerate(names)}
-    scale = np.array([features[w] for w in names])
+    scale = np.array(list(features.values()), float)
 
     pick = F.pandas_udf(lambda s: s.map(lambda ws: [column[w] for w in ws if w in column]), "array<int>")
-    sample = (rows.orderBy("h", "y").limit(max_rows)
-              .select("y", "h", pick("words").alias("x"), "swaps").orderBy("h", "y", "x").collect())
+    sample = rows.select("y", "h", pick("words").alias("x"), "swaps").orderBy("h", "y").limit(max_rows).collect()
     y = np.array([1.0 if r["y"] == 1 else 0.0 for r in sample])
     at = np.repeat(np.arange(len(sample)), [len(r["x"]) for r in sample])
     x = np.array([i for r in sample for i in sorted(r["x"])], int)
     moved: list[dict[int, float]] = []
-    for a, b in _lexicon_swaps():
-        moved.append({column[w]: s for side, s in ((a - b, -1.0), (b - a, 1.0)) for w in side if w in column})
-    for r in sample:
-        moved += [{column[w[1:]]: 1.0 if w[0] == "+" else -1.0 for w in change if w[1:] in column}
-                  for change in r["swaps"]]
+    for gone, new in [([_hash(w) for w in a - b], [_hash(w) for w in b - a]) for a, b in _lexicon_swaps()] + [
+            (c["gone"], c["new"]) for r in sample for c in r["swaps"]]:
+        moved.append({column[w]: sign for side, sign in ((gone, -1.0), (new, 1.0)) for w in side if w in column})
     moved = [m for m in moved if m]
     pair_at = np.repeat(np.arange(len(moved)), [len(m) for m in moved])
     pair_x = np.array([i for m in moved for i in m], int)
@@ -191,11 +204,11 @@ def score_column(spark: SparkSession, model: Model, text: str = "text") -> F.Col
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataFrame:
-    """``text, label`` of the rows to learn from: crc32(doc_id) mod 5 is not 0."""
+    """``words, swaps, label`` of the rows to learn from: crc32(doc_id) mod 5 is not 0."""
     marks = (labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()
                           & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
              .groupBy("doc_id").agg(F.max(target).alias("label")))
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "label")
+    return word_table(docs).join(marks, "doc_id").select("words", "swaps", "label")
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
