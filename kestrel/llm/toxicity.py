@@ -208,7 +208,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, target: str = "toxic") ->
     marks = (labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()
                           & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
              .groupBy("doc_id").agg(F.max(target).alias("label")))
-    return word_table(docs).join(marks, "doc_id").select("words", "swaps", "label")
+    return word_table(docs).join(marks.hint("merge"), "doc_id").select("words", "swaps", "label")
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
