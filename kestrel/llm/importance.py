@@ -131,7 +131,7 @@ def resample(docs: DataFrame, good: DataFrame, share: float | None = None, label
     rows: the models are equal but for smoothing; an empty table gives no rows.
     """
     good = good.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select(
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select(
         F.coalesce("target", F.lit(False)).alias("target"), "text")
     target, raw = count_models(marked)
     scored = weigh(docs, log_ratio(target, raw))
