@@ -152,18 +152,18 @@ def votes_of(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Counts, ``base_failed``, ``quality`` (posterior) and ``kept`` for each row.
+    """Counts, ``base_failed``, ``posterior`` (of good) and ``kept`` for each row.
 
     Null and empty texts fail the base rules; repeated rows are judged alike; an
     empty table gives no rows; extra columns are left out.
     """
     rows = cut(votes_of(docs))
     patterns = {r["votes"]: r["count"] for r in rows.groupBy("votes").count().collect()}
-    quality = estimate(patterns)
-    table = docs.sparkSession.createDataFrame(list(quality.items()), "votes int, quality double")
+    posterior = estimate(patterns)
+    table = docs.sparkSession.createDataFrame(list(posterior.items()), "votes int, posterior double")
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return (rows.join(F.broadcast(table), "votes", "left")  # at most 3^rules rows
             .withColumn("base_failed", failed)
-            .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
             .drop("votes"))
