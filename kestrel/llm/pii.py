@@ -32,7 +32,7 @@ _digit = re.compile("[0-9]").search
 _ip = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)").finditer
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
-_numbers = re.compile(r"(?<![\w.+-])(?:[A-Za-z]{1,3}[-\x20]?)?[0-9](?:[\x20./-]?[0-9]){5,18}(?![\w-])").finditer
+_numbers = re.compile(r"(?<![\w.+-])(?:[A-Z]{1,3}-?)?[0-9](?:[\x20./-]?[0-9]){5,18}(?![\w-])").finditer
 _spelt = re.compile(r"(?<!\w)[A-Za-z0-9._%+-]{1,40}(?:\x20at\x20|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]{1,40}"
                     r"(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[A-Za-z]{2,12})+").finditer
 _nondigit = re.compile("[^0-9]")
