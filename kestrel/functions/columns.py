@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -17,11 +18,6 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in exclude]
 
 
-def string_columns(df: DataFrame, exclude=()) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, T.StringType) and f.name not in exclude]
-
-
 def dtype_kind(dt: T.DataType) -> str:
     """pandas ``select_dtypes`` family: number, object, datetime, other."""
     if isinstance(dt, T.BooleanType):
@@ -57,14 +53,20 @@ def feature_groups(columns, prefix: str = "genre_", suffix: str = "_missing",
     return out
 
 
-def leakage_guard(columns, leak_names, id_columns=()) -> list[str]:
-    """Columns to drop before modelling.
+def leaking_fields(schema, forbidden) -> list[str]:
+    """The fields of a schema whose name, in any case, is forbidden in a model:
+    ids, the target, and what is derived from it (P12)."""
+    banned = {name.casefold() for name in forbidden}
+    return [field.name for field in schema.fields if field.name.casefold() in banned]
 
-    A column leaks when its lower-cased name is one of ``leak_names`` (the
-    target and names derived from it).  Present id columns come first, then
-    leaking ones; the list is de-duplicated keeping first occurrences.
-    """
-    leak = {n.lower() for n in leak_names}
-    present = [c for c in id_columns if c in columns]
-    leaking = [c for c in columns if c.lower() in leak]
-    return list(dict.fromkeys(present + leaking))
+
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def number_or_null(column: str, kind=None) -> F.Column:
+    """The number that a text column spells, else NULL.  The pattern keeps out what
+    a cast alone takes for a number, such as "12f" or "3d"; "nan" and "inf" pass."""
+    text = F.col(f"`{column}`").cast("string")
+    spelt = text.rlike(NUMBER) | F.lower(F.trim(text)).rlike(r"^[+-]?(inf|infinity|nan)$")
+    name = kind.simpleString() if kind is not None else "double"
+    return F.when(spelt, F.expr(f"try_cast(trim(CAST(`{column}` AS STRING)) AS {name})"))

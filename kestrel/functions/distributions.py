@@ -10,6 +10,7 @@ Shapiro-Wilk, and Gauss-Legendre quadrature for the studentized range.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -312,10 +313,6 @@ def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
     return _vec(_safe(chi2_sf), x, k)
 
 
-@F.pandas_udf(T.DoubleType())
-def norm_sf_udf(z: pd.Series) -> pd.Series:
-    return _vec(_safe(norm_sf), z)
-
 
 @F.pandas_udf(T.DoubleType())
 def norm_ppf_udf(p: pd.Series) -> pd.Series:
@@ -325,3 +322,27 @@ def norm_ppf_udf(p: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def tukey_p_udf(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return _vec(_safe(lambda a, b, c: 1.0 - studentized_range_cdf(a, int(b), c)), q, k, df)
+
+
+#: Positions of one tied value are worked off in pieces of this many.
+SCORE_PIECE = 1 << 20
+
+
+@F.pandas_udf(T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("squares", T.DoubleType())]))
+def normal_scores_udf(before: pd.Series, n: pd.Series, total: pd.Series) -> pd.DataFrame:
+    """Mean, and sum of squares, of the normal quantiles at Filliben's positions
+    before + 1 .. before + n of ``total`` ordered values."""
+    ppf = NormalDist().inv_cdf
+    out = []
+    for b, k, m in zip(before.astype("int64"), n.astype("int64"), total.astype("int64")):
+        one = squares = 0.0
+        for at in range(b + 1, b + k + 1, SCORE_PIECE):
+            pos = np.arange(at, min(at + SCORE_PIECE, b + k + 1))
+            p = (pos - 0.3175) / (m + 0.365)
+            p[pos == m] = 0.5 ** (1 / m)
+            p[pos == 1] = 1 - 0.5 ** (1 / m)
+            q = np.fromiter(map(ppf, p), float, len(p))
+            one += q.sum()
+            squares += q @ q
+        out.append((one / k, squares))
+    return pd.DataFrame(out, columns=["mean", "squares"])

@@ -9,7 +9,10 @@ shuffle rather than by hundreds of expressions in one task.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,46 +230,102 @@ def box_stats(df: DataFrame, value: str, by=None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- correlation
+def pearson(a: str, b: str) -> F.Column:
+    """Pearson's r over the rows where both columns have a value, as an aggregate;
+    NULL where one of them does not vary (``corr`` divides by zero there)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = [F.stddev_pop(F.when(both, F.col(c).cast("double"))) for c in (a, b)]
+    return F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
+
+
+def _pair_sums(df: DataFrame, cols) -> DataFrame:
+    """``i, j`` and the sums of a Pearson correlation for every ordered pair of
+    columns over the rows where both have a value: one pass and p x p numbers from
+    each task, for any number of columns.  Values are taken from the mean."""
+    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    means = data.agg(*[F.avg(c).alias(c) for c in data.columns]).first()
+    shift, p = np.array([0.0 if m is None else m for m in means]), len(cols)
+
+    def run(batches):
+        n, x1, x2, xy = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan) - shift
+            there = (~np.isnan(x)).astype(float)
+            x[there == 0] = 0
+            n += there.T @ there
+            x1 += x.T @ there
+            x2 += (x * x).T @ there
+            xy += x.T @ x
+        i, j = np.indices((p, p))
+        yield pd.DataFrame({k: v.ravel() for k, v in (("i", i), ("j", j), ("n", n), ("x", x1), ("y", x1.T),
+                                                      ("xx", x2), ("yy", x2.T), ("xy", xy))})
+    sums = "n double, x double, y double, xx double, yy double, xy double"
+    parts = data.mapInPandas(run, f"i int, j int, {sums}")
+    return parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
+
+
+def _gram_correlations(df: DataFrame, cols) -> DataFrame:
+    """``i, j, corr`` by :func:`_pair_sums`; NULL where a column does not vary."""
+    def spread(one, two):
+        square = F.col("n") * F.col(two) - F.col(one) * F.col(one)
+        return F.when(square > 1e-12 * F.col("n") * F.col(two), F.sqrt(square))
+    corr = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (spread("x", "xx") * spread("y", "yy"))
+    return _pair_sums(df, cols).select("i", "j", corr.alias("corr"))
+
+
+def _ranked_pairs(df: DataFrame, cols, pairs) -> DataFrame:
+    """``i, j, corr``: Spearman's rho of each pair of columns, ranked over the rows
+    where both have a value.  Pairs of values are counted before ranks are joined,
+    so a frequent value is one row."""
+    items = F.array(*[F.struct(F.lit(f"{i}_{j}").alias("column"), F.col(cols[i]).cast("double").alias("x"),
+                               F.col(cols[j]).cast("double").alias("y")) for i, j in pairs])
+    long = df.select(F.explode(items).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    cells = long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    for v in ("x", "y"):
+        hist = cells.groupBy("column", v).agg(F.sum("c").alias("n"))
+        ranks = ranked_histogram(long, v, by="column", bucket_by="column", hist=hist)
+        middle = F.col("rank") - (F.col("total") + 1) / 2.0
+        cells = cells.join(ranks.select("column", v, middle.alias(f"r{v}")), ["column", v])
+    sums = cells.groupBy("column").agg(F.sum(F.col("c") * F.col("rx") * F.col("ry")).alias("xy"),
+                                       F.sum(F.col("c") * F.col("rx") ** 2).alias("xx"),
+                                       F.sum(F.col("c") * F.col("ry") ** 2).alias("yy"))
+    ij = F.split("column", "_")
+    return sums.select(ij[0].cast("int").alias("i"), ij[1].cast("int").alias("j"),
+                       F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("corr"))
+
+
 def correlation_matrix(df: DataFrame, columns, method: str = "pearson") -> DataFrame:
     """Long (a, b, corr, i, j) for every ordered pair.
 
-    Pearson uses pairwise-complete rows per pair (``corr`` skips NULLs).
-    Spearman drops rows with a NULL in any listed column, ranks every column
-    at once on the long form (W6), pivots the ranks back per row and
-    correlates them.
+    Each pair uses the rows where both columns have a value, whatever the other
+    columns hold and however many there are.  Spearman ranks columns without
+    NULLs once; a pair with NULLs is ranked on its own rows.
     """
     cols = list(columns)
-    src = df
     if method == "spearman":
-        src = rank_columns(df.select(*cols).na.drop("any"), cols)
-    if len(cols) > WIDE_CORR:
-        return _correlation_mllib(src, cols)
-    pairs = [(a, b) for a in cols for b in cols]
-    names = [f"c{i}_{j}" for i in range(len(cols)) for j in range(len(cols))]
-    row = src.agg(*[F.corr(a, b).alias(n) for (a, b), n in zip(pairs, names)])
-    long = row.unpivot([], names, "pair", "corr")
-    ij = F.split(F.substring(F.col("pair"), 2, 100), "_")
-    out = long.select(ij[0].cast("int").alias("i"), ij[1].cast("int").alias("j"), "corr")
+        row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"h{i}") for i, c in enumerate(cols)]).first()
+        whole = [i for i in range(len(cols)) if not row[i]]
+        pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if row[i] or row[j]]
+        parts = []
+        if whole:
+            at = F.array(*[F.lit(i) for i in whole])
+            ranks = rank_columns(df, [cols[i] for i in whole])
+            parts.append(_gram_correlations(ranks, [cols[i] for i in whole]).select(
+                F.element_at(at, F.col("i") + 1).alias("i"), F.element_at(at, F.col("j") + 1).alias("j"), "corr"))
+        if pairs:
+            upper = _ranked_pairs(df, cols, [(i, j) for i, j in pairs if i <= j])
+            parts += [upper, upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr")]
+            empty = df.sparkSession.createDataFrame(pairs, "i int, j int")
+            parts.append(empty.join(parts[-2].unionByName(parts[-1]), ["i", "j"], "left_anti")
+                         .withColumn("corr", F.lit(None).cast("double")))
+        out = reduce(DataFrame.unionByName, parts)
+    else:
+        out = _gram_correlations(df, cols)
     arr = F.array(*[F.lit(c) for c in cols])
     return out.select(F.element_at(arr, F.col("i") + 1).alias("a"), F.element_at(arr, F.col("j") + 1).alias("b"),
                       "corr", "i", "j")
 
 
-WIDE_CORR = 40
-
-
-def _correlation_mllib(df: DataFrame, cols) -> DataFrame:
-    """p x p Pearson matrix through MLlib's distributed ``Correlation`` (one
-    treeAggregate of the covariance instead of p² SQL aggregates); rows with
-    a NULL in any column are skipped (complete cases)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    v = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(df.select(*cols))
-    m = Correlation.corr(v, "_v", "pearson").collect()[0][0].toArray()  # p x p
-    rows = [(a, b, float(m[i, j]), i, j) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double, i int, j int")
-
-
 def rank_columns(df: DataFrame, columns, row_id: str | None = None) -> DataFrame:
     """Replace each column by its average rank (W6), all columns in one pass:
     unpivot, one ranked histogram grouped (and bucketed) by column, join the
@@ -289,7 +348,7 @@ def lower_triangle(corr_long: DataFrame) -> DataFrame:
 def target_correlations(df: DataFrame, target: str, columns=None, top: int | None = 15) -> DataFrame:
     """(feature, corr, abs_corr) against the target, by |corr| desc."""
     cols = [c for c in (columns or numeric_columns(df)) if c != target]
-    row = df.agg(*[F.corr(c, target).alias(c) for c in cols])
+    row = df.agg(*[pearson(c, target).alias(c) for c in cols])
     out = (row.unpivot([], cols, "feature", "corr")
               .withColumn("abs_corr", F.abs("corr"))
               .orderBy(F.desc_nulls_last("abs_corr"), "feature"))

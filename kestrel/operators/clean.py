@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.functions.columns import dtype_kind
+from kestrel.functions.columns import dtype_kind, number_or_null
 from kestrel.operators.ranking import exact_quantiles
 
 
@@ -33,7 +33,8 @@ def column_kinds(df: DataFrame) -> list[tuple[str, str]]:
 
 def coerce_numeric(df: DataFrame, columns) -> DataFrame:
     """Cast to double; text that does not parse becomes NULL."""
-    return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in columns})
+    return df.withColumns({c: number_or_null(c) if isinstance(df.schema[c].dataType, T.StringType)
+                           else F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in columns})
 
 
 def drop_incomplete(df: DataFrame, columns=None) -> DataFrame:
@@ -94,7 +95,7 @@ def iqr_filter(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     exact (linear, distributed) and come back as two numbers used as literals."""
     q = {r["prob"]: r["quantile"] for r in exact_quantiles(df, column, [0.25, 0.75]).collect()}
     q1, q3 = q[0.25], q[0.75]
-    if q1 is None:
+    if q1 is None or q3 is None:
         return df.limit(0)
     lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
     return df.where(F.col(column).between(F.lit(lo), F.lit(hi)))
@@ -136,11 +137,6 @@ def flag_best(df: DataFrame, order, partition=None, flag: str = "selected") -> D
     return df.withColumn(flag, (F.row_number().over(w) == 1).cast("int"))
 
 
-def predicted_class(prob: Column, threshold: float = 0.5) -> Column:
-    """1 if P(class 1) >= threshold."""
-    return (prob >= threshold).cast("int")
-
-
 # ---------------------------------------------------------------- duplicates
 def count_duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row (D1); NULLs compare equal, as in pandas."""
@@ -157,12 +153,12 @@ def count_duplicate_keys(df: DataFrame, keys) -> DataFrame:
 def keep_first(df: DataFrame, keys, order_col: str) -> DataFrame:
     """One row per key: the one with the smallest ``order_col`` (D3).
 
-    ``min(struct(order, ...rest))`` is a combining aggregate, so a key that
-    holds a third of the table is reduced map-side instead of being sorted
-    in one window task.
+    Ties are broken by the other columns.  ``row_number() = 1`` is planned with a
+    window group limit before the shuffle: each task sends one row per key, so a
+    key that holds a third of the table is reduced map-side.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rest = [c for c in df.columns if c not in keys and c != order_col]
-    best = F.min(F.struct(F.col(order_col), *[F.col(c) for c in rest])).alias("_b")
-    return df.groupBy(*keys).agg(best).select(*keys, F.col(f"_b.{order_col}").alias(order_col),
-                                              *[F.col(f"_b.{c}").alias(c) for c in rest])
+    w = Window.partitionBy(*keys).orderBy(order_col, *rest)
+    return (df.withColumn("_first", F.row_number().over(w)).where(F.col("_first") == 1)
+              .select(*keys, order_col, *rest))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.operators.aggregates import to_long
+from kestrel.operators.aggregates import to_long, pearson
 from kestrel.operators.ranking import exact_quantiles
 
 
@@ -33,12 +33,14 @@ def variance_threshold(fit: DataFrame, columns, threshold: float = 0.0) -> list[
 
 
 def f_scores(df: DataFrame, columns, target: str, top: int | None = None) -> DataFrame:
-    """Univariate regression F = r²/(1−r²)·(n−2) per feature, by F desc."""
+    """Univariate regression F = r²/(1−r²)·(n−2) per feature, by F desc (F3);
+    infinite for a perfect correlation, NULL for a constant column."""
     cols = list(columns)
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(c, target).alias(c) for c in cols])
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[pearson(c, target).alias(c) for c in cols])
     long = row.unpivot(["_n"], cols, "feature", "corr")
     out = long.select("feature", "corr",
-                      (F.col("corr") ** 2 / (1 - F.col("corr") ** 2) * (F.col("_n") - 2)).alias("f_score"))
+                      F.when(F.abs("corr") >= 1, float("inf")).otherwise(
+                          F.try_divide(F.col("corr") ** 2, 1 - F.col("corr") ** 2) * (F.col("_n") - 2)).alias("f_score"))
     out = out.orderBy(F.desc_nulls_last("f_score"), "feature")
     return out.limit(top) if top else out
 
@@ -157,9 +159,3 @@ def pca_project(df: DataFrame, columns, stats: dict, model, k: int, keep=()) ->
     arr = vector_to_array("_pc")
     return t.select(*keep, *[arr[i].alias(f"PC{i + 1}") for i in range(k)])
 
-
-def correlation_eigen_ratios_2d(r: float) -> list[float]:
-    """Eigenvalue shares of a 2x2 correlation matrix: (1 ± |r|) / 2."""
-    a = abs(r)
-    return [(1 + a) / 2, (1 - a) / 2]
-

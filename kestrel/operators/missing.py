@@ -285,10 +285,23 @@ def subsample(df: DataFrame, row_id: str, n: int, seed="411", by=None) -> DataFr
     return j.where(sel).drop("_h", "cut_hash", "cut_tie")
 
 
-def kfold(df: DataFrame, row_id: str, k: int = 5, seed="42", out: str = "fold") -> DataFrame:
-    """Fold number 0..k-1 from md5(seed|fold|row_id) mod k (V1); with a
-    class column in the key it is stratified in expectation (V2)."""
-    return df.withColumn(out, (hash32(F.lit(str(seed)), F.lit("fold"), F.col(row_id)) % k).cast("int"))
+def kfold(df: DataFrame, row_id: str, k: int = 5, seed="42", out: str = "fold", stratify: str | None = None) -> DataFrame:
+    """Fold number 0..k-1: the rank by md5(seed|fold|row_id) modulo k, over all rows
+    (V1) or within each class of ``stratify`` (V2), so sizes differ by one at most.
+
+    Ranks come from counts by the upper 16 hash bits and a window inside each such
+    bucket (about n / 65,536 rows), so no task ranks a whole class.
+    """
+    by = [stratify] if stratify else []
+    d = df.withColumn("_h", hash32(F.lit(str(seed)), F.lit("fold"), F.col(row_id)))
+    d = d.withColumn("_b", F.shiftright("_h", 16))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", row_id)))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.select(*by, F.shiftright(hash32(F.lit(str(seed)), F.lit("fold"), F.col(row_id)), 16).alias("_b"))
+    counts = counts.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    ranked = null_safe_join(d, counts, [*by, "_b"])
+    return ranked.withColumn(out, ((F.col("_o") + F.col("_r") - 1) % k).cast("int")).drop("_h", "_b", "_r", "_o")
 
 
 # ---------------------------------------------------------------- M15 / J1 restore

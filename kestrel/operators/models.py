@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions import distributions as dist
+from kestrel.operators.windows import order_columns
 from kestrel.operators import gram
 from kestrel.operators.ranking import ranked_histogram
 
@@ -40,10 +41,12 @@ def linear_predict(features, fit: gram.LinearFit, name: str = "pred") -> Column:
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str = "pred") -> DataFrame:
-    """rmse, mae, r2 on the given rows (V4), one aggregate."""
+    """rmse, mae, r2 on the given rows (V4), one aggregate.  For a constant label r2
+    is 1 if every prediction is right, else 0."""
     err = F.col(label) - F.col(pred)
     return df.agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"),
-                  (1 - F.sum(err * err) / (F.var_pop(label) * F.count(F.lit(1)))).alias("r2"))
+                  F.when(F.var_pop(label) > 0, 1 - F.try_divide(F.sum(err * err), F.var_pop(label) * F.count(F.lit(1))))
+                  .when(F.sum(err * err) > 0, 0.0).when(F.count(F.lit(1)) > 0, 1.0).alias("r2"))
 
 
 def fit_regression_suite(train: DataFrame, features, label: str, fold_col: str = "fold",
@@ -65,8 +68,9 @@ def fit_regression_suite(train: DataFrame, features, label: str, fold_col: str =
 
 
 def coefficient_table(spark, features, fit: gram.LinearFit) -> DataFrame:
-    """(feature, coef, abs_coef) sorted by |coef| desc (V9)."""
-    rows = [(f, float(w), float(abs(w))) for f, w in zip(features, fit.coef)]
+    """(feature, coef, abs_coef) sorted by |coef| desc (V9); coefficients of the
+    standardised features, so that their sizes compare."""
+    rows = [(f, float(w), float(abs(w))) for f, w in zip(features, fit.scaled_coef)]
     return spark.createDataFrame(rows, "feature string, coef double, abs_coef double").orderBy(
         F.desc("abs_coef"), "feature")
 
@@ -89,27 +93,25 @@ def residual_bins(res: DataFrame, bins: int = 20) -> DataFrame:
 def qq_points(res: DataFrame, col: str = "residual") -> tuple[DataFrame, DataFrame]:
     """Normal Q-Q points with Filliben's plotting positions and the fitted
     line (slope, intercept, r) (V11).  Positions come from the distributed
-    ranked histogram; quantiles from a pandas UDF over distinct values."""
+    ranked histogram; a tied value has the mean quantile of its positions."""
     rh = ranked_histogram(res, col)
     n = F.col("total")
-    # ordered position of the first copy of each value: before + 1 .. before + n
-    pos = F.col("before") + 1
-    filli = F.when(pos == 1, 1 - F.pow(F.lit(0.5), 1 / n)).when(pos == n, F.pow(F.lit(0.5), 1 / n)) \
-             .otherwise((pos - 0.3175) / (n + 0.365))
-    pts = rh.select(F.col(col).alias("sample"), "n", filli.alias("_pp"))
-    pts = pts.withColumn("theoretical", dist.norm_ppf_udf("_pp")).drop("_pp")
-    # every copy of a tied value is plotted; the line is fitted with weights n
+    both = dist.normal_scores_udf(F.col("before"), F.col("n"), n)
+    pts = rh.select(F.col(col).alias("sample"), "n", both.alias("_q")).select(
+        "sample", "n", F.col("_q.mean").alias("theoretical"), F.col("_q.squares").alias("_squares"))
+    # every copy of a tied value has a position of its own
     line = pts.agg((F.sum(F.col("n") * F.col("theoretical") * F.col("sample")) / F.sum("n")).alias("_sxy"),
                    (F.sum(F.col("n") * F.col("theoretical")) / F.sum("n")).alias("_mx"),
                    (F.sum(F.col("n") * F.col("sample")) / F.sum("n")).alias("_my"),
-                   (F.sum(F.col("n") * F.col("theoretical") ** 2) / F.sum("n")).alias("_sxx"),
+                   (F.sum("_squares") / F.sum("n")).alias("_sxx"),
                    (F.sum(F.col("n") * F.col("sample") ** 2) / F.sum("n")).alias("_syy"))
     cov = F.col("_sxy") - F.col("_mx") * F.col("_my")
     vx = F.col("_sxx") - F.col("_mx") ** 2
     vy = F.col("_syy") - F.col("_my") ** 2
-    line = line.select((cov / vx).alias("slope"), (F.col("_my") - cov / vx * F.col("_mx")).alias("intercept"),
-                       (cov / F.sqrt(vx * vy)).alias("r"))
-    return pts, line
+    slope = F.try_divide(cov, vx)
+    line = line.select(slope.alias("slope"), (F.col("_my") - slope * F.col("_mx")).alias("intercept"),
+                       F.try_divide(cov, F.sqrt(vx * vy)).alias("r"))
+    return pts.drop("_squares"), line
 
 
 # ---------------------------------------------------------------- logistic
@@ -152,13 +154,18 @@ def logistic_scores(va, model, df: DataFrame, keep=(), name: str = "score") -> D
 
 # ---------------------------------------------------------------- classification metrics
 def roc_auc(scored: DataFrame, label: str, score: str = "score") -> DataFrame:
-    """ROC-AUC by the rank-sum formula with average ranks (ties count 1/2) (V7)."""
-    d = scored.select(label, score).where(F.col(score).isNotNull())
-    rh = ranked_histogram(d, score).select(score, "rank")
-    j = d.join(rh, score)
-    s = j.agg(F.sum(F.when(F.col(label) == 1, F.col("rank"))).alias("r1"),
-              F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) != 1).alias("n0"))
-    return s.select(((F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0")))
+    """ROC-AUC by the rank-sum formula with average ranks (ties count 1/2) (V7).
+
+    Works on the score histograms of all rows and of the positives: a score
+    shared by many rows is one histogram row.  NULL with one class only.
+    """
+    d = scored.select(F.col(label).alias("_y"), score).where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    h = d.groupBy(score).agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col("_y") == 1).alias("pos"))
+    rh = ranked_histogram(None, score, hist=h.select(score, "n")).select(score, "rank", F.col("n").alias("all"))
+    s = rh.join(h.select(score, "pos"), score).agg(
+        F.sum(F.col("pos") * F.col("rank")).alias("r1"), F.sum("pos").cast("double").alias("n1"),
+        F.sum(F.col("all") - F.col("pos")).alias("n0"))
+    return s.select(F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))
                     .alias("roc_auc"))
 
 
@@ -211,7 +218,7 @@ def leaderboard(results: DataFrame, order, partition: str = "variant", flag: str
     """Best row per ``partition`` under ``order`` (W1), flagged 1 if it is the
     overall best under the same order (P15, V14, V15).  For result tables
     (one row per model), so the windows are tiny."""
-    oc = [F.col(c).desc() if d == "desc" else F.col(c).asc() for c, d in order]
+    oc = order_columns(order)  # a model without a metric comes last
     w = Window.partitionBy(partition).orderBy(*oc)
     best = results.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
     g = Window.orderBy(*oc)

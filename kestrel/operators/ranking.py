@@ -116,6 +116,8 @@ def assign_buckets(frame: DataFrame, value: str, bounds_src: DataFrame, buckets:
     bounds use a CASE binary search, beyond that MLlib's Bucketizer."""
     if buckets is None:
         buckets = _auto_buckets(frame.sparkSession)
+        if bucket_by is not None:  # each level has buckets of its own: keep the expression small
+            buckets = min(buckets, CASE_LIMIT)
     bounds = _bucket_bounds(bounds_src, value, buckets, bucket_by)
     if bucket_by is None and len(bounds) > CASE_LIMIT:
         # many buckets (a large cluster): a JVM binary search instead of a CASE tree
@@ -177,39 +179,27 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=None,
                     bucket_by: str | None = None) -> DataFrame:
     """(by..., prob, quantile) with linear interpolation (pandas / numpy default).
 
-    Exact for any group size: positions ``(N-1)·q`` are located in the ranked
-    histogram by an equi-join on the group key plus a range condition; only
-    the two histogram rows that hold a position survive the filter.
+    Exact for any group size: the histogram rows that hold the positions
+    ``(N-1)·q`` are picked where they stand, as each row carries its group's
+    total, so one combining aggregate follows and no join.  An ungrouped column
+    without values has NULL quantiles.
     """
     by = _by(by)
     if rh is None:
         rh = ranked_histogram(df, value, by, buckets=buckets, bucket_by=bucket_by)
-    totals = rh.select(*by, "total").dropDuplicates(by) if by else rh.select("total").limit(1)
-    q = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    targets = (totals.select(*by, "total", q)
-               .withColumn("_h", (F.col("total") - 1.0) * F.col("prob"))
-               .withColumn("_lo", F.floor("_h").cast("double"))
-               .withColumn("_hi", F.ceil("_h").cast("double")))
-    if not by:
-        # one constant key: the target table (#probs rows) must be broadcast,
-        # or a shuffle join would send every histogram row to one partition
-        targets = F.broadcast(targets.withColumn("_k", F.lit(0)))
-        rhk = rh.withColumn("_k", F.lit(0))
-        keys = ["_k"]
-    else:
-        rhk, keys = rh, by
-    t = targets.alias("t")
-    r = rhk.select(*keys, value, "n", "before").alias("r")
-    cond = reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    in_lo = (F.col("r.before") <= F.col("t._lo")) & (F.col("t._lo") < F.col("r.before") + F.col("r.n"))
-    in_hi = (F.col("r.before") <= F.col("t._hi")) & (F.col("t._hi") < F.col("r.before") + F.col("r.n"))
-    j = t.join(r, cond & (in_lo | in_hi), "inner")
-    res = (j.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.prob").alias("prob"),
-                     F.col("t._h").alias("_h"), F.col("t._lo").alias("_lo"))
-             .agg(F.max(F.when(in_lo, F.col(f"r.{value}"))).alias("_vlo"),
-                  F.max(F.when(in_hi, F.col(f"r.{value}"))).alias("_vhi")))
-    res = res.withColumn("quantile", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
-    return res.select(*by, "prob", "quantile")
+
+    def at(position):
+        inside = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
+        return F.max(F.when(inside, F.col(value)))
+    aggs, entries = [F.max("total").alias("_t")], []
+    for i, p in enumerate(map(float, probs)):
+        h = (F.col("total") - 1.0) * p
+        aggs += [at(F.floor(h).cast("double")).alias(f"_lo{i}"), at(F.ceil(h).cast("double")).alias(f"_hi{i}")]
+        h = (F.col("_t") - 1.0) * p
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        entries.append(F.struct(F.lit(p).alias("prob"), (lo + (h - F.floor(h)) * (hi - lo)).alias("quantile")))
+    found = rh.groupBy(*by).agg(*aggs).select(*by, F.explode(F.array(*entries)).alias("_q"))
+    return found.select(*by, "_q.prob", "_q.quantile")
 
 
 def exact_median(df: DataFrame, value: str, by=None, name: str = "median",

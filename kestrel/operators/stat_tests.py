@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions import distributions as dist
-from kestrel.operators.aggregates import to_long
+from kestrel.operators.aggregates import to_long, pearson
 from kestrel.operators.missing import subsample
 from kestrel.operators.ranking import (exact_median, null_safe_join, ranked_histogram,
                                        value_histogram)
@@ -72,7 +72,7 @@ def jarque_bera(df: DataFrame, columns) -> DataFrame:
 def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """r and two-sided p on pairwise-complete rows."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = d.agg(F.corr(x, y).alias("corr"), F.count(F.lit(1)).alias("n"))
+    r = d.agg(pearson(x, y).alias("corr"), F.count(F.lit(1)).alias("n"))
     return r.withColumn("p_value", dist.corr_p_udf("corr", F.col("n").cast("double")))
 
 
@@ -82,7 +82,7 @@ def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
     rx = ranked_histogram(d, x).select(F.col(x).alias("_vx"), F.col("rank").alias("_rx"))
     ry = ranked_histogram(d, y).select(F.col(y).alias("_vy"), F.col("rank").alias("_ry"))
     j = d.join(rx, d[x] == rx["_vx"]).join(ry, d[y] == ry["_vy"])
-    r = j.agg(F.corr("_rx", "_ry").alias("corr"), F.count(F.lit(1)).alias("n"))
+    r = j.agg(pearson("_rx", "_ry").alias("corr"), F.count(F.lit(1)).alias("n"))
     return r.withColumn("p_value", dist.corr_p_udf("corr", F.col("n").cast("double")))
 
 
@@ -107,7 +107,7 @@ def correlation_tests(df: DataFrame, target: str, columns, row_id: str, alpha: f
     npv = {r["column"]: r["p_value"] for r in norm.collect()}  # one row per column
     ty = npv.get(target)
     rl = rank_long(df, cols, target, row_id)
-    stats = rl.groupBy("column").agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"),
+    stats = rl.groupBy("column").agg(pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"),
                                      F.count(F.lit(1)).alias("n"))
     pear = {c for c in cols if npv.get(c) is not None and ty is not None and not math.isnan(npv[c])
             and not math.isnan(ty) and npv[c] > alpha and ty > alpha}
@@ -136,10 +136,11 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     nn, k, grand = tot["nn"] or 0, tot["k"], tot["grand"]
     s = g.agg(F.sum(F.col("n") * (F.col("mean") - F.lit(grand)) ** 2).alias("ssb"),
               F.sum((F.col("n") - 1) * F.col("var")).alias("ssw"))
-    f = (F.col("ssb") / (k - 1)) / (F.col("ssw") / (nn - k))
+    # NULL for one group, for as many groups as rows, and without variance inside groups
+    f = F.try_divide(F.try_divide(F.col("ssb"), F.lit(float(k - 1))), F.try_divide(F.col("ssw"), F.lit(float(nn - k))))
     out = s.select(f.alias("F"), F.lit(float(k - 1)).alias("df_between"),
                    F.lit(float(nn - k)).alias("df_within"),
-                   (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta2"),
+                   F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta2"),
                    F.lit(nn).cast("bigint").alias("N"), F.lit(k).cast("bigint").alias("k"))
     return out.withColumn("p_value", dist.f_sf_udf("F", "df_between", "df_within"))
 
@@ -193,26 +194,15 @@ def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     tie, nn = tr["tie"] or 0.0, tr["N"] or 0.0
     s = rs.agg(F.sum(F.col("R") ** 2 / F.col("ng")).alias("s"), F.count(F.lit(1)).alias("k"))
     N = F.lit(float(nn))
-    h0 = F.lit(12.0) / (N * (N + 1)) * F.col("s") - 3 * (N + 1)
-    c = F.lit(1.0) - F.lit(tie) / (N ** 3 - N)
-    h = h0 / c
-    eps = F.when((N <= F.col("k")) | (N <= 1), F.lit(None)).otherwise((h - F.col("k") + 1) / (N - F.col("k")))
+    # NULL without two different values
+    h0 = F.try_divide(F.lit(12.0), N * (N + 1)) * F.col("s") - 3 * (N + 1)
+    h = F.try_divide(h0, 1 - F.try_divide(F.lit(tie), N ** 3 - N))
+    eps = F.when(N > F.col("k"), F.try_divide(h - F.col("k") + 1, N - F.col("k")))
     out = s.select(h.alias("H"), (F.col("k") - 1).cast("double").alias("dof"), N.cast("bigint").alias("N"),
                    F.col("k").cast("bigint").alias("k"), eps.alias("epsilon2"))
     return out.withColumn("p_value", dist.chi2_sf_udf("H", "dof"))
 
 
-def epsilon_squared(h: float, n: int, k: int) -> float:
-    """(H - k + 1) / (n - k); NaN when n <= k or n <= 1."""
-    if n <= k or n <= 1:
-        return math.nan
-    return (h - k + 1) / (n - k)
-
-
-def eta_squared(ssb: float, sst: float) -> float:
-    return ssb / sst if sst > 0 else math.nan
-
-
 # ---------------------------------------------------------------- T12-T13 post-hoc
 def group_pairs(levels: DataFrame, group: str) -> DataFrame:
     """All i < j pairs of a bounded level list (J5); ``pos`` orders the levels."""
@@ -316,22 +306,21 @@ def chi2_independence(df: DataFrame, a: str, b: str, yates: bool = True) -> Data
                 chi2 += (d_ - min(0.5, d_)) ** 2 / e_
     else:
         chi2 = e.agg(F.sum(F.col("O") ** 2 / F.col("E"))).collect()[0][0] - N
-    v = cramers_v(chi2, N, r, c)
     p = dist.chi2_sf(chi2, dof) if dof > 0 else 1.0
-    return spark.createDataFrame([(float(chi2), int(dof), float(p), v, float(N))],
-                                 "chi2 double, dof int, p_value double, cramers_v double, n double")
+    found = spark.createDataFrame([(float(chi2), int(dof), float(p), float(N), float(r), float(c))],
+                                  "chi2 double, dof int, p_value double, n double, _r double, _c double")
+    return found.select("chi2", "dof", "p_value", association("chi2", "n", "_r", "_c").alias("cramers_v"), "n")
 
 
-def cramers_v(chi2: float, n: float, r: int, k: int) -> float | None:
-    """Bias-corrected Cramér's V (T15); None when n = 0 or the denominator <= 0."""
-    if n == 0 or n <= 1:
-        return None
-    phi2 = chi2 / n
-    phi2corr = max(0.0, phi2 - (k - 1) * (r - 1) / (n - 1))
-    rcorr = r - (r - 1) ** 2 / (n - 1)
-    kcorr = k - (k - 1) ** 2 / (n - 1)
-    den = min(kcorr - 1, rcorr - 1)
-    return float(math.sqrt(phi2corr / den)) if den > 0 else None
+def association(chi2: str, n: str, *levels: str) -> F.Column:
+    """Cramér's V corrected for bias (Bergsma, 2013) as a column (T15): phi squared
+    less its expectation under independence, over the smaller corrected number of
+    levels less one.  NULL for one row, or for a single level."""
+    free = F.col(n) - 1
+    first, second = (F.col(x) - 1 for x in levels)
+    excess = F.try_divide(F.col(chi2), F.col(n)) - F.try_divide(first * second, free)
+    room = F.least(*[x - F.try_divide(x * x, free) for x in (first, second)])
+    return F.when(room > 0, F.sqrt(F.try_divide(F.greatest(excess, F.lit(0.0)), room)))
 
 
 def odds_ratio_2x2(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -360,8 +349,12 @@ def choose_pair(columns_kinds, first: str = "track_genre", second: str = "popula
     return (cats[0], cats[1]) if len(cats) >= 2 else None
 
 
-def test_choice(group_normal_p: list, levene_p: float, alpha: float = 0.05) -> str:
-    """'anova' iff every group is normal and Levene p > alpha, else 'kruskal' (T10)."""
-    ok = all(p > alpha for p in group_normal_p if p is not None and not math.isnan(p))
-    eq = levene_p is not None and not math.isnan(levene_p) and levene_p > alpha
-    return "anova" if ok and eq else "kruskal"
+def assumptions_hold(normality: DataFrame, variances: DataFrame, alpha: float = 0.05) -> bool:
+    """Whether no group departs from normality and the variances agree, from the
+    result rows of both tests (``p_value``); decides for ANOVA (T10).  A group too
+    small to test does not count; a variance test without a value speaks against."""
+    r = (normality.select(F.lit(0).alias("part"), (F.col("p_value") <= alpha).alias("broken"))
+         .unionByName(variances.select(F.lit(1).alias("part"), ~F.coalesce(
+             (F.col("p_value") > alpha) & ~F.isnan("p_value"), F.lit(False)).alias("broken")))
+         .agg(F.count_if("broken").alias("n")).first())
+    return r["n"] == 0

@@ -230,10 +230,13 @@ def q_m14(spark, sf_dir):
 
 
 @register("V1_kfold_assignment", f"""{W}
-SELECT CAST(('0x' || substr(md5(concat_ws('|', '42', 'fold', rid)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold,
-       count(*) AS n FROM wide GROUP BY 1""")
+, f AS (
+  SELECT rid, CAST((row_number() OVER (
+    ORDER BY ('0x' || substr(md5(concat_ws('|', '42', 'fold', rid)), 1, 8))::BIGINT, rid) - 1) % 5 AS INTEGER) AS fold FROM wide)
+SELECT fold, count(*) AS n, min(rid) AS first_id, max(rid) AS last_id FROM f GROUP BY fold""")
 def q_v1(spark, sf_dir):
-    return mm.kfold(wide(spark, sf_dir), "rid", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return mm.kfold(wide(spark, sf_dir), "rid", 5).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rid").alias("first_id"), F.max("rid").alias("last_id"))
 
 
 # ---------------------------------------------------------------- M15 / J1, J2

@@ -288,7 +288,7 @@ def q_f5(spark, sf_dir):
 def q_f7(spark, sf_dir):
     h, feats, y, train, test = _suite(spark, sf_dir)
     fit = gram.fit_linear(gram.total(gram.gram_moments(train, feats, y)), "lasso", alpha=0.001)
-    rows = [(f, float(w), float(abs(w))) for f, w in zip(feats, fit.coef) if w != 0]
+    rows = [(f, float(w), float(abs(w))) for f, w in zip(feats, fit.scaled_coef) if w != 0]
     m = md.regression_metrics(test.select(y, md.linear_predict(feats, fit)), y).collect()[0]
     df = spark.createDataFrame(rows, "feature string, coef double, abs_coef double")
     return round_doubles(df.withColumn("test_rmse", F.lit(m["rmse"])).withColumn("test_r2", F.lit(m["r2"]))
@@ -428,24 +428,26 @@ def q_v8(spark, sf_dir):
 
 
 @register("V2_stratified_fold_balance", f"""
-WITH b AS ({BIN_SQL})
-SELECT quality, CAST(('0x' || substr(md5(concat_ws('|', '42', 'fold', doc_id)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold,
-       count(*) AS n FROM b GROUP BY 1, 2""")
+WITH b AS ({BIN_SQL}), f AS (
+  SELECT quality, doc_id, CAST((row_number() OVER (PARTITION BY quality
+    ORDER BY ('0x' || substr(md5(concat_ws('|', '42', 'fold', doc_id)), 1, 8))::BIGINT, doc_id) - 1) % 5 AS INTEGER) AS fold FROM b)
+SELECT quality, fold, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM f GROUP BY 1, 2""")
 def q_v2(spark, sf_dir):
-    return mm.kfold(bin_frame(spark, sf_dir), "doc_id", 5).groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n"))
+    folds = mm.kfold(bin_frame(spark, sf_dir), "doc_id", 5, stratify="quality")
+    return folds.groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("id_sum"))
 
 
 def class_frame(spark, sf_dir):
     """documents join labels -> features (log length, language one-hot),
     exact stratified split, folds, train-fitted scaling."""
-    from kestrel.functions.columns import leakage_guard
+    from kestrel.functions.columns import leaking_fields
     b = bin_frame(spark, sf_dir).withColumn("log_chars", F.log1p("n_chars"))
     # leakage guard (P12): the second label and the raw length never enter X
-    b = b.drop(*leakage_guard(b.columns, ["toxic", "n_chars"], id_columns=["source"]))
+    b = b.drop(*leaking_fields(b.schema, ("toxic", "n_chars", "source")))
     b = mm.one_hot(b, "lang", levels=mm.levels_of(b, "lang"), prefix="lang", keep_source=False)
     feats = ["log_chars"] + [c for c in b.columns if c.startswith("lang_")]
     b = mm.train_test_split(b, "doc_id", 0.2, seed="42", stratify="quality")
-    b = mm.kfold(b, "doc_id", 5)
+    b = mm.kfold(b, "doc_id", 5, stratify="quality")
     stats = fe.fit_scaler(b.where(F.col("split") == "train"), feats)
     b = fe.apply_scaler(b, stats).select("doc_id", "split", "fold", "quality", *feats).checkpoint()
     return b, feats, "quality"

@@ -239,6 +239,24 @@ def q_a21(spark, sf_dir):
     return round_doubles(agg.correlation_matrix(wide(spark, sf_dir), CORR_COLS, "spearman"), 8)
 
 
+@register("A20_pearson_matrix_holes", f"""WITH h AS ({HOLES_SQL})
+{_pairs_sql('h', CORR_COLS)}""")
+def q_a20_holes(spark, sf_dir):
+    return round_doubles(agg.correlation_matrix(holes(spark, sf_dir), CORR_COLS), 8)
+
+
+def _spearman_pair_sql(a, i, b, j):
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0 AS {1}"
+    return (f"SELECT '{a}' AS a, '{b}' AS b, round(corr(x, y), 8) AS corr, {i} AS i, {j} AS j FROM (SELECT "
+            f"{rank.format(a, 'x')}, {rank.format(b, 'y')} FROM h WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+
+
+@register("A21_spearman_matrix_holes", f"""WITH h AS ({HOLES_SQL})
+{union_sql([_spearman_pair_sql(a, i, b, j) for i, a in enumerate(CORR_COLS) for j, b in enumerate(CORR_COLS)])}""")
+def q_a21_holes(spark, sf_dir):
+    return round_doubles(agg.correlation_matrix(holes(spark, sf_dir), CORR_COLS, "spearman"), 8)
+
+
 @register("A22_lower_triangle", f"""{W}
 SELECT * FROM ({_pairs_sql('wide', CORR_COLS)}) WHERE i >= j""")
 def q_a22(spark, sf_dir):

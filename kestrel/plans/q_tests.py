@@ -161,9 +161,8 @@ def q_t10(spark, sf_dir):
     """Normality per group (Shapiro) + Levene decide ANOVA vs Kruskal-Wallis;
     the chosen test's statistic and p-value are returned."""
     t = _top(spark, sf_dir)
-    norm = [r["p_value"] for r in st.shapiro_by_group(t, "price", "brand", "rid").collect()]
-    lev = st.levene_median(t, "price", "brand").collect()[0]["p_value"]
-    choice = st.test_choice(norm, lev)
+    choice = "anova" if st.assumptions_hold(st.shapiro_by_group(t, "price", "brand", "rid"),
+                                            st.levene_median(t, "price", "brand")) else "kruskal"
     if choice == "anova":
         res = st.one_way_anova(t, "price", "brand").select(F.col("F").alias("statistic"), "p_value",
                                                            F.col("eta2").alias("effect"))

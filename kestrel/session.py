@@ -39,16 +39,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark, needed=False)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession, needed: bool = True) -> str | None:
     """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset.
 
     A local folder is created only when the session runs in local mode (tests,
     bench).  On a cluster an unset checkpoint dir is an error: executors can be
-    lost and lineage must be cut into shared storage.
+    lost and lineage must be cut into shared storage.  With ``needed=False`` the
+    error is left to the first query that writes there.
     """
     sc = spark.sparkContext
     ship_package(spark)
@@ -58,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return current
     if not sc.master.startswith("local"):
+        if not needed:
+            return None
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="kestrel-ckpt-", dir=os.environ.get("KESTREL_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)

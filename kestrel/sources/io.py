@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions.columns import number_or_null
+
 # fixed values: the NA spellings pandas recognises by default
 PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
@@ -20,10 +22,19 @@ PANDAS_NA_VALUES = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 EXPLICIT_NA_VALUES = ("NA", "")
 
 
-def read_csv_text(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    """All-string CSV read with a header (S4); ``columns`` prunes (S3)."""
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("nullValue", None).option("emptyValue", "").csv(path))
+# fixed values: RFC 4180 quoting, a quote inside a quoted cell is doubled
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def read_csv_text(spark: SparkSession, path: str, columns=None, multi_line: bool = True) -> DataFrame:
+    """All-string CSV read with a header (S4); ``columns`` prunes (S3).
+
+    Quoted cells may hold commas, doubled quotes and, with ``multi_line``, line
+    breaks; such a file is one split.  ``multi_line=False`` splits large files
+    whose cells have no line breaks.
+    """
+    df = (spark.read.option("header", True).option("inferSchema", False).options(**QUOTING)
+          .option("multiLine", multi_line).option("nullValue", None).option("emptyValue", "").csv(path))
     return df.select(*columns) if columns else df
 
 
@@ -35,10 +46,10 @@ def null_na_tokens(df: DataFrame, na_values=EXPLICIT_NA_VALUES, columns=None) ->
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=EXPLICIT_NA_VALUES,
-             columns=None) -> DataFrame:
+             columns=None, multi_line: bool = True) -> DataFrame:
     """Typed CSV read (S1, S2): text read, NA tokens -> NULL, ``try_cast`` to
     the schema, NaN -> NULL.  ``na_values=PANDAS_NA_VALUES`` gives S2."""
-    raw = null_na_tokens(read_csv_text(spark, path, columns), na_values)
+    raw = null_na_tokens(read_csv_text(spark, path, columns, multi_line), na_values)
     out = []
     for f in schema.fields:
         if columns and f.name not in columns:
@@ -46,7 +57,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=EXP
         if isinstance(f.dataType, T.StringType):
             out.append(F.col(f.name))
         else:
-            c = F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
+            c = number_or_null(f.name, f.dataType) if isinstance(f.dataType, T.NumericType) else F.expr(
+                f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
                 c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
             out.append(c.alias(f.name))
@@ -61,7 +73,7 @@ def detect_numeric(df: DataFrame, na_values=("", "NA")) -> DataFrame:
     exprs = []
     for i, c in enumerate(cols):
         present = F.col(c).isNotNull() & ~F.col(c).isin(*na_values)
-        bad = present & F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)").isNull()
+        bad = present & number_or_null(c).isNull()
         exprs += [F.count_if(bad).alias(f"b{i}"), F.count_if(present).alias(f"p{i}")]
     row = df.agg(*exprs)
     pairs = [F.struct(F.lit(c).alias("column"),
@@ -72,7 +84,8 @@ def detect_numeric(df: DataFrame, na_values=("", "NA")) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, na_rep: str = "NA", mode: str = "overwrite") -> str:
     """CSV with a header; NULL written as ``na_rep``."""
-    df.write.mode(mode).option("header", True).option("nullValue", na_rep).option("emptyValue", "").csv(path)
+    (df.write.mode(mode).option("header", True).options(**QUOTING)
+     .option("nullValue", na_rep).option("emptyValue", "").csv(path))
     return path
 
 
@@ -146,9 +159,3 @@ def row_count_check(left: DataFrame, right: DataFrame) -> DataFrame:
                 .withColumn("n_right", F.lit(n_right).cast("bigint"))
                 .withColumn("equal", F.col("n_left") == F.col("n_right")))
 
-
-def assert_same_count(left: DataFrame, right: DataFrame) -> int:
-    r = row_count_check(left, right).collect()[0]
-    if not r["equal"]:
-        raise ValueError(f"row counts differ: {r['n_left']} vs {r['n_right']}")
-    return r["n_left"]

@@ -96,10 +96,97 @@ def test_dup_edges_qcut(spark):
         agg.quartile_bins(df, "x")
 
 
-def test_epsilon_squared():
-    assert stat_tests.epsilon_squared(3407.0, 9437, 10) == pytest.approx(0.36045, abs=1e-5)
-    assert math.isnan(stat_tests.epsilon_squared(1.0, 5, 5))
-
+def test_rank_and_variance_tests_at_their_limits(spark):
+    one = spark.createDataFrame([(1.0, "a"), (2.0, "a")], "x double, g string")
+    same = spark.createDataFrame([(1.0, "a"), (1.0, "b"), (1.0, "b")], "x double, g string")
+    assert stat_tests.one_way_anova(one, "x", "g").first()["F"] is None
+    assert stat_tests.one_way_anova(same, "x", "g").first()["F"] is None
+    assert stat_tests.kruskal_wallis(same, "x", "g").first()["H"] is None
+    two = spark.createDataFrame([(float(i), "ab"[i > 4]) for i in range(10)], "x double, g string")
+    r = stat_tests.kruskal_wallis(two, "x", "g").first()
+    assert r["epsilon2"] == pytest.approx((r["H"] - 1) / 8)
+
+
+def test_association_of_a_perfect_and_of_no_table(spark):
+    rows = [("a", "x", "p")] * 50 + [("b", "y", "p")] * 50
+    df = spark.createDataFrame(rows, "u string, v string, w string")
+    n, expected = 100, None
+    phi2 = stat_tests.chi2_independence(df, "u", "v", yates=False).first()
+    excess, room = phi2["chi2"] / n - 1 / (n - 1), 1 - 1 / (n - 1)
+    assert phi2["cramers_v"] == pytest.approx(math.sqrt(excess / room))
+    assert stat_tests.chi2_independence(df, "u", "w").first()["cramers_v"] is expected
+
+
+def test_quotes_commas_and_line_breaks_in_csv(spark, tmp_path):
+    from kestrel.sources import io
+    rows = [("1", 'say ""hi"", x'.replace('""', '"')), ("2", "two\nlines"), ("3", "plain, with comma"), ("4", None)]
+    (tmp_path / "a.csv").write_text('k,v\n1,"say ""hi"", x"\n2,"two\nlines"\n3,"plain, with comma"\n4,NA\n')
+    got = io.null_na_tokens(io.read_csv_text(spark, str(tmp_path / "a.csv"))).orderBy("k").collect()
+    assert [tuple(r) for r in got] == rows
+    io.write_csv(spark.createDataFrame(rows, "k string, v string"), str(tmp_path / "b"))
+    back = io.null_na_tokens(io.read_csv_text(spark, str(tmp_path / "b"))).orderBy("k").collect()
+    assert [tuple(r) for r in back] == rows
+
+
+def test_numbers_in_text(spark):
+    from kestrel.operators.clean import coerce_numeric
+    from kestrel.sources import io
+    texts = ["12f", "3d", " 4.5 ", "-1e3", ".5", "7.", "x", "", None, "nan"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in coerce_numeric(df, ["s"]).collect()]
+    assert got[:9] == [None, None, 4.5, -1000.0, 0.5, 7.0, None, None, None] and math.isnan(got[9])
+    assert not io.detect_numeric(df.limit(2)).first()["is_numeric"]
+
+
+def test_tied_qq_positions(spark):
+    from statistics import NormalDist
+    from kestrel.operators import models
+    df = spark.createDataFrame([(float(i >= 50),) for i in range(100)], "residual double")
+    pts, line = models.qq_points(df)
+    pos = [0.5 ** 0.01 if i == 100 else 1 - 0.5 ** 0.01 if i == 1 else (i - 0.3175) / 100.365 for i in range(1, 101)]
+    q = [NormalDist().inv_cdf(p) for p in pos]
+    got = {r["sample"]: r["theoretical"] for r in pts.collect()}
+    assert got[0.0] == pytest.approx(sum(q[:50]) / 50) and got[1.0] == pytest.approx(sum(q[50:]) / 50)
+    y = [0.0] * 50 + [1.0] * 50
+    my = 0.5
+    r = sum(a * (b - my) for a, b in zip(q, y)) / math.sqrt(sum(a * a for a in q) * sum((b - my) ** 2 for b in y))
+    assert line.first()["r"] == pytest.approx(r) and r < 0.9
+
+
+def test_missing_metrics_and_keys_come_last(spark):
+    from kestrel.operators import models, windows
+    res = spark.createDataFrame([("v", "a", None), ("v", "b", 2.0), ("w", "c", 1.0)], "variant string, model string, rmse double")
+    best = {r["variant"]: (r["model"], r["selected"]) for r in models.leaderboard(res, [("rmse", "asc")]).collect()}
+    assert best == {"v": ("b", 0), "w": ("c", 1)}
+    for way in ("asc", "desc"):
+        assert windows.first_per_group(res, "variant", [("rmse", way)]).where("variant = 'v'").first()["model"] == "b"
+
+
+def test_constant_labels_and_one_class(spark):
+    from kestrel.operators import features, models
+    df = spark.createDataFrame([(1.0, 1.0, 1, 0.5), (1.0, 2.0, 1, 0.5)], "y double, pred double, c int, score double")
+    assert models.regression_metrics(df, "y").first()["r2"] == 0.0
+    assert models.roc_auc(df, "c").first()[0] is None
+    even = spark.createDataFrame([(0, 0.5), (1, 0.5)], "c int, score double")
+    assert models.roc_auc(even, "c").first()[0] == 0.5
+    line = spark.createDataFrame([(float(i), 2.0 * i, 1.0) for i in range(9)], "x double, y double, k double")
+    got = {r["feature"]: r["f_score"] for r in features.f_scores(line, ["x", "k"], "y").collect()}
+    assert got["x"] > 1e12 and got["k"] is None
+
+
+def test_iqr_filter_without_values(spark):
+    from kestrel.operators.clean import iqr_filter
+    assert iqr_filter(spark.createDataFrame([(None,), (None,)], "x double"), "x").count() == 0
+
+
+def test_fold_sizes_differ_by_one_at_most(spark):
+    from kestrel.operators.missing import kfold
+    df = spark.createDataFrame([(i, i % 7 == 0) for i in range(103)], "id long, c boolean")
+    sizes = [r["count"] for r in kfold(df, "id", 5).groupBy("fold").count().collect()]
+    assert sorted(sizes) == [20, 20, 21, 21, 21]
+    for c in (True, False):
+        part = [r["count"] for r in kfold(df, "id", 5, stratify="c").where(F.col("c") == c).groupBy("fold").count().collect()]
+        assert len(part) == 5 and max(part) - min(part) <= 1
 
 def test_qcut_right_closed(spark):
     df = spark.createDataFrame([(float(v),) for v in range(1, 9)], "x double")

@@ -77,7 +77,7 @@ def test_value_counts_keeps_null(spark):
     assert F is not None
 
 
-def test_wide_correlation_uses_mllib_and_matches_numpy(spark):
+def test_correlation_is_pairwise_at_any_width(spark):
     import numpy as np
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 45))
@@ -88,3 +88,29 @@ def test_wide_correlation_uses_mllib_and_matches_numpy(spark):
     ref = np.corrcoef(x, rowvar=False)
     assert m[(0, 1)] == pytest.approx(ref[0, 1], abs=1e-9)
     assert m[(10, 44)] == pytest.approx(ref[10, 44], abs=1e-9)
+    import pandas as pd
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 2] = 7.0
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    for width in (6, 45):
+        holes = spark.createDataFrame([r[:width] for r in rows], ", ".join(f"{c} double" for c in cols[:width]))
+        ref = pd.DataFrame(x[:, :width]).corr(min_periods=2).to_numpy()
+        for r in agg.correlation_matrix(holes, cols[:width]).collect():
+            want = ref[r["i"], r["j"]]
+            assert (r["corr"] is None) if 2 in (r["i"], r["j"]) else r["corr"] == pytest.approx(want, abs=1e-9)
+
+
+def test_spearman_is_pairwise(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 9, size=(80, 4)).astype(float)
+    x[:, 1] += x[:, 0]
+    x[::3, 2] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double, d double")
+    frame = pd.DataFrame(x)
+    for r in agg.correlation_matrix(df, list("abcd"), "spearman").collect():
+        both = frame[[r["i"], r["j"]]].dropna() if r["i"] != r["j"] else frame[[r["i"]]].dropna()
+        ranks = both.rank()
+        want = np.corrcoef(ranks.iloc[:, 0], ranks.iloc[:, -1])[0, 1]
+        assert r["corr"] == pytest.approx(want, abs=1e-9)
