@@ -238,12 +238,14 @@ def pearson(a: str, b: str) -> F.Column:
     return F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
 
 
-def _pair_sums(df: DataFrame, cols) -> DataFrame:
+def _pair_sums(df: DataFrame, cols, centre: float | None = None) -> DataFrame:
     """``i, j`` and the sums of a Pearson correlation for every ordered pair of
     columns over the rows where both have a value: one pass and p x p numbers from
-    each task, for any number of columns.  Values are taken from the mean."""
+    each task, for any number of columns.  Values are taken from ``centre``, or from
+    the columns' means, which take a pass of their own."""
     data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    means = data.agg(*[F.avg(c).alias(c) for c in data.columns]).first()
+    means = [centre] * len(cols) if centre is not None else data.agg(
+        *[F.avg(c).alias(c) for c in data.columns]).first()
     shift, p = np.array([0.0 if m is None else m for m in means]), len(cols)
 
     def run(batches):
@@ -264,13 +266,13 @@ def _pair_sums(df: DataFrame, cols) -> DataFrame:
     return parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
 
 
-def _gram_correlations(df: DataFrame, cols) -> DataFrame:
+def _gram_correlations(df: DataFrame, cols, centre: float | None = None) -> DataFrame:
     """``i, j, corr`` by :func:`_pair_sums`; NULL where a column does not vary."""
     def spread(one, two):
         square = F.col("n") * F.col(two) - F.col(one) * F.col(one)
         return F.when(square > 1e-12 * F.col("n") * F.col(two), F.sqrt(square))
     corr = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (spread("x", "xx") * spread("y", "yy"))
-    return _pair_sums(df, cols).select("i", "j", corr.alias("corr"))
+    return _pair_sums(df, cols, centre).select("i", "j", corr.alias("corr"))
 
 
 def _ranked_pairs(df: DataFrame, cols, pairs) -> DataFrame:
@@ -283,7 +285,8 @@ def _ranked_pairs(df: DataFrame, cols, pairs) -> DataFrame:
     cells = long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
     for v in ("x", "y"):
         hist = cells.groupBy("column", v).agg(F.sum("c").alias("n"))
-        ranks = ranked_histogram(long, v, by="column", bucket_by="column", hist=hist)
+        ranks = ranked_histogram(long, v, by="column", bucket_by="column", hist=hist,
+                                 buckets=max(16, 512 // len(pairs)))  # each pair has buckets of its own
         middle = F.col("rank") - (F.col("total") + 1) / 2.0
         cells = cells.join(ranks.select("column", v, middle.alias(f"r{v}")), ["column", v])
     sums = cells.groupBy("column").agg(F.sum(F.col("c") * F.col("rx") * F.col("ry")).alias("xy"),
@@ -303,14 +306,16 @@ def correlation_matrix(df: DataFrame, columns, method: str = "pearson") -> DataF
     """
     cols = list(columns)
     if method == "spearman":
-        row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"h{i}") for i, c in enumerate(cols)]).first()
+        row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"h{i}") for i, c in enumerate(cols)],
+                     F.count(F.lit(1)).alias("n")).first()
         whole = [i for i in range(len(cols)) if not row[i]]
         pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if row[i] or row[j]]
         parts = []
         if whole:
             at = F.array(*[F.lit(i) for i in whole])
             ranks = rank_columns(df, [cols[i] for i in whole])
-            parts.append(_gram_correlations(ranks, [cols[i] for i in whole]).select(
+            middle = (row["n"] + 1) / 2.0  # the mean of the ranks
+            parts.append(_gram_correlations(ranks, [cols[i] for i in whole], middle).select(
                 F.element_at(at, F.col("i") + 1).alias("i"), F.element_at(at, F.col("j") + 1).alias("j"), "corr"))
         if pairs:
             upper = _ranked_pairs(df, cols, [(i, j) for i, j in pairs if i <= j])
