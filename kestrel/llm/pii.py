@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -103,13 +105,28 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def outside(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of ``found`` that touch none of ``taken``; a search each, as long
+    texts have many of both."""
+    taken = sorted(taken)
+    starts = [s for s, _ in taken]
+    reach = list(accumulate((e for _, e in taken), max))
+    before = [(s, e, bisect_left(starts, e)) for s, e in found]
+    return [(s, e) for s, e, n in before if not n or reach[n - 1] <= s]
+
+
+def instance_of(text: str) -> str:
+    """What tells an instance apart: the text in lower case, or its digest if that is shorter."""
+    low = text.lower()
+    return low if len(low) <= 64 else hashlib.sha256(low.encode()).hexdigest()
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Spans that may be identifiers and touch no seed."""
     found = [m.span() for m in _numbers(text)] if _digit(text) else []
     if "dot" in text or "at)" in text or "at]" in text:
         found += [m.span() for m in _spelt(text)]
-    taken = [(s, e) for _, s, e in base]
-    return [(s, e) for s, e in found if all(e <= x or s >= y for x, y in taken)]
+    return outside(found, [(s, e) for _, s, e in base])
 
 
 def _joined(spans) -> str:
@@ -131,7 +148,7 @@ def _seed_table(rows: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 spots = [(True, s, e) for _, s, e in base] + [(False, s, e) for s, e in candidates(text, base)]
-                seen.append([{"seed": known, "start": s, "end": e, "instance": text[s:e][:200].lower(),
+                seen.append([{"seed": known, "start": s, "end": e, "instance": instance_of(text[s:e]),
                               "patterns": patterns(text, s, e)} for known, s, e in spots])
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, base_type),
                                                pa.array(seen, seen_type)], names=["place", "doc_id", "base", "seen"])

@@ -1,5 +1,6 @@
 """Line chunks, personal data, secrets and the pipeline."""
 
+import random
 import re
 
 from kestrel.llm import line_chunks, pii, queries, secrets
@@ -88,6 +89,16 @@ def test_base_personal_data_equals_plain_patterns(spark):
         assert set(filter(None, got[r["doc_id"]]["spans"].split(","))) >= {f"{k}:{s}:{e}" for k, s, e in base}
 
 
+def test_spans_outside_others_as_pair_by_pair():
+    draw = random.Random(5)
+    for _ in range(300):
+        some = [[(s, s + draw.randrange(1, 9)) for s in (draw.randrange(60) for _ in range(n))] for n in (8, draw.randrange(6))]
+        plain = [(s, e) for s, e in some[0] if all(e <= x or s >= y for x, y in some[1])]
+        assert pii.outside(*some) == plain
+    long = "a" * 300 + "@x.org"
+    assert pii.instance_of(long) != pii.instance_of("b" + long) and len(pii.instance_of(long)) == 64
+
+
 def test_patterns_find_unseen_identifiers(spark):
     rows = [(i, f"hello, please call me on +1 (555) 555-{1000 + i} today") for i in range(20)]
     rows += [(100, "hello, please call me on 555 123 4567 today"), (101, "the war of 1234567 frogs on paper"),
@@ -128,6 +139,17 @@ def test_base_secrets_equal_plain_patterns(spark):
         assert secrets.base_spans(t) == plain_secrets(t)
 
 
+def test_random_runs_inside_base_spans_are_not_repeated():
+    path = queries._vocabulary("byte_bpe_50k.tiktoken")
+    run = "xK9vQ2mZr7Lp4TnB8wYc3HdF"
+    text = f"token={run} {run} secret: {run} deadbeefdeadbeef00 {run}"
+    base, every = secrets.all_spans(text, path)
+    assert [k for k, _, _ in base] == ["assign", "assign", "hex"]
+    inside = [x for x in secrets.random_spans(text, path) if any(s <= x[1] and x[2] <= e for _, s, e in base)]
+    assert inside and [x for x in every if x[0] == "random"] == [
+        x for x in secrets.random_spans(text, path) if x not in inside]
+
+
 def test_random_strings_but_no_known_ones(spark):
     path = queries._vocabulary("byte_bpe_50k.tiktoken")
     found = "key xK9vQ2mZr7Lp4TnB8wYc3HdF end"
