@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,7 +92,13 @@ def random_spans(text: str, path: str) -> list[tuple[str, int, int]]:
 def all_spans(text: str, path: str) -> tuple[list, list]:
     """The base spans, and all spans; a random run inside a base span is not repeated."""
     base = base_spans(text)
-    more = [x for x in random_spans(text, path) if not any(s <= x[1] and x[2] <= e for _, s, e in base)]
+    ordered = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+
+    def covered(start: int, end: int) -> bool:
+        n = bisect_right(starts, start)
+        return n > 0 and reach[n - 1] >= end
+    more = [x for x in random_spans(text, path) if not covered(x[1], x[2])]
     order = [*KINDS, FOUND]
     return base, sorted(base + more, key=lambda x: (x[1], order.index(x[0]), x[2]))
 
