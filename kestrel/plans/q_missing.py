@@ -155,7 +155,7 @@ def _vec_holes_sql():
 
 def _vec_holes(spark, sf_dir):
     from kestrel.functions.hashing import hash32
-    v = vec_frame(spark, sf_dir, 8)
+    v = vec_frame(spark, sf_dir, len(VEC_COLS))
     return v.select("vec_id", *[F.when(hash32(F.lit("3"), F.lit(c), F.col("vec_id")) < 429496730, F.lit(None))
                                 .otherwise(F.col(c)).alias(c) for c in VEC_COLS])
 
@@ -191,7 +191,7 @@ SELECT vec_id, {sel} FROM z"""
 @register("M8_knn_impute", _knn_sql())
 def q_m8(spark, sf_dir):
     v = _vec_holes(spark, sf_dir)
-    return round_doubles(knn_impute(v, v, VEC_COLS, "vec_id", k=5, donor_limit=None))
+    return round_doubles(knn_impute(v, v, VEC_COLS, "vec_id", k=5))
 
 
 # ---------------------------------------------------------------- M12-M14, V1

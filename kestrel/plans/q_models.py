@@ -528,20 +528,19 @@ def q_f6(spark, sf_dir):
 # ---------------------------------------------------------------- M9, M10
 @register("M10_imputer_comparison_ridge")
 def q_m10(spark, sf_dir):
-    """Ridge(alpha=1) behind median imputation and behind KNN imputation,
-    fitted on a 12,000-row train sample, scored on a 6,000-row test sample."""
+    """Ridge(alpha=1) behind median imputation and behind KNN imputation, fitted on
+    all training rows and scored on all test rows."""
     from kestrel.operators.neighbors import knn_impute
     src = holes(spark, sf_dir).where(F.col("price").isNotNull()).persist()  # several fitting passes follow
     h = mm.na_indicators(src, WIDE_FEATURES)
     h = mm.train_test_split(h, "rid", 0.2, seed="411")
-    tr = mm.subsample(h.where(F.col("split") == "train"), "rid", 12000, seed="411")
-    te = mm.subsample(h.where(F.col("split") == "test"), "rid", 6000, seed="411")
+    tr, te = h.where(F.col("split") == "train"), h.where(F.col("split") == "test")
     feats = WIDE_FEATURES + [c for c in h.columns if c.endswith("_missing")]
     rows = []
     fills = mm.fit_simple_imputer(tr, WIDE_FEATURES)
     for name, a, b in (("simple_median", mm.apply_fills(tr, fills), mm.apply_fills(te, fills)),
-                       ("knn_k5_distance", knn_impute(tr, tr, WIDE_FEATURES, "rid", donor_limit=None),
-                        knn_impute(te, tr, WIDE_FEATURES, "rid", donor_limit=None))):
+                       ("knn_k5_distance", knn_impute(tr, tr, WIDE_FEATURES, "rid").checkpoint(),
+                        knn_impute(te, tr, WIDE_FEATURES, "rid").checkpoint())):
         fit = gram.fit_linear(gram.total(gram.gram_moments(a, feats, "price")), "ridge", alpha=1.0)
         m = md.regression_metrics(b.select("price", md.linear_predict(feats, fit)), "price").collect()[0]
         rows.append((name, float(m["rmse"])))

@@ -41,29 +41,62 @@ def test_inject_exact_counts(spark):
         assert {r["rid"] for r in pos.where(F.col("column") == c).collect()} == brute
 
 
-def test_knn_block_matches_naive():
+@pytest.mark.parametrize("block", [7, 8192])
+def test_knn_impute_matches_naive(spark, monkeypatch, block):
+    """Also over many small blocks; the fixture has ties, exact matches and an unfillable row."""
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", block)
     rng = np.random.default_rng(3)
-    don = rng.normal(size=(40, 3))
-    don[rng.random(don.shape) < 0.1] = np.nan
-    rec = rng.normal(size=(5, 3))
-    rec[0, 1] = np.nan
-    rec[3, 2] = np.nan
-    ids = np.arange(40)
-    means = np.nanmean(don, axis=0)
-    out = neighbors.knn_fill_block(rec, don, ids, means, k=5)
-    for r, j in [(0, 1), (3, 2)]:
-        ds = []
-        for i in range(40):
-            shared = ~np.isnan(rec[r]) & ~np.isnan(don[i])
-            if np.isnan(don[i, j]) or not shared.any():
+    x = rng.integers(-6, 7, size=(60, 3)) / 4  # exact differences, so ties are ties
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[50:55] = x[10:15]
+    x[59] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], f"k{i}") for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "rid long, a double, b double, c double, other string")
+    out = neighbors.knn_impute(df, df, ["a", "b", "c"], "rid", k=5, scale=False)
+    assert out.columns == df.columns
+    got = {r["rid"]: r for r in out.collect()}
+    assert len(got) == 60 and all(got[i]["other"] == f"k{i}" for i in got)
+    means = np.nanmean(x, axis=0)
+    for r in range(60):
+        for j, c in enumerate("abc"):
+            if not np.isnan(x[r, j]):
+                assert got[r][c] == x[r, j]
                 continue
-            dist = np.sqrt(3 / shared.sum() * ((rec[r, shared] - don[i, shared]) ** 2).sum())
-            ds.append((dist, i))
-        ds.sort()
-        top = ds[:5]
-        w = np.array([1 / x for x, _ in top])
-        v = np.array([don[i, j] for _, i in top])
-        assert out[r, j] == pytest.approx((w * v).sum() / w.sum())
+            ds = []
+            for i in range(60):
+                shared = ~np.isnan(x[r]) & ~np.isnan(x[i])
+                if np.isnan(x[i, j]) or not shared.any():
+                    continue
+                ds.append((np.sqrt(((x[r, shared] - x[i, shared]) ** 2).sum() * 3 / shared.sum()), i))
+            top = sorted(ds)[:5]
+            zero = [x[i, j] for d, i in top if d == 0]
+            want = (means[j] if not top else np.mean(zero) if zero
+                    else sum(x[i, j] / d for d, i in top) / sum(1 / d for d, _ in top))
+            assert got[r][c] == pytest.approx(want, abs=1e-9), (r, c)
+
+
+def test_knn_impute_takes_any_number_of_donors(spark):
+    donors = spark.range(210_000).select(F.col("id").alias("rid"), F.col("id").cast("double").alias("a"),
+                                         (F.col("id") * 2).cast("double").alias("b"))
+    asked = spark.createDataFrame([(1, 209_000.25, None), (2, 17.0, None)], "rid long, a double, b double")
+    got = {r["rid"]: r["b"] for r in neighbors.knn_impute(asked, donors, ["a", "b"], "rid", k=1, scale=False).collect()}
+    assert got == pytest.approx({1: 418_000.0, 2: 34.0})
+
+
+def test_smote_balances_exactly_between_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 4)
+    rng = np.random.default_rng(8)
+    few = {i: rng.normal(size=2) for i in range(11)}
+    rows = [(i, *map(float, v), 1) for i, v in few.items()] + [(100 + i, 0.0, 0.0, 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "rid long, a double, b double, y int")
+    out = neighbors.smote(df, ["a", "b"], "y", "rid", k=3).collect()
+    new = [r for r in out if r["rid"] < 0]
+    assert len(new) == 29 and len({r["rid"] for r in out}) == 80 and sum(r["y"] == 1 for r in out) == 40
+    for r in new:  # on the segment between its row and one of that row's three nearest
+        i, x = divmod(-r["rid"], 29 // 11 + 2)[0], np.array([r["a"], r["b"]])
+        near = sorted((np.linalg.norm(few[i] - few[j]), j) for j in few if j != i)[:3]
+        assert min(np.linalg.norm(x - few[i]) + np.linalg.norm(x - few[j]) - d for d, j in near) < 1e-9
+    assert neighbors.smote(df, ["a", "b"], "y", "rid", minority=0).count() == 51
 
 
 def test_iterative_impute_recovers_linear_relation(spark):
