@@ -554,6 +554,6 @@ def q_m9(spark, sf_dir):
     cells; lineage is cut with checkpoint() each round."""
     h = holes(spark, sf_dir).select("rid", *WIDE_FEATURES)
     from kestrel.operators.imputation import iterative_impute
-    out = iterative_impute(h, WIDE_FEATURES, rounds=3)
+    out = iterative_impute(h, WIDE_FEATURES)
     return round_doubles(out.agg(*[F.avg(c).alias(c) for c in WIDE_FEATURES]), 6)
 
