@@ -49,6 +49,46 @@ def test_chunk_ends_move_with_the_lines():
     assert line_chunks.chunks("one line") == [] and line_chunks.chunks("") == []
 
 
+def plain_cuts(texts):
+    """The lines of each text in a run of two lines or more, with a word, that occurs
+    before; every place is compared with every earlier one."""
+    split = [t.split("\n") for t in texts]
+    out = [set() for _ in texts]
+    for b, theirs in enumerate(split):
+        for a in range(b + 1):
+            for j in range(len(theirs) - 1):
+                for i in range(len(split[a]) - 1 if a < b else j):
+                    if split[a][i:i + 2] == theirs[j:j + 2] and "".join(theirs[j:j + 2]).strip():
+                        out[b] |= {j, j + 1}
+    return out
+
+
+def test_every_repeated_run_of_lines_is_cut(spark):
+    rnd, texts, planted = random.Random(11), [], {}
+    for n in (2, 3, 4, 6, 12):
+        for k in range(30):
+            passage = [f"shared {n} {k} {i}" for i in range(n)]
+            for copy in range(2):
+                top = [f"top {n} {k} {copy} {i}" for i in range(rnd.randrange(6))]
+                if copy:
+                    planted[len(texts)] = (n, set(range(len(top), len(top) + n)))
+                texts.append("\n".join(top + passage + [f"end {n} {k} {copy} {i}" for i in range(rnd.randrange(6))]))
+    few = ["a", "b", "c", "", " "]
+    texts += ["\n".join(rnd.choice(few) for _ in range(rnd.randrange(9))) for _ in range(40)]
+    want = plain_cuts(texts)
+    assert all(want[i] == lines for i, (_, lines) in planted.items())
+    got = {r["doc_id"]: r for r in line_chunks.report(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["text"] == "\n".join(x for j, x in enumerate(text.split("\n")) if j not in want[i])
+        assert got[i]["n_lines_cut"] == len(want[i])
+
+
+def test_lines_that_differ_from_the_model_stay():
+    spans = [{"line": 1, "lines": 4, "model": b"b\nc\nx\ne"}]
+    assert line_chunks.same_lines("a\nb\nc\nd\ne", spans) == [{"line": 1, "lines": 2}]
+
+
 def test_line_chunks_edges(spark):
     docs = edges.docs(spark)
     out = line_chunks.dedup_lines(docs)
