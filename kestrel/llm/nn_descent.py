@@ -1,12 +1,14 @@
 """Embedding near-duplicates by NN-descent.
 
-A neighbour graph starts from windows over sorted random-hyperplane codes and is
-refined: in each round every vector's neighbours and reverse neighbours are
-compared with each other, and each keeps its best.  Rounds end when few lists
-change.  Edges at the threshold or above, checked in double precision, are
-links.  A list that holds nothing but links is saturated, and its vector may
-have more: the lists of its whole component are enlarged to all members, which
-are compared block by block and counted, not listed.  A recall audit compares
+Equal vectors of a part are one vector with a weight.  A neighbour graph starts from
+windows over sorted random-hyperplane codes and is refined: in each round every
+vector's neighbours and reverse neighbours are compared with each other, and each
+keeps its best.  Rounds end when few lists change.  Edges at the threshold or above,
+checked in double precision, are links.  A list that holds nothing but links is
+saturated, and its vector may have more, also outside its component: all members of
+the component are compared with all vectors of their part, block by block, and the
+links are counted, not listed.  Components that link are merged, and the members
+that come in are compared in turn, until nothing changes.  A recall audit compares
 bounded sample vectors with all rows; below the wanted recall the graph is built
 again with lists of twice the length.
 """
@@ -24,7 +26,7 @@ from kestrel.llm.graph import components
 THRESHOLD = 0.93
 NEIGHBOURS, TABLES, CODE_BITS, WINDOW = 10, 4, 30, 8
 MAX_ROUNDS, FEW_CHANGES, TO_CENTRE = 6, 0.005, 6
-BLOCK = 256
+BLOCK = 512
 AUDIT_VECTORS, WANTED_RECALL, MAX_BUILDS = 128, 0.98, 3
 
 
@@ -190,43 +192,70 @@ def _checked(edges: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
-def _block_counts(batches):
-    """Over (i = j, left, right): how many links each vector has in the other block."""
+def _block_links(batches):
+    """Over (left, right, threshold): how many links each vector of the left block has in
+    the right one, plain and by weight, and the pairs of components that link."""
     for batch in batches:
-        place, links = [], []
-        for same, left, right, threshold in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2),
-                                                batch.column(3).to_pylist()):
-            ids = [side.values.field("place").to_numpy() for side in (left, right)]
-            x, y = (np.frombuffer(b"".join(side.values.field("unit").to_pylist())).reshape(len(i), -1)
-                    for side, i in zip((left, right), ids))
-            near = x @ y.T >= threshold
-            if same:
-                near &= ids[0][:, None] != ids[1][None, :]
-                place.append(ids[0])
-                links.append(near.sum(1))
-            else:
-                place += ids
-                links += [near.sum(1), near.sum(0)]
-        if place:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(place)), pa.array(np.concatenate(links).astype(np.int64))],
-                                             names=["place", "n"])
-
-
-def _enlarged(members: DataFrame, threshold: float) -> DataFrame:
-    """``place, n``: the links of each vector of ``members(component, place, unit)``
-    within its component, from comparisons of blocks of about ``BLOCK``."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocked = members.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int"))
-    sent = blocked.select("component", "i", "place", "unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    row = F.struct("place", "unit")
-    pairs = (sent.groupBy("component", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
-             .agg(F.collect_list(F.when(F.col("i") <= F.col("j"), row)).alias("left"),
-                  F.collect_list(F.when(F.col("i") > F.col("j"), row)).alias("right")))
-    same = F.col("low") == F.col("high")
-    return (pairs.where(same | (F.size("left") > 0) & (F.size("right") > 0))
-            .select(same.alias("same"), "left", F.when(same, F.col("left")).otherwise(F.col("right")).alias("right"),
-                    F.lit(threshold).alias("threshold"))
-            .mapInArrow(_block_counts, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")))
+        a, b, n, w = [], [], [], []
+        for left, right, threshold in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+            (place, group, _, x), (other, others, weight, y) = (
+                (*(side.values.field(c).to_numpy() for c in ("place", "component", "weight")),
+                 np.frombuffer(b"".join(side.values.field("unit").to_pylist())).reshape(len(side), -1)) for side in (left, right))
+            near = (x @ y.T >= threshold) & (place[:, None] != other[None, :])
+            a += place.tolist()
+            b += [None] * len(place)
+            n += near.sum(1).tolist()
+            w += (near @ weight).tolist()
+            rows, cols = np.nonzero(near & (group[:, None] != others[None, :]))
+            for one, two in set(zip(group[rows].tolist(), others[cols].tolist())):
+                a.append(one)
+                b.append(two)
+                n.append(None)
+                w.append(None)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n, w)], names=["a", "b", "n", "w"])
+
+
+def _compared(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, n, w``: each of ``members`` against all ``vectors`` of its part, both with
+    ``part, place, component, weight, unit``, in blocks of about ``BLOCK``.  Rows without
+    ``b`` hold the links of vector ``a`` in a block; the others two components that link."""
+    blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(members, "lefts").join(blocks(vectors, "rights"), "part")
+    row = F.struct("place", "component", "weight", "unit")
+    at = lambda n: F.pmod(F.xxhash64("place"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(sizes, "part").select("part", at("lefts").alias("i"), each("rights").alias("j"),
+                                              F.lit(True).alias("is_left"), row.alias("v"))
+    right = vectors.join(sizes, "part").select("part", each("lefts").alias("i"), at("rights").alias("j"),
+                                               F.lit(False).alias("is_left"), row.alias("v"))
+    pairs = left.unionByName(right).groupBy("part", "i", "j").agg(
+        F.collect_list(F.when(F.col("is_left"), F.col("v"))).alias("left"),
+        F.collect_list(F.when(~F.col("is_left"), F.col("v"))).alias("right"))
+    return (pairs.where((F.size("left") > 0) & (F.size("right") > 0))
+            .select("left", "right", F.lit(threshold).alias("threshold"))
+            .mapInArrow(_block_links, "a long, b long, n long, w long"))
+
+
+def _widened(vectors: DataFrame, edges: DataFrame, full: DataFrame, bridges: DataFrame, done: DataFrame,
+             threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``star, bridges, done``: the components, the pairs of components found to link, and
+    ``place, n, w`` of all members of the components of ``full(place)``, compared with
+    all vectors of their part.  What ``bridges`` and ``done`` hold is not done again."""
+    while True:
+        star = cut(components(edges.unionByName(bridges)))
+        placed = (vectors.join(star.withColumnRenamed("node", "place"), "place", "left")
+                  .withColumn("component", F.coalesce("component", "place")))
+        wide = placed.join(full, "place", "left_semi").select("component").distinct()
+        members = cut(placed.join(wide, "component", "left_semi").join(done, "place", "left_anti"))
+        if members.isEmpty():
+            return star, bridges, done
+        found = cut(_compared(members, placed, threshold))
+        counts = found.where("b is null").groupBy(F.col("a").alias("place")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+        done = cut(done.unionByName(counts))
+        more = found.where("b is not null").select("a", "b").distinct()
+        if more.isEmpty():
+            return star, bridges, done
+        bridges = cut(bridges.unionByName(more))
 
 
 def audit(units: DataFrame, links: DataFrame, threshold: float = THRESHOLD, vectors: int = AUDIT_VECTORS) -> float:
@@ -259,6 +288,14 @@ def audit(units: DataFrame, links: DataFrame, threshold: float = THRESHOLD, vect
     return r["f"] / r["t"] if r["t"] else 1.0
 
 
+def _links(edges: DataFrame, done: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``place, n, w``: the links of each distinct vector, plain and by weight, listed or counted."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    listed = (both.join(distinct.select(F.col("place").alias("b"), "weight"), "b").groupBy(F.col("a").alias("place"))
+              .agg(F.count("*").alias("n"), F.sum("weight").alias("w")))
+    return done.unionByName(listed.join(done, "place", "left_anti"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding, label)``.
 
@@ -268,27 +305,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     gives no rows; extra columns are left out.
     """
     units = cut(unit_vectors(vectors))
+    distinct = cut(units.where(F.col("unit").isNotNull()).groupBy("part", "unit")
+                   .agg(F.min("place").alias("place"), F.first("short").alias("short"), F.count("*").alias("weight")))
+    none = units.sparkSession.createDataFrame([], "a long, b long, place long, n long, w long")
     for build in range(MAX_BUILDS):
         size = k << build
-        graph = neighbour_graph(units, size, TABLES << build, seed=1 + build)
+        graph = neighbour_graph(distinct, size, TABLES << build, seed=1 + build)
         near = (_listed(graph).where(F.col("sim") >= threshold - 1e-5)
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        edges = cut(_checked(near, units, threshold))
-        star = cut(components(edges))
+        edges = cut(_checked(near, distinct, threshold))
         full = graph.where((F.size("list") >= size) & (F.element_at("list", size)["sim"] >= threshold - 1e-5))
-        wide = cut(full.select(F.col("a").alias("node")).join(star, "node").select("component").distinct())
-        members = (star.join(wide, "component").select("component", F.col("node").alias("place"))
-                   .join(units.select("place", "unit"), "place"))
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        apart = star.join(wide, "component", "left_anti").select(F.col("node").alias("a"))
-        counted = both.join(apart, "a", "left_semi").groupBy(F.col("a").alias("place")).agg(F.count("*").alias("n"))
-        links = cut(_enlarged(members, threshold).unionByName(counted))
-        if audit(units, links, threshold) >= WANTED_RECALL:
+        star, bridges, done = _widened(distinct.select("place", "part", "unit", "weight"), edges,
+                                       full.select(F.col("a").alias("place")), none.select("a", "b"),
+                                       none.select("place", "n", "w"), threshold)
+        links = cut(_links(edges, done, distinct))
+        if audit(distinct, links, threshold) >= WANTED_RECALL:
             break
-    rows = (units.select("place", "vec_id").join(links, "place", "left")
-            .join(star.withColumnRenamed("node", "place"), "place", "left")
-            .withColumn("component", F.coalesce("component", "place")))
+    rows = (units.select("place", "vec_id", "part", "unit")
+            .join(distinct.select("part", "unit", F.col("place").alias("model"), "weight"), ["part", "unit"], "left")
+            .select("place", "vec_id", "weight", F.coalesce("model", "place").alias("model"))
+            .join(links.select(F.col("place").alias("model"), "w"), "model", "left")
+            .join(star.withColumnRenamed("node", "model"), "model", "left")
+            .withColumn("component", F.coalesce("component", "model")))
     lowest = rows.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    n_links = F.coalesce("w", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))
     return (rows.join(lowest, "component")
-            .select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), "component_id",
+            .select("vec_id", n_links.alias("n_links"), "component_id",
                     F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")))

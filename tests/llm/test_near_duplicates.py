@@ -126,6 +126,20 @@ def test_nn_descent_equals_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_dense_groups_that_link_are_one_component(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.standard_normal(64).tolist(), 0) for i in range(1500)]
+    for label, cosine, noise in ((0, 0.95, 0.0), (0, 0.95, 0.001), (1, 0.93, 0.004), (1, 0.97, 0.002)):
+        a, b = np.linalg.qr(rnd.standard_normal((64, 2)))[0].T
+        b = cosine * a + (1 - cosine ** 2) ** 0.5 * b
+        for centre in (a, b):
+            rows += [(len(rows) + i, (centre + noise * rnd.standard_normal(64)).tolist(), label) for i in range(45)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = nn_descent.near_duplicates(df).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows)
+    assert sum(r["kept"] for r in got) == 1504
+
+
 def test_nn_descent_audit_and_empty(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(i, [1.0, float(i % 2)], 0, "x", 1) for i in range(20)], SCHEMA)
