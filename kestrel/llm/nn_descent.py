@@ -8,9 +8,10 @@ checked in double precision, are links.  A list that holds nothing but links is
 saturated, and its vector may have more, also outside its component: all members of
 the component are compared with all vectors of their part, block by block, and the
 links are counted, not listed.  Components that link are merged, and the members
-that come in are compared in turn, until nothing changes.  A recall audit compares
-bounded sample vectors with all rows; below the wanted recall the graph is built
-again with lists of twice the length.
+that come in are compared in turn, until nothing changes.A recall audit compares
+a sample that grows with the table with all rows; below the wanted recall the graph is
+built again with lists of twice the length, and all links found stay.  If the last
+build is still below it, all vectors are compared block by block.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ THRESHOLD = 0.93
 NEIGHBOURS, TABLES, CODE_BITS, WINDOW = 10, 4, 30, 8
 MAX_ROUNDS, FEW_CHANGES, TO_CENTRE = 6, 0.005, 6
 BLOCK = 512
-AUDIT_VECTORS, WANTED_RECALL, MAX_BUILDS = 128, 0.98, 3
+AUDIT_VECTORS, AUDIT_ONE_IN, WANTED_RECALL, MAX_BUILDS = 1024, 100, 0.98, 3
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -259,30 +260,15 @@ def _widened(vectors: DataFrame, edges: DataFrame, full: DataFrame, bridges: Dat
 
 
 def audit(units: DataFrame, links: DataFrame, threshold: float = THRESHOLD, vectors: int = AUDIT_VECTORS) -> float:
-    """The share of the true links of a bounded sample (the valid vectors of lowest
-    hash) that ``links(place, n)`` has; the sample is compared with all rows."""
-    valid = units.where(F.col("unit").isNotNull())
-    sample = valid.orderBy(F.xxhash64("place"), "place").limit(vectors).select("place", "part", "unit").collect()
-    asked: dict[str, tuple] = {}
-    for part in {r["part"] for r in sample}:
-        rows = [r for r in sample if r["part"] == part]
-        asked[part] = ([r["place"] for r in rows], np.stack([np.frombuffer(r["unit"]) for r in rows]))
-    shared = units.sparkSession.sparkContext.broadcast(asked)
-
-    def run(batches):
-        total: dict[int, int] = {}
-        for batch in batches:
-            for part, (places, x) in shared.value.items():
-                rows = batch.filter(pa.array([p == part for p in batch.column(1).to_pylist()], pa.bool_()))
-                if rows.num_rows:
-                    y = np.frombuffer(b"".join(rows.column(2).to_pylist())).reshape(rows.num_rows, -1)
-                    near = (x @ y.T >= threshold) & (np.array(places)[:, None] != rows.column(0).to_numpy()[None, :])
-                    for place, n in zip(places, near.sum(1).tolist()):
-                        total[place] = total.get(place, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
-                                         names=["place", "truth"])
-    truth = (valid.select("place", "part", "unit").mapInArrow(run, "place long, truth long")
-             .groupBy("place").agg(F.sum("truth").alias("truth")))
+    """The share of the true links of a sample that ``links(place, n)`` has: one valid
+    vector in ``AUDIT_ONE_IN`` by hash, and the ``vectors`` of lowest hash.  The sample
+    is compared with all rows; a sample without links gives 1."""
+    valid = units.where(F.col("unit").isNotNull()).select(
+        "place", "part", "unit", F.lit(1).cast("long").alias("weight"), F.lit(0).cast("long").alias("component"))
+    mixed = F.xxhash64("place")
+    last = valid.select(mixed.alias("h")).orderBy("h").limit(vectors).agg(F.max("h").alias("h")).first()["h"]
+    sample = valid.where((mixed <= F.lit(last).cast("long")) | (F.pmod(mixed, F.lit(AUDIT_ONE_IN)) == 0))
+    truth = _compared(sample, valid, threshold).groupBy(F.col("a").alias("place")).agg(F.sum("n").alias("truth"))
     r = (truth.join(links, "place", "left")
          .agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("n", F.lit(0)))).alias("f")).first())
     return r["f"] / r["t"] if r["t"] else 1.0
@@ -307,20 +293,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     units = cut(unit_vectors(vectors))
     distinct = cut(units.where(F.col("unit").isNotNull()).groupBy("part", "unit")
                    .agg(F.min("place").alias("place"), F.first("short").alias("short"), F.count("*").alias("weight")))
+    vectors = distinct.select("place", "part", "unit", "weight")
     none = units.sparkSession.createDataFrame([], "a long, b long, place long, n long, w long")
+    edges, bridges, done = none.select("a", "b"), none.select("a", "b"), none.select("place", "n", "w")
     for build in range(MAX_BUILDS):
         size = k << build
         graph = neighbour_graph(distinct, size, TABLES << build, seed=1 + build)
         near = (_listed(graph).where(F.col("sim") >= threshold - 1e-5)
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        edges = cut(_checked(near, distinct, threshold))
+        edges = cut(edges.unionByName(_checked(near, distinct, threshold)).distinct())
         full = graph.where((F.size("list") >= size) & (F.element_at("list", size)["sim"] >= threshold - 1e-5))
-        star, bridges, done = _widened(distinct.select("place", "part", "unit", "weight"), edges,
-                                       full.select(F.col("a").alias("place")), none.select("a", "b"),
-                                       none.select("place", "n", "w"), threshold)
+        star, bridges, done = _widened(vectors, edges, full.select(F.col("a").alias("place")), bridges, done, threshold)
         links = cut(_links(edges, done, distinct))
         if audit(distinct, links, threshold) >= WANTED_RECALL:
             break
+    else:
+        star, bridges, done = _widened(vectors, edges, vectors.select("place"), bridges, done, threshold)
+        links = cut(_links(edges, done, distinct))
     rows = (units.select("place", "vec_id", "part", "unit")
             .join(distinct.select("part", "unit", F.col("place").alias("model"), "weight"), ["part", "unit"], "left")
             .select("place", "vec_id", "weight", F.coalesce("model", "place").alias("model"))

@@ -140,6 +140,44 @@ def test_dense_groups_that_link_are_one_component(spark):
     assert sum(r["kept"] for r in got) == 1504
 
 
+def test_missed_links_are_found_exactly_after_the_last_build(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    rows = [(i, rnd.standard_normal(8).tolist(), i % 2) for i in range(700)]
+    for j in range(60):                              # chains of links, some across blocks
+        rows += [(700 + 3 * j + i, (np.array(rows[j][1]) + 0.25 * rnd.standard_normal(8)).tolist(), rows[j][2]) for i in range(3)]
+    poor = spark.createDataFrame([], "a long, list array<struct<sim float, b long>>")
+    monkeypatch.setattr(nn_descent, "neighbour_graph", lambda *args, **named: poor)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = nn_descent.near_duplicates(df).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows)
+    assert sum(r["n_links"] for r in got) > 100
+
+
+def test_links_of_an_earlier_build_stay(spark, monkeypatch):
+    whole, asked = nn_descent.neighbour_graph, []
+
+    def once(units, size, *args, **named):
+        graph = whole(units, size, *args, **named)
+        asked.append(size)
+        return graph if len(asked) == 1 else graph.limit(0)
+    monkeypatch.setattr(nn_descent, "neighbour_graph", once)
+    recall = iter([0.5, 1.0])
+    monkeypatch.setattr(nn_descent, "audit", lambda *args: next(recall))
+    rows = [(i, [1.0, 0.001 * i, float(i // 5)], 0) for i in range(10)]
+    got = nn_descent.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows)
+    assert asked == [10, 20]
+
+
+def test_audit_sample_grows_with_the_table(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("id AS vec_id", "array(cast(cos(floor(id / 2) * 2) AS float), "
+                                   "cast(sin(floor(id / 2) * 2) AS float)) AS embedding", "cast(floor(id / 2) AS int) AS label")
+    units = nn_descent.unit_vectors(df)
+    half = units.where("vec_id % 4 < 2").selectExpr("place", "1L AS n")
+    assert 0.3 < nn_descent.audit(units, half, vectors=0) < 0.7 and nn_descent.audit(units, half.limit(0), vectors=0) == 0.0
+
+
 def test_nn_descent_audit_and_empty(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(i, [1.0, float(i % 2)], 0, "x", 1) for i in range(20)], SCHEMA)
