@@ -10,6 +10,7 @@ one pass without a shuffle.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -30,11 +31,10 @@ CACHE_ENTRIES = 600_000
 CACHE_CHARS = 48
 
 # Latin letters whose class and lower case Python and the tokenizer's Unicode
-# tables share; any other text takes the tokenizer's own normaliser and \p{L}.
+# tables share; any other text takes the tokenizer's own normaliser and pattern.
 _LATIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ž]*")
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ž"
 _LATIN_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}0-9]+")
-_ANY_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ANY_WORD = regex.compile(r"\S+")
 
 
@@ -49,57 +49,63 @@ def _byte_symbols() -> dict[int, str]:
 _BYTE_SYMBOLS = _byte_symbols()
 
 
+class _Known(dict):
+    """Values by text, made when first asked for; short texts are kept, up to a bound."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.make(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[text] = value
+        return value
+
+
 class WordEncoder:
-    """Ids of a word-level BPE by the ``tokenizers`` library; words met before
-    come from a bounded cache."""
+    """Ids of a word-level BPE by the ``tokenizers`` library, as its ``encode`` without
+    special tokens added gives them; words and pieces met before come from bounded
+    caches.  The strings of special tokens become their ids, as they do there."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        """The normalised text, cut at blanks: no token crosses one."""
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.any_piece = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
+        self.cut = re.compile("(%s)" % "|".join(map(re.escape, self.special))).split
+        self.pieces, self.latin, self.others = _Known(self._piece), _Known(self._latin_word), _Known(self._word)
+
+    def _piece(self, piece: str) -> bytes:
+        symbols = piece.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(symbols)])
+
+    def _latin_word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.pieces[word]
+        return b"".join(map(self.pieces.__getitem__, _LATIN_PIECE.findall(word)))
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.any_piece.findall(word)))
+
+    def _ordinary(self, text: str) -> bytes:
+        """The normalised text is cut at blanks, as no token crosses one."""
         if _LATIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
-            return text.lower().split()
-        return _ANY_WORD.findall(self.tokenizer.normalizer.normalize_str(text))
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """New words, piece by piece; the pieces have a cache of their own."""
-        cache, split, seen = self.pieces, [], set()
-        for word in words:
-            found = (_LATIN_PIECE if _LATIN.fullmatch(word) else _ANY_PIECE).findall(word)
-            split.append(found)
-            seen.update(found)
-        tokenize = self.tokenizer.model.tokenize
-        for piece in seen.difference(cache):
-            symbols = piece.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-            cache[piece] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(symbols)])
-        out = [b"".join(map(cache.__getitem__, found)) for found in split]
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        return out
+            return b"".join(map(self.latin.__getitem__, text.lower().split()))
+        return b"".join(map(self.others.__getitem__, _ANY_WORD.findall(self.tokenizer.normalizer.normalize_str(text))))
+
+    def encode(self, text: str) -> bytes:
+        if "<|" not in text:
+            return self._ordinary(text)
+        return b"".join([self.special.get(part) or self._ordinary(part) for part in self.cut(text)])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cache, split, seen = self.cache, [], set()
-        for text in texts:
-            found = self.words(text)
-            split.append(found)
-            seen.update(found)
-        misses = list(seen.difference(cache))
-        if misses:
-            cache.update(zip(misses, self._encode(misses)))
-        out = [b"".join(map(cache.__getitem__, found)) for found in split]
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        else:
-            for word in misses:
-                if len(word) > CACHE_CHARS:
-                    del cache[word]
-        return out
+        return list(map(self.encode, texts))
 
 
 @lru_cache(maxsize=2)
@@ -168,8 +174,3 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", lo
         F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens",
         F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
         F.round(F.log2("length")).cast("int").alias("bucket"), *(["ids"] if with_ids else []))
-
-
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write the sequences as Parquet, a folder for each length."""
-    pieces.write.partitionBy("bucket").parquet(path)

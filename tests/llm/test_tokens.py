@@ -67,13 +67,20 @@ def test_bpe_query_and_edges(spark):
 
 
 def test_word_encoder_equals_library():
-    enc, texts = packing.WordEncoder(WORDS), fuzz(2, 3000)
-    assert enc.encode_batch(texts) == [as_bytes(e.ids) for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    enc, plain, texts = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS), fuzz(2, 3000)
+    texts += ["<|endoftext|>", "a<|endoftext|>b <|startoftext|><|startoftext|>", "<|ENDOFTEXT|> <|endoftext|", "e<|endoftext|>\u0301 İ<|endoftext|>"]
+    assert enc.encode_batch(texts) == [as_bytes(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 5)
+    enc, plain, texts = packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS), fuzz(4, 50) + ["x" * 500, "y" * 500]
+    assert enc.encode_batch(texts) == [as_bytes(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert max(map(len, (enc.latin, enc.others, enc.pieces))) <= 5 and "x" * 500 not in enc.latin
 
 
 def test_packing(spark):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     source = spark.read.parquet(f"{SF001}/documents.parquet")
     whole = {r["doc_id"]: [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in source.collect()}
     pieces = packing.pack(source, WORDS).collect()
@@ -90,12 +97,10 @@ def test_packing(spark):
     assert len({p["sequence_id"] for p in pieces}) == len(pieces)
 
 
-def test_packing_edges(spark, tmp_path):
+def test_packing_edges(spark):
     out = packing.pack(edges.docs(spark), WORDS)
     assert [r["length"] for r in out.where("doc_id = 0").collect()] == [1]
     assert out.select("sequence_id").distinct().count() == out.count()
     assert out.where("doc_id = 4").count() == 2 * len(packing.lengths_of(out.where("doc_id = 4").first()["doc_tokens"]))
     assert packing.pack(edges.empty(spark), WORDS).count() == 0
     assert packing.lengths_of(0) == [] and packing.lengths_of(3 * 4096 + 5) == [4096, 4096, 4096, 4, 1]
-    packing.write_buckets(out, f"{tmp_path}/buckets")
-    assert spark.read.parquet(f"{tmp_path}/buckets").count() == out.count()
