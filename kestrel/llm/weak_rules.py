@@ -106,8 +106,11 @@ def decode(code: int, rules: int = len(RULES)) -> list[int]:
 def estimate(patterns: dict[int, int], rules: int = len(RULES)) -> dict[int, float]:
     """The posterior probability of "good" for each vote pattern.
 
-    Starts from the number of "bad" votes, each halving the odds or more.  A pattern without votes gets the
-    estimated share of good texts.
+    Starts from the number of "bad" votes, each halving the odds or more.  The accuracies
+    are held in bounds, which fixes which class is "good": on good texts a vote is right
+    more often than not (``LEAST_ACCURACY`` to ``MOST_ACCURACY``), and on bad texts a "bad"
+    vote is likelier than on good ones by ``LEAST_GAIN``.  A pattern without votes gets
+    the estimated share of good texts.
     """
     if not patterns:
         return {}
@@ -152,7 +155,7 @@ def votes_of(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Counts, ``base_failed``, ``posterior`` (of good) and ``kept`` for each row.
+    """Counts, ``base_failed``, ``kept`` and ``posterior`` (of good) for each row.
 
     Null and empty texts fail the base rules; repeated rows are judged alike; an
     empty table gives no rows; extra columns are left out.
@@ -166,4 +169,5 @@ def judge(docs: DataFrame) -> DataFrame:
     return (rows.join(F.broadcast(table), "votes", "left")  # at most 3^rules rows
             .withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
-            .drop("votes"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                    "posterior"))
