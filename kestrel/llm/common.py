@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.session import ensure_checkpoint_dir
+from kestrel.session import ensure_checkpoint_dir, scratch_dir
 
 # fixed values: the white space that separates words, and a word
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,6 +34,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each row in column ``name``, written to the shared
+    folder and read from there.
+
+    The number of a row follows from how the input is split, which Spark may do
+    otherwise on each scan (it looks at the cores of the moment); so rows that several
+    steps must find again are numbered in one scan, and the steps read what it wrote.
+    """
+    path = scratch_dir(docs.sparkSession, "numbered")
+    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def by_slices(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
               text: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function: ``make()`` runs once per task and gives a
@@ -57,8 +70,3 @@ def by_slices(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; a null text counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-
-
-def split_mix(col: F.Column) -> F.Column:
-    """A signed 64-bit hash of a column, the same on every run."""
-    return F.xxhash64(col)

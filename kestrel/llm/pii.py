@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import by_slices, cut, free_name, texts_of
+from kestrel.llm.common import by_slices, cut, free_name, numbered, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 #: What the patterns find.
@@ -230,11 +230,12 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked; the other columns stay, but
-    for ``n_chars``, which follows the text.  A null text stays null.  ``docs`` is
-    scanned twice and must give its rows in the same order each time.
+    for ``n_chars``, which follows the text.  A null text stays null; repeated rows
+    are masked alike; an empty table stays empty.
     """
     place, gone = free_name(docs, "place"), free_name(docs, "spans")
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text")
+    docs = numbered(docs, place)
+    rows = docs.select(F.col(place).alias("place"), "doc_id", "text")
     found = _spans(cut(_seed_table(rows)))
     extra = F.transform(F.coalesce("found", F.array().cast("array<struct<start:long,end:long>>")),
                         lambda f: F.struct(F.lit(FOUND).alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
@@ -244,14 +245,10 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else mask(t, [(x["kind"], x["start"], x["end"]) for x in s])
                           for t, s in zip(text, spans)], dtype="object")
-    marked = docs.withColumn(place, F.monotonically_increasing_id()).join(some, place, "left")
+    marked = docs.join(some, place, "left")
     out = marked.withColumn("text", F.when(F.col(gone).isNull(), F.col("text"))
                             .otherwise(F.pandas_udf(run, "string")(F.col("text"), F.col(gone))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(docs.columns)
-
-
-def sha256_of(spans) -> str:
-    return hashlib.sha256(_joined(spans).encode()).hexdigest()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import cut, free_name
+from kestrel.llm.common import cut, free_name, numbered
 from kestrel.llm.graph import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -137,14 +137,13 @@ def near_duplicates(docs: DataFrame, radius: int = MAX_BITS, shingle: int = SHIN
 def keep_one(docs: DataFrame, radius: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` per group, the one of smallest id, with all columns.
 
-    ``docs`` is scanned twice and must give its rows in the same order each time
-    (a written table does); rows are told apart by their place, so one of several
-    rows with one id stays.
+    Rows are told apart by a number that is written with their fingerprint, so one of
+    several rows with one id stays; an empty table stays empty.
     """
-    place, row = free_name(docs, "place"), F.monotonically_increasing_id()
-    rows = cut(docs.select("doc_id", row.alias("place"), fingerprint_column(shingle=shingle).alias("fp")))
-    rows = _grouped(rows, radius)
+    place, print_ = free_name(docs, "place"), free_name(docs, "fingerprint")
+    docs = numbered(docs.withColumn(print_, fingerprint_column(shingle=shingle)), place)
+    rows = _grouped(docs.select("doc_id", F.col(place).alias("place"), F.col(print_).alias("fp")), radius)
     winner = rows.groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "place")).alias("w"))
     winner = cut(winner.select(F.col("w.place").alias(place)))
-    return docs.withColumn(place, row).join(winner, place, "left_semi").drop(place)
+    return docs.join(winner, place, "left_semi").drop(place, print_)
