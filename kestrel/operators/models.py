@@ -171,7 +171,8 @@ def roc_auc(scored: DataFrame, label: str, score: str = "score") -> DataFrame:
 
 def average_precision(scored: DataFrame, label: str, score: str = "score") -> DataFrame:
     """Step-wise average precision Σ (R_k − R_{k−1}) P_k over distinct
-    thresholds (V8), from two ranked histograms (all rows, positives)."""
+    thresholds (V8), from two ranked histograms (all rows, positives).  NULL
+    without a positive row."""
     d = scored.select(F.col(label).cast("double").alias("_pos"), score).where(F.col(score).isNotNull())
     h = d.groupBy(score).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_pos").alias("npos"))
     all_rh = ranked_histogram(None, score, hist=h.select(score, "n")).select(score, "before", "total")
@@ -181,7 +182,7 @@ def average_precision(scored: DataFrame, label: str, score: str = "score") -> Da
     j = h.join(all_rh, score).join(pos_rh, score)
     tp = F.col("P") - F.col("pbefore")          # positives with score >= s
     k = F.col("total") - F.col("before")        # rows with score >= s
-    contrib = (F.col("npos") / F.col("P")) * (tp / k)
+    contrib = F.try_divide(F.col("npos"), F.col("P")) * (tp / k)
     return j.agg(F.sum(contrib).alias("pr_auc"))
 
 

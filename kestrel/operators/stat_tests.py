@@ -354,7 +354,41 @@ def assumptions_hold(normality: DataFrame, variances: DataFrame, alpha: float =
     result rows of both tests (``p_value``); decides for ANOVA (T10).  A group too
     small to test does not count; a variance test without a value speaks against."""
     r = (normality.select(F.lit(0).alias("part"), (F.col("p_value") <= alpha).alias("broken"))
-         .unionByName(variances.select(F.lit(1).alias("part"), ~F.coalesce(
-             (F.col("p_value") > alpha) & ~F.isnan("p_value"), F.lit(False)).alias("broken")))
+         .unionByName(variances.select(F.lit(1).alias("part"), (~F.coalesce(
+             (F.col("p_value") > alpha) & ~F.isnan("p_value"), F.lit(False))).alias("broken")))
          .agg(F.count_if("broken").alias("n")).first())
     return r["n"] == 0
+
+
+#: Groups of a pairwise comparison at most; the pairs grow with their square.
+MAX_GROUPS = 200
+
+
+def compare_groups(df: DataFrame, value: str, group: str, row_id: str, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The test that the assumptions ask for, and its post-hoc pairs.
+
+    Groups that look normal with equal variances: ANOVA and Tukey's pairs; otherwise
+    Kruskal-Wallis and pairwise Mann-Whitney tests with Holm's correction.  The first
+    frame is ``test, statistic, p_value, effect`` (eta or epsilon squared), the second
+    ``test, group1, group2, statistic, p_adj, reject`` (mean difference or U).
+    """
+    if assumptions_hold(shapiro_by_group(df, value, group, row_id), levene_median(df, value, group), alpha):
+        name, pairs_name = "anova", "tukey"
+        whole = one_way_anova(df, value, group).select(F.col("F").alias("statistic"), "p_value", F.col("eta2").alias("effect"))
+        pairs = tukey_hsd(df, value, group, alpha).select("group1", "group2", F.col("meandiff").alias("statistic"), "p_adj", "reject")
+    else:
+        name, pairs_name = "kruskal", "mann_whitney_holm"
+        whole = kruskal_wallis(df, value, group).select(F.col("H").alias("statistic"), "p_value", F.col("epsilon2").alias("effect"))
+        names = (df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+                 .groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group))
+        levels = names.limit(MAX_GROUPS + 1).collect()
+        if len(levels) > MAX_GROUPS:
+            raise ValueError(f"pairwise tests take at most {MAX_GROUPS} groups")
+        kind = df.schema[group].dataType.simpleString()
+        levels = df.sparkSession.createDataFrame([(r[group], i) for i, r in enumerate(levels)], f"`{group}` {kind}, pos int")
+        found = holm_adjust(mann_whitney_pairs(df, value, group, levels), order_tiebreak="group_1")
+        pairs = found.select(F.col("group_1").alias("group1"), F.col("group_2").alias("group2"),
+                             F.col("U_stat").alias("statistic"), F.col("p_value_holm").alias("p_adj"),
+                             (F.col("p_value_holm") < alpha).alias("reject"))
+    return (whole.select(F.lit(name).alias("test"), "statistic", "p_value", "effect"),
+            pairs.select(F.lit(pairs_name).alias("test"), "group1", "group2", "statistic", "p_adj", "reject"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kestrel.functions.hashing import hash32
 from kestrel.operators import missing as mm
 from kestrel.operators.neighbors import knn_impute
-from kestrel.plans.frames import (BIN_SQL, HOLES_SQL, WIDE_NUMERIC, WIDE_SQL, bin_frame, holes, table,
-                                  vec_frame, wide)
+from kestrel.plans.frames import (BIN_SQL, HOLES_SQL, WIDE_FEATURES, WIDE_NUMERIC, WIDE_SQL, bin_frame, holes,
+                                  table, vec_frame, wide)
 from kestrel.plans.q_clean import exact_injection_sql, split_sql
 from kestrel.plans.registry import register, round_doubles
 
@@ -122,7 +123,6 @@ m AS (SELECT event_type AS fill FROM e WHERE event_type IS NOT NULL GROUP BY eve
       ORDER BY count(*) DESC, event_type LIMIT 1)
 SELECT coalesce(event_type, fill) AS event_type, count(*) AS n FROM e, m GROUP BY 1""")
 def q_m7c(spark, sf_dir):
-    from kestrel.functions.hashing import hash32
     ev = table(spark, sf_dir, "events")
     ev = ev.select("event_id", F.when(hash32(F.lit("5"), F.lit("event_type"), F.col("event_id")) < 429496730,
                                       F.lit(None)).otherwise(F.col("event_type")).alias("event_type"))
@@ -154,7 +154,6 @@ def _vec_holes_sql():
 
 
 def _vec_holes(spark, sf_dir):
-    from kestrel.functions.hashing import hash32
     v = vec_frame(spark, sf_dir, len(VEC_COLS))
     return v.select("vec_id", *[F.when(hash32(F.lit("3"), F.lit(c), F.col("vec_id")) < 429496730, F.lit(None))
                                 .otherwise(F.col(c)).alias(c) for c in VEC_COLS])
@@ -194,6 +193,54 @@ def q_m8(spark, sf_dir):
     return round_doubles(knn_impute(v, v, VEC_COLS, "vec_id", k=5))
 
 
+VEC_ALL = [f"e{i}" for i in range(64)]
+
+
+def _knn_all_sql():
+    """All 64 dimensions, as lists."""
+    cells = ", ".join(
+        f"CASE WHEN ('0x' || substr(md5(concat_ws('|', '3', '{c}', vec_id)), 1, 8))::BIGINT < 429496730 "
+        f"THEN NULL ELSE CAST(embedding[{i + 1}] AS DOUBLE) END" for i, c in enumerate(VEC_ALL))
+    out = ", ".join(f"round(max(CASE WHEN j = {i + 1} THEN v END), 6) AS {c}" for i, c in enumerate(VEC_ALL))
+    return f"""WITH v AS (SELECT vec_id, [{cells}] AS x FROM embeddings),
+c AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM v),
+st AS (SELECT j, avg(v) AS m, coalesce(nullif(stddev_pop(v), 0), 1) AS s FROM c GROUP BY j),
+zc AS MATERIALIZED (SELECT vec_id, j, (v - m) / s AS v FROM c JOIN st USING (j)),
+pr AS MATERIALIZED (
+  SELECT r.vec_id AS rid, d.vec_id AS did, sqrt(sum((r.v - d.v) * (r.v - d.v)) * 64 / count(*)) AS dist
+  FROM zc r JOIN zc d USING (j) WHERE r.v IS NOT NULL AND d.v IS NOT NULL GROUP BY ALL),
+n AS (
+  SELECT r.vec_id, r.j, d.v, dist, row_number() OVER (PARTITION BY r.vec_id, r.j ORDER BY dist, d.vec_id) AS rn
+  FROM zc r JOIN pr ON pr.rid = r.vec_id JOIN zc d ON d.vec_id = pr.did AND d.j = r.j
+  WHERE r.v IS NULL AND d.v IS NOT NULL),
+f AS (
+  SELECT vec_id, j, CASE WHEN max(CAST(dist = 0 AS INTEGER)) = 1 THEN avg(CASE WHEN dist = 0 THEN v END)
+    ELSE sum(v / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) END AS fill FROM n WHERE rn <= 5 GROUP BY ALL),
+whole AS (SELECT vec_id, j, coalesce(zc.v, fill, 0.0) AS v FROM zc LEFT JOIN f USING (vec_id, j))
+SELECT vec_id, {out} FROM whole GROUP BY vec_id"""
+
+
+@register("M8_knn_impute_all_dimensions", _knn_all_sql())
+def q_m8_all(spark, sf_dir):
+    """All 64 dimensions of ``embeddings`` with a tenth of the cells missing, all rows donors."""
+    v = vec_frame(spark, sf_dir, 64)
+    v = v.select("vec_id", *[F.when(hash32(F.lit("3"), F.lit(c), F.col("vec_id")) < 429496730, F.lit(None))
+                             .otherwise(F.col(c)).alias(c) for c in VEC_ALL])
+    return round_doubles(knn_impute(v, v, VEC_ALL, "vec_id", k=5))
+
+
+@register("M16_knn_full_and_train_fit")
+def q_m16_knn(spark, sf_dir):
+    """KNN imputation of all rows, with donors and scaler from all rows and from the
+    training rows alone; back in units of the columns."""
+    h = mm.train_test_split(holes(spark, sf_dir), "rid", 0.2, seed="42").select("rid", "split", *WIDE_FEATURES).checkpoint()
+    full = knn_impute(h, h, WIDE_FEATURES, "rid", inverse_scale=True)
+    safe = knn_impute(h, h.where(F.col("split") == "train"), WIDE_FEATURES, "rid", inverse_scale=True)
+    names = [F.round(F.col(c), 6).alias(c) for c in WIDE_FEATURES]
+    return (full.select(F.lit("full").alias("fit"), "rid", "split", *names)
+            .unionByName(safe.select(F.lit("train").alias("fit"), "rid", "split", *names)))
+
+
 # ---------------------------------------------------------------- M12-M14, V1
 @register("M12_split_exact", f"""{W}
 SELECT split, count(*) AS n, CAST(sum(rid % {CHK}) AS BIGINT) AS id_checksum FROM {split_sql('wide', 'rid')} GROUP BY split""")

@@ -160,16 +160,13 @@ def q_t8(spark, sf_dir):
 def q_t10(spark, sf_dir):
     """Normality per group (Shapiro) + Levene decide ANOVA vs Kruskal-Wallis;
     the chosen test's statistic and p-value are returned."""
-    t = _top(spark, sf_dir)
-    choice = "anova" if st.assumptions_hold(st.shapiro_by_group(t, "price", "brand", "rid"),
-                                            st.levene_median(t, "price", "brand")) else "kruskal"
-    if choice == "anova":
-        res = st.one_way_anova(t, "price", "brand").select(F.col("F").alias("statistic"), "p_value",
-                                                           F.col("eta2").alias("effect"))
-    else:
-        res = st.kruskal_wallis(t, "price", "brand").select(F.col("H").alias("statistic"), "p_value",
-                                                            F.col("epsilon2").alias("effect"))
-    return round_doubles(res.withColumn("test", F.lit(choice)), 8)
+    return round_doubles(st.compare_groups(_top(spark, sf_dir), "price", "brand", "rid")[0], 8)
+
+
+@register("T10_posthoc_of_decision")
+def q_t10_posthoc(spark, sf_dir):
+    """The post-hoc pairs that belong to the decision."""
+    return round_doubles(st.compare_groups(_top(spark, sf_dir), "price", "brand", "rid")[1], 8)
 
 
 # ---------------------------------------------------------------- T11
