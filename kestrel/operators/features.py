@@ -85,41 +85,6 @@ def mutual_information(df: DataFrame, columns, target: str, bins: int = 10, top:
     return out.limit(top) if top else out
 
 
-# ---------------------------------------------------------------- F8
-def rf_importance(train: DataFrame, features, label: str, num_trees: int = 300, max_depth: int = 10,
-                  seed: int = 42) -> tuple:
-    """Random-forest regressor importances (F8): (importance frame, model).
-
-    300 trees and "all" features per split as in the reference.  The
-    reference grows trees without a depth limit; a fitted MLlib forest lives
-    on the driver, and unlimited depth makes it grow with the row count
-    (about 300·n nodes), so depth is bounded (10 by default, at most 30)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-    va = VectorAssembler(inputCols=list(features), outputCol="_f")
-    # node-statistics budget per pass: a quarter of the driver heap, 256..1024 MB
-    heap_mb = _memory_mb(train.sparkSession.conf.get("spark.driver.memory", "1g"))
-    budget = int(max(256, min(1024, heap_mb // 4)))
-    rf = RandomForestRegressor(featuresCol="_f", labelCol=label, numTrees=num_trees, maxDepth=max_depth,
-                               featureSubsetStrategy="all", seed=seed, subsamplingRate=1.0, bootstrap=True,
-                               maxMemoryInMB=budget, cacheNodeIds=True)
-    model = rf.fit(va.transform(train))
-    imp = model.featureImportances.toArray().tolist()
-    spark = train.sparkSession
-    frame = spark.createDataFrame(list(zip(list(features), [float(v) for v in imp])), "feature string, importance double")
-    return frame.orderBy(F.desc("importance")), (va, model)
-
-
-def _memory_mb(text: str) -> int:
-    t = text.strip().lower()
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    if t and t[-1] in units:
-        return int(float(t[:-1]) * units[t[-1]])
-    if t.endswith("b") and t[-2:-1] in units:
-        return int(float(t[:-2]) * units[t[-2]])
-    return int(float(t) / (1024 * 1024)) if t.isdigit() else 1024
-
-
 # ---------------------------------------------------------------- R1-R5 PCA
 def pca_fit(fit: DataFrame, columns, k: int | None = None):
     """Standardise with the fit frame's population std and fit MLlib PCA.
