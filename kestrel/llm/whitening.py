@@ -5,8 +5,8 @@ access to the data is the product of the centred vectors with a thin block, X'X
 over the blocks of all tasks.  A sweep applies a Chebyshev polynomial of that operator,
 which stays small on the unwanted part of the spectrum and grows fast above it; QR makes
 the block orthonormal again, and a Rayleigh-Ritz step rotates it to eigenvector estimates.
-The result is certified: the residuals of the wanted pairs are tiny, and a sweep that
-starts from fresh random directions beside them finds nothing larger.
+The result is certified: the residuals of the wanted pairs are tiny, and the last sweep,
+which like all others took in fresh random directions, found nothing larger.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import by_slices, cut
 
 SCALE = 256
-COMPONENTS, GUARD, DEGREE = 4, 20, 10
+COMPONENTS, GUARD, FRESH, DEGREE = 4, 28, 4, 10
 TOLERANCE, LEAST_SHARE = 1e-13, 1e-12
 MAX_SWEEPS, LEAST_GAIN = 60, 10.0
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES, TASK_BYTES = 2_000_000, 32_000_000
 SEED = 3
 
 
@@ -81,10 +81,13 @@ def totals(blocks: DataFrame, d: int) -> tuple[int, list[int]]:
 
 class Covariance:
     """The covariance of the blocks as an operator: ``apply(Q)`` is V Q from one pass.
-    ``trace`` is known after the first pass, ``passes`` counts them."""
+    ``trace`` is known after the first pass, ``passes`` counts them.  A task reads blocks
+    of about ``TASK_BYTES``, as a pass is short, and each core has one at least."""
 
     def __init__(self, blocks: DataFrame, n: int, sums: list[int]):
-        self.blocks, self.n, self.d = blocks, n, len(sums)
+        self.n, self.d, cores = n, len(sums), blocks.sparkSession.sparkContext.defaultParallelism
+        self.tasks = max(cores, -(-8 * n * self.d // TASK_BYTES))
+        self.blocks = blocks.coalesce(self.tasks)
         self.mean = np.array([s / n for s in sums])
         self.trace, self.passes = None, 0
 
@@ -97,25 +100,22 @@ class Covariance:
                 x = x - mean
                 out[:d] += x.T @ (x @ q)
                 out[d, 0] += np.einsum("ij,ij->", x, x)
-            yield pa.RecordBatch.from_arrays([pa.array(range(d + 1), pa.int32()), *(pa.array(c) for c in out.T)],
-                                             names=["dim", *names])
-        names = [f"c{j}" for j in range(m)]
-        rows = (self.blocks.mapInArrow(run, "dim int, " + ", ".join(f"{c} double" for c in names))
-                .groupBy("dim").agg(*(F.sum(c).alias(c) for c in names)).collect())
-        out = np.zeros((d + 1, m))
-        for r in rows:  # d + 1 rows of the block's width
-            out[r["dim"]] = [r[c] for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], names=["at", "s"])
+        found = (self.blocks.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s"))
+                 .coalesce(self.tasks).toArrow())  # (d + 1) x the block's width
+        out = np.zeros((d + 1) * m)
+        out[found.column("at").to_numpy()] = found.column("s").to_numpy()
+        out = out.reshape(d + 1, m)
         self.trace, self.passes = out[d, 0] / self.n, self.passes + 1
         return out[:d] / self.n
 
 
-def chebyshev_sweep(v: Covariance, q: np.ndarray, vq: np.ndarray, low: float, high: float, top: float,
-                    degree: int = DEGREE) -> np.ndarray:
+def chebyshev_sweep(v: Covariance, q: np.ndarray, low: float, high: float, top: float, degree: int = DEGREE) -> np.ndarray:
     """p(V) q for the Chebyshev polynomial that is small on [low, high] and scaled to 1
-    at ``top``; ``vq`` is V q, so this takes ``degree - 1`` passes."""
+    at ``top``, in ``degree`` passes."""
     half, centre = (high - low) / 2, (high + low) / 2
     first = sigma = half / (top - centre)
-    before, now = q, (vq - centre * q) * (sigma / half)
+    before, now = q, (v.apply(q) - centre * q) * (sigma / half)
     for _ in range(degree - 1):
         new = 1 / (2 / first - sigma)
         before, now = now, (v.apply(now) - centre * now) * (2 * new / half) - sigma * new * before
@@ -144,37 +144,34 @@ def leading_pairs(v: Covariance, wanted: int = COMPONENTS, guard: int = GUARD, t
                   seed: int = SEED) -> Spectrum:
     """The ``wanted`` leading eigenpairs.
 
-    A sweep that does not shrink the residual ``LEAST_GAIN``-fold (eigenvalues close
-    together at the block's edge) doubles the block; a block as wide as the space is exact
-    after one Rayleigh-Ritz step.  Residuals stop falling at rounding level; that is
-    accepted from 100 x ``tolerance``.
+    Each sweep starts from the block found so far, with ``FRESH`` of its last columns new
+    random directions, so that nothing can stay hidden.  A sweep that does not shrink the
+    residual ``LEAST_GAIN``-fold (eigenvalues close together at the block's edge) doubles the
+    block; a block as wide as the space is exact after one Rayleigh-Ritz step.  Residuals
+    stop falling at rounding level; that is accepted from 100 x ``tolerance``.
     """
     rng, d = np.random.default_rng(seed), v.d
     wanted, width = min(wanted, d), min(d, wanted + guard)
+    lead, last, before = slice(0, wanted), np.inf, None
     values, q, vq = _ritz(v, rng.standard_normal((d, width)))
-    residual, probed = np.inf, None
     for _ in range(MAX_SWEEPS):
-        last, top = residual, values[0]
-        lead = slice(0, wanted)
+        top = values[0]
         if top <= 0:
             return Spectrum(values[lead], q[:, lead], v.trace, 0.0, v.passes)
         residual = float(np.linalg.norm(vq[:, lead] - q[:, lead] * values[lead], axis=0).max() / top)
-        settled = width == d or residual <= tolerance or (residual <= 100 * tolerance and residual > last / 2)
-        if settled and (width == d or probed is not None and np.all(values[lead] <= probed + 1e-10 * top)):
+        settled = residual <= tolerance or (residual <= 100 * tolerance and residual > last / 2)
+        if width == d or settled and before is not None and np.all(values[lead] <= before + 1e-10 * top):
             return Spectrum(values[lead], q[:, lead], v.trace, residual, v.passes)
-        if settled:  # look for anything missed, from new directions beside the pairs found
-            probed = values[lead].copy()
-            block = np.hstack([q[:, lead], rng.standard_normal((d, width - wanted))])
-            values, q, vq = _ritz(v, block)
-        elif residual > last / LEAST_GAIN and width < d:
-            block = np.hstack([q, rng.standard_normal((d, min(width, d - width)))])
-            width = block.shape[1]
-            values, q, vq = _ritz(v, block)
-            if width == d:
-                continue
-        swept = chebyshev_sweep(v, q, vq, 0.0, max(values[-1], 1e-3 * values[0]), values[0] * (1 + 1e-9))
-        values, q, vq = _ritz(v, swept)
-    raise RuntimeError(f"eigenpairs not certified after {v.passes} passes: residual {residual:.1e}")
+        if residual > last / LEAST_GAIN and not settled:
+            width = min(d, 2 * width)
+        if width == d:
+            values, q, vq = _ritz(v, np.eye(d))
+            continue
+        edge, kept = max(values[-1], 1e-3 * top), max(wanted, q.shape[1] - FRESH)
+        before, last = values[lead].copy(), residual
+        block = np.linalg.qr(np.hstack([q[:, :kept], rng.standard_normal((d, width - kept))]))[0]
+        values, q, vq = _ritz(v, chebyshev_sweep(v, block, 0.0, edge, top * (1 + 1e-9)))
+    raise RuntimeError(f"eigenpairs not certified after {v.passes} passes: residual {last:.1e}")
 
 
 def whiten(vectors: DataFrame, wanted: int = COMPONENTS) -> DataFrame:
