@@ -109,14 +109,14 @@ def holes(spark: SparkSession, sf_dir: str, columns=WIDE_NUMERIC, seed: str = HO
     return w.withColumns(repl)
 
 
-def _sql_hole(c: str, seed: str = HOLES_SEED) -> str:
+def sql_hole(c: str, seed: str = HOLES_SEED) -> str:
     frac = f"(0.05 + 0.05 * {sql_unit_hash(repr(seed), repr(c), repr('frac'))})"
     return f"CASE WHEN {sql_unit_hash(repr(seed), repr(c), 'rid')} < {frac} THEN NULL ELSE {c} END AS {c}"
 
 
 HOLES_SQL = (
     "SELECT rid, returnflag, linestatus, brand, ptype, "
-    + ", ".join(_sql_hole(c) for c in WIDE_NUMERIC)
+    + ", ".join(sql_hole(c) for c in WIDE_NUMERIC)
     + f" FROM ({WIDE_SQL}) w"
 )
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from kestrel.operators import features as fe
 from kestrel.operators import forest
 from kestrel.operators import gram
+from kestrel.operators import imputation
 from kestrel.operators import missing as mm
 from kestrel.operators import models as md
-from kestrel.plans.frames import BIN_SQL, WIDE_FEATURES, WIDE_SQL, bin_frame, holes, vec_frame, wide
+from kestrel.operators.neighbors import knn_impute
+from kestrel.plans.frames import BIN_SQL, WIDE_FEATURES, WIDE_SQL, bin_frame, holes, sql_hole, vec_frame, wide
 from kestrel.plans.q_clean import split_sql
 from kestrel.plans.registry import register, round_doubles
 
@@ -306,7 +308,7 @@ def q_f8(spark, sf_dir):
 @register("F8_random_forest_test_metrics")
 def q_f8_metrics(spark, sf_dir):
     h, feats, y, train, test = _suite(spark, sf_dir)
-    scored = forest.fit(train, feats, y, "rid").predict(test, "rid").join(test.select("rid", y), "rid")
+    scored = forest.fit(train, feats, y, "rid").predict(test, "rid", "pred").join(test.select("rid", y), "rid")
     return round_doubles(md.regression_metrics(scored, y), 4)
 
 
@@ -534,34 +536,57 @@ def q_f6(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M9, M10
+def _imputer_frames(spark, sf_dir):
+    """Numbers and two categories with holes, indicators and an exact split."""
+    src = holes(spark, sf_dir, [*WIDE_FEATURES, "price", "ptype", "brand"]).where(F.col("price").isNotNull())
+    h = mm.na_indicators(src, WIDE_FEATURES)
+    h = mm.train_test_split(h, "rid", 0.2, seed="411").checkpoint()
+    return h.where(F.col("split") == "train"), h.where(F.col("split") == "test")
+
+
 @register("M10_imputer_comparison_ridge")
 def q_m10(spark, sf_dir):
-    """Ridge(alpha=1) behind median imputation and behind KNN imputation, fitted on
-    all training rows and scored on all test rows."""
-    from kestrel.operators.neighbors import knn_impute
-    src = holes(spark, sf_dir).where(F.col("price").isNotNull()).persist()  # several fitting passes follow
-    h = mm.na_indicators(src, WIDE_FEATURES)
-    h = mm.train_test_split(h, "rid", 0.2, seed="411")
-    tr, te = h.where(F.col("split") == "train"), h.where(F.col("split") == "test")
-    feats = WIDE_FEATURES + [c for c in h.columns if c.endswith("_missing")]
+    """Ridge(alpha=1) behind four ways to fill: medians, KNN (z-scored), KNN with rare types
+    merged, and chained equations (Bayesian ridge, fewest gaps first, ten rounds); categories
+    get their mode and are one-hot encoded.  Fitted on all training rows, scored on all test
+    rows."""
+    tr, te = _imputer_frames(spark, sf_dir)
+    cats = ["ptype", "brand"]
+    modes = mm.fit_simple_imputer(tr, [], cats)
+    medians = mm.fit_simple_imputer(tr, WIDE_FEATURES)
+    near = [knn_impute(x, tr, WIDE_FEATURES, "rid").checkpoint() for x in (tr, te)]
+    chained = imputation.fit_iterative(tr, WIDE_FEATURES, estimator="bayesian_ridge", ascending=True)
+    merged = [mm.merge_rare_levels(mm.apply_fills(tr, modes), mm.apply_fills(x, modes), "ptype", 200) for x in near]
+    pairs = {"simple_median": [mm.apply_fills(x, medians) for x in (tr, te)], "knn_k5_distance": near,
+             "knn_k5_merged_types": merged, "iterative_bayesian_ridge": [chained.apply(x) for x in (tr, te)]}
+    numbers = WIDE_FEATURES + [c for c in tr.columns if c.endswith("_missing")]
     rows = []
-    fills = mm.fit_simple_imputer(tr, WIDE_FEATURES)
-    for name, a, b in (("simple_median", mm.apply_fills(tr, fills), mm.apply_fills(te, fills)),
-                       ("knn_k5_distance", knn_impute(tr, tr, WIDE_FEATURES, "rid").checkpoint(),
-                        knn_impute(te, tr, WIDE_FEATURES, "rid").checkpoint())):
-        fit = gram.fit_linear(gram.total(gram.gram_moments(a, feats, "price")), "ridge", alpha=1.0)
+    for name, (a, b) in pairs.items():
+        a, b = mm.apply_fills(a, modes), mm.apply_fills(b, modes)
+        for c in cats:
+            levels = mm.levels_of(a, c)
+            a, b = mm.one_hot(a, c, levels=levels, prefix="cat"), mm.one_hot(b, c, levels=levels, prefix="cat")
+        feats = numbers + [c for c in a.columns if c.startswith("cat_")]
+        fit = gram.fit_linear(gram.total(gram.gram_moments(a, feats, "price")), "ridge", alpha=1.0, scale=False)
         m = md.regression_metrics(b.select("price", md.linear_predict(feats, fit)), "price").collect()[0]
         rows.append((name, float(m["rmse"])))
     return round_doubles(spark.createDataFrame(rows, "imputer string, rmse double"), 6)
 
 
+@register("M9_iterative_impute_one_gap", f"""{W},
+h AS (SELECT rid, brand, quantity, {sql_hole("price")} FROM wide),
+f AS (SELECT regr_slope(price, quantity) AS b, regr_intercept(price, quantity) AS a FROM h)
+SELECT brand, count(*) AS n, round(avg(coalesce(price, a + b * quantity)), 6) AS price FROM h, f GROUP BY brand""")
+def q_m9_one(spark, sf_dir):
+    """With gaps in one column alone the rounds end at its regression on the others."""
+    h = holes(spark, sf_dir, ["price"]).select("rid", "brand", "quantity", "price")
+    out = imputation.iterative_impute(h, ["quantity", "price"])
+    return round_doubles(out.groupBy("brand").agg(F.count("*").alias("n"), F.avg("price").alias("price")))
+
+
 @register("M9_iterative_impute")
 def q_m9(spark, sf_dir):
-    """Chained-equation imputation: each round regresses every column with
-    NULLs on the others (Gram path, observed rows) and refills the missing
-    cells; lineage is cut with checkpoint() each round."""
+    """Chained-equation imputation, ten rounds over all feature columns."""
     h = holes(spark, sf_dir).select("rid", *WIDE_FEATURES)
-    from kestrel.operators.imputation import iterative_impute
-    out = iterative_impute(h, WIDE_FEATURES)
+    out = imputation.iterative_impute(h, WIDE_FEATURES)
     return round_doubles(out.agg(*[F.avg(c).alias(c) for c in WIDE_FEATURES]), 6)
-
