@@ -252,6 +252,19 @@ def grid_search(folds: dict, model: str, grid: list[dict]) -> tuple[dict, float]
     return best, best_score
 
 
+def raw_ols(m: Moments) -> np.ndarray:
+    """Least-squares coefficients in the units of the features, of several solutions the
+    shortest one in these units.  The system is solved on standardised features, where
+    rank can be told, and taken back."""
+    cxx, cxy, _ = m.centred()
+    s = m.pop_std()
+    values, vectors = np.linalg.eigh(cxx / np.outer(s, s))
+    used = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
+    coef = vectors[:, used] @ ((vectors[:, used].T @ (cxy / s)) / values[used]) / s
+    free = vectors[:, ~used] / s[:, None]
+    return coef - free @ np.linalg.lstsq(free, coef, rcond=None)[0] if free.size else coef
+
+
 def rfe_ols(m: Moments, k: int, step: int = 1, scale: bool = False) -> list[int]:
     """Recursive feature elimination with OLS (F5): refit, drop the feature
     with the smallest squared coefficient, until k remain.  Returns ranks
@@ -261,8 +274,8 @@ def rfe_ols(m: Moments, k: int, step: int = 1, scale: bool = False) -> list[int]
     ranks = np.ones(p, dtype=int)
     rank = p - k + 1
     while len(active) > k:
-        fit = fit_linear(m.subset(active), "ols", scale=scale)
-        imp = fit.coef ** 2
+        sub = m.subset(active)
+        imp = (fit_linear(sub, "ols").coef if scale else raw_ols(sub)) ** 2
         nd = min(step, len(active) - k)
         drop = np.argsort(imp, kind="stable")[:nd]
         for d_ in sorted(drop, reverse=True):

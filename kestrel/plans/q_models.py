@@ -4,28 +4,33 @@ leaderboards (F*, R*, L*, V*, M9-M11)."""
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from kestrel.operators import comparison
 from kestrel.operators import features as fe
 from kestrel.operators import forest
 from kestrel.operators import gram
 from kestrel.operators import imputation
+from kestrel.operators import logistic
 from kestrel.operators import missing as mm
 from kestrel.operators import models as md
 from kestrel.operators.neighbors import knn_impute
-from kestrel.plans.frames import BIN_SQL, WIDE_FEATURES, WIDE_SQL, bin_frame, holes, sql_hole, vec_frame, wide
+from kestrel.plans.frames import BIN_SQL, WIDE_FEATURES, WIDE_SQL, bin_frame, holes, sql_hole, table, vec_frame, wide
 from kestrel.plans.q_clean import split_sql
 from kestrel.plans.registry import register, round_doubles
+from kestrel.session import scratch_dir
+from kestrel.sources import io
 
 W = f"WITH wide AS ({WIDE_SQL})"
 
 
 # ---------------------------------------------------------------- model frames
-def model_frame(spark, sf_dir):
+def model_frame(spark, sf_dir, brands: bool = False):
     """holes -> rows with a target -> indicators -> exact split + folds ->
-    train-fitted median fill -> one-hot ptype (all levels: singular design).
-    Returns (frame, feature names, target)."""
+    train-fitted median fill -> one-hot ptype (all levels: singular design),
+    with ``brands`` also one-hot brand.  Returns (frame, feature names, target)."""
     src = holes(spark, sf_dir).where(F.col("price").isNotNull()).persist()  # several fitting passes follow
     h = mm.na_indicators(src, WIDE_FEATURES)
     h = mm.train_test_split(h, "rid", 0.2, seed="42")
@@ -34,6 +39,8 @@ def model_frame(spark, sf_dir):
     h = mm.apply_fills(h, fills)
     levels = mm.levels_of(h, "ptype")
     h = mm.one_hot(h, "ptype", levels=levels, prefix="genre")
+    if brands:
+        h = mm.one_hot(h, "brand", levels=mm.levels_of(h, "brand"), prefix="genre")
     # feature groups by name (P3): plain numeric, ``*_missing`` indicators, ``genre_*`` dummies
     from kestrel.functions.columns import feature_groups
     cands = [c for c in h.columns if c not in ("rid", "price", "split", "fold", "returnflag", "linestatus", "brand")]
@@ -202,8 +209,8 @@ def q_v10b(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- L1-L5, V3, V9-V12 on the model frame
-def _suite(spark, sf_dir):
-    h, feats, y = model_frame(spark, sf_dir)
+def _suite(spark, sf_dir, brands=False):
+    h, feats, y = model_frame(spark, sf_dir, brands)
     train = h.where(F.col("split") == "train")
     test = h.where(F.col("split") == "test")
     return h, feats, y, train, test
@@ -275,16 +282,23 @@ def q_v11(spark, sf_dir):
     return round_doubles(line, 6)
 
 
+RFE_K, RFE_COMPARED_K = 20, 30  # fixed values: features that elimination keeps, alone and in comparisons
+
+
 def _rfe_features(train, feats, y, k):
-    ranks = gram.rfe_ols(gram.total(gram.gram_moments(train, feats, y)), k)
+    ranks = gram.rfe_ols(gram.total(gram.gram_moments(train, feats, y)), min(k, len(feats)))
     return [f for f, r in zip(feats, ranks) if r == 1], ranks
 
 
 @register("F5_rfe_ols_ranks")
 def q_f5(spark, sf_dir):
-    h, feats, y, train, test = _suite(spark, sf_dir)
-    _, ranks = _rfe_features(train, feats, y, 8)
-    return spark.createDataFrame(list(zip(feats, [int(r) for r in ranks])), "feature string, ranking int")
+    """Elimination down to 20 of all features, brands included, and the fit on those."""
+    h, feats, y, train, test = _suite(spark, sf_dir, brands=True)
+    kept, ranks = _rfe_features(train, feats, y, RFE_K)
+    fit = gram.fit_linear(gram.total(gram.gram_moments(train, kept, y)), "ols")
+    m = md.regression_metrics(test.select(y, md.linear_predict(kept, fit)), y).first()
+    rows = [(f, int(r), float(m["rmse"]), float(m["r2"])) for f, r in zip(feats, ranks)]
+    return round_doubles(spark.createDataFrame(rows, "feature string, ranking int, test_rmse double, test_r2 double"), 4)
 
 
 @register("F7_lasso_nonzero_coefficients")
@@ -352,31 +366,68 @@ def pca_variant(train, test, cols, y, threshold=0.95):
     return tr, te, [f"PC{i + 1}" for i in range(k)], vt
 
 
+def export_pca(spark, train, test, cols, y, name):
+    """Write the training, test and variance tables of a PCA variant as CSV and read them
+    back (R4, S10): (train, test, component names, variance table)."""
+    tr, te, pcs, vt = pca_variant(train, test, cols, y)
+    base, out = scratch_dir(spark, name), []
+    for part, df in (("train", tr), ("test", te), ("variance", vt)):
+        io.write_csv(df, f"{base}/{part}.csv")
+        out.append(io.read_csv(spark, f"{base}/{part}.csv", df.schema, multi_line=False))
+    return out[0], out[1], pcs, out[2]
+
+
 @register("R4_R5_pca_train_test_export")
 def q_r4(spark, sf_dir):
+    """Both modes, from the tables as read back."""
     h, feats, y, train, test = _suite(spark, sf_dir)
     rows = []
     for variant, cols in (("pca_all_features", feats), ("pca_continuous_only", WIDE_FEATURES)):
-        tr, te, pcs, vt = pca_variant(train, test, cols, y)
+        tr, te, pcs, vt = export_pca(spark, train, test, cols, y, variant)
         rows.append((variant, len(pcs), tr.count(), te.count(),
                      float(vt.where(F.col("component") == len(pcs)).collect()[0][2])))
     return round_doubles(spark.createDataFrame(rows, "variant string, n_components int, n_train long, n_test long, "
                                                      "cumulative double"), 8)
 
 
+@lru_cache(maxsize=4)
+def _regression_table(spark, sf_dir):
+    """Four variants x four models: rows of ``SCHEMA_CMP`` and the chosen parameters."""
+    h, feats, y, train, test = _suite(spark, sf_dir, brands=True)
+    sel, _ = _rfe_features(train, feats, y, RFE_COMPARED_K)
+    variants = [("all_features", train, test, feats), (f"feature_selection_rfe_{len(sel)}", train, test, sel)]
+    for variant, cols in (("pca_continuous_only", WIDE_FEATURES), ("pca_all_features", feats)):
+        tr, te, pcs, _ = export_pca(spark, train, test, cols, y, variant)
+        variants.append((variant, tr, te, pcs))
+    rows, params = [], {}
+    for variant, tr, te, cols in variants:
+        suite = md.fit_regression_suite(tr, cols, y)
+        rows += _eval_rows(te, cols, y, suite, variant)
+        params |= {f"{variant}::{model}": chosen for model, chosen, _, _ in suite if chosen}
+    return rows, params
+
+
+@register("V12_regression_comparison")
+def q_v12_table(spark, sf_dir):
+    """The whole comparison, by variant and rising RMSE."""
+    rows, _ = _regression_table(spark, sf_dir.rstrip("/"))
+    return round_doubles(spark.createDataFrame(rows, SCHEMA_CMP).orderBy("variant", "rmse", "model"), 6)
+
+
 @register("V12_V14_regression_comparison_leaderboard")
 def q_v12(spark, sf_dir):
-    """Variants (all features, RFE-8, PCA all, PCA continuous) x models, then
-    the per-variant best by RMSE (tie MAE) with the overall pick flagged."""
-    h, feats, y, train, test = _suite(spark, sf_dir)
-    rows = _eval_rows(test, feats, y, md.fit_regression_suite(train, feats, y), "all_features")
-    sel, _ = _rfe_features(train, feats, y, 8)
-    rows += _eval_rows(test, sel, y, md.fit_regression_suite(train, sel, y), "feature_selection_rfe_8")
-    for variant, cols in (("pca_all_features", feats), ("pca_continuous_only", WIDE_FEATURES)):
-        tr, te, pcs, _ = pca_variant(train, test, cols, y)
-        rows += _eval_rows(te, pcs, y, md.fit_regression_suite(tr, pcs, y), variant)
-    cmp_df = spark.createDataFrame(rows, SCHEMA_CMP)
-    return round_doubles(md.leaderboard(cmp_df, [("rmse", "asc"), ("mae", "asc")]), 6)
+    """The best model of each variant by RMSE (tie MAE), the overall pick flagged."""
+    rows, _ = _regression_table(spark, sf_dir.rstrip("/"))
+    return round_doubles(md.leaderboard(spark.createDataFrame(rows, SCHEMA_CMP), [("rmse", "asc"), ("mae", "asc")]), 6)
+
+
+@register("S8_best_params_json")
+def q_best_params(spark, sf_dir):
+    """Chosen parameters of the regression comparison, written as JSON and read back."""
+    _, params = _regression_table(spark, sf_dir.rstrip("/"))
+    back = io.read_params_json(spark, io.write_params_json(spark, params, scratch_dir(spark, "best_params")))
+    rows = [(model, name, float(v)) for model, chosen in back.items() for name, v in chosen.items()]
+    return spark.createDataFrame(rows, "model string, parameter string, value double")
 
 
 @register("V14_leaderboard_operator", f"""{W},
@@ -448,57 +499,88 @@ def q_v2(spark, sf_dir):
 
 
 def class_frame(spark, sf_dir):
-    """documents join labels -> features (log length, language one-hot),
-    exact stratified split, folds, train-fitted scaling."""
+    """documents join labels -> what a text measures, raw and as logarithms, language and
+    source one-hot; exact stratified split and folds.  (frame, features, numbers, target)."""
     from kestrel.functions.columns import leaking_fields
-    b = bin_frame(spark, sf_dir).withColumn("log_chars", F.log1p("n_chars"))
-    # leakage guard (P12): the second label and the raw length never enter X
-    b = b.drop(*leaking_fields(b.schema, ("toxic", "n_chars", "source")))
-    b = mm.one_hot(b, "lang", levels=mm.levels_of(b, "lang"), prefix="lang", keep_source=False)
-    feats = ["log_chars"] + [c for c in b.columns if c.startswith("lang_")]
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", F.length(text).cast("double").alias("chars"), F.size(words).cast("double").alias("words"),
+        F.size(F.array_distinct(words)).cast("double").alias("distinct_words"),
+        *[F.regexp_count(text, F.lit(p)).cast("double").alias(c) for c, p in (
+            ("lines", "\n"), ("digits", "[0-9]"), ("capitals", "[A-Z]"), ("stops", "[.!?]"), ("symbols", "[#*$%&|<>]"), ("commas", "[,;:]"))])
+    b = d.join(table(spark, sf_dir, "labels"), "doc_id")
+    numbers = ["chars", "words", "distinct_words", "lines", "digits", "capitals", "stops", "symbols", "commas"]
+    b = b.withColumns({f"log_{c}": F.log1p(c) for c in numbers}).withColumn("word_length", F.col("chars") / F.greatest("words", F.lit(1.0)))
+    numbers += [f"log_{c}" for c in numbers] + ["word_length"]
+    b = b.drop(*leaking_fields(b.schema, ("toxic",)))  # leakage guard (P12): the second label never enters X
+    for c in ("lang", "source"):
+        b = mm.one_hot(b, c, levels=mm.levels_of(b, c), prefix=c)
+    feats = numbers + [c for c in b.columns if c.startswith(("lang_", "source_"))]
     b = mm.train_test_split(b, "doc_id", 0.2, seed="42", stratify="quality")
-    b = mm.kfold(b, "doc_id", 5, stratify="quality")
-    stats = fe.fit_scaler(b.where(F.col("split") == "train"), feats)
-    b = fe.apply_scaler(b, stats).select("doc_id", "split", "fold", "quality", *feats).checkpoint()
-    return b, feats, "quality"
+    b = mm.kfold(b, "doc_id", 5, stratify="quality").select("doc_id", "split", "fold", "quality", *feats).checkpoint()
+    return b, feats, numbers, "quality"
+
+
+@lru_cache(maxsize=4)
+def _class_comparison(spark, sf_dir):
+    """Four variants x three models with the C grid."""
+    b, feats, numbers, y = class_frame(spark, sf_dir)
+    train = b.where(F.col("split") == "train")
+    ranks, _ = logistic.rfe(train, feats, y, min(RFE_COMPARED_K, len(feats)))
+    kept = [f for f in feats if ranks[f] == 1]
+    variants = {"all_features": feats, f"feature_selection_rfe_{len(kept)}": kept}
+    for name, cols in (("pca_continuous_only", numbers), ("pca_all_features", feats)):
+        stats, model, ratios = fe.pca_fit(train, cols)
+        k = fe.components_for(fe.variance_table(ratios, spark), 0.95)
+        parts = fe.pca_project(b, cols, stats, model, k, keep=["doc_id"])
+        parts = parts.select("doc_id", *[F.col(c).alias(f"{name}_{c}") for c in parts.columns[1:]])
+        b, variants[name] = b.join(parts, "doc_id"), parts.columns[1:]
+    b = b.checkpoint()
+    return b, y, comparison.classification(b, variants, y, "doc_id", md.LOGREG_CS)
+
+
+@register("V13_classification_comparison")
+def q_class_table(spark, sf_dir):
+    """All features, RFE, and both PCA variants x unweighted, balanced and SMOTE logistic
+    regression, C by stratified CV; by variant and falling ROC-AUC."""
+    return round_doubles(_class_comparison(spark, sf_dir.rstrip("/"))[2].table, 6)
+
+
+@register("V13_best_model_confusion")
+def q_best_confusion(spark, sf_dir):
+    """The best model by ROC-AUC, then F1, refitted with its C on all training rows, and its
+    confusion matrix on the test rows."""
+    b, y, out = _class_comparison(spark, sf_dir.rstrip("/"))
+    best = out.table.orderBy(F.desc_nulls_last("roc_auc"), F.desc("f1"), "variant", "model").first()
+    # a SMOTE model is refitted without the new rows, as the comparison script does
+    spec = logistic.Spec("best", best["C"], -1, best["model"] == "logreg_classweight_l2",
+                         tuple(out.fits[f"{best['variant']}::{best['model']}"].columns), True)
+    fit = logistic.fit_many(b.where(F.col("split") == "train"), spec.columns, y, [spec])["best"]
+    scored = b.where(F.col("split") == "test").select(y, logistic.score_expr(fit.columns, fit.coef).alias("score"))
+    return round_doubles(md.confusion_metrics(scored, y).select(
+        F.lit(best["variant"]).alias("variant"), F.lit(best["model"]).alias("model"), F.lit(best["C"]).alias("C"), "*"), 6)
 
 
 @register("L6_L7_V13_V15_logistic_cv_leaderboard")
 def q_l6(spark, sf_dir):
-    """Unweighted and class-balanced L2 logistic regression (liblinear's
-    objective, intercept penalised); C by 5-fold CV ROC-AUC with all
-    fold x C x weighting models fitted together by Newton passes; refit on
-    train, test metrics, then the V13 flag and the V15 leaderboard."""
-    from kestrel.operators import logistic as lg
+    """The best model of each variant by F1, ROC-AUC and kappa, the overall pick flagged (V15),
+    and the best by ROC-AUC then F1 marked (V13)."""
     from kestrel.operators.clean import flag_best
-    b, feats, y = class_frame(spark, sf_dir)
-    train, test = b.where(F.col("split") == "train"), b.where(F.col("split") == "test")
-    best = lg.cv_select_C(train, feats, y, md.LOGREG_CS)
-    specs = [lg.Spec(f"final|{bal}", best[bal][0], -1, bal) for bal in (False, True)]
-    coefs = lg.fit_many(train, feats, y, specs)
-    rows = []
-    for (name, bal), sp in zip((("logreg_unbalanced_l2", False), ("logreg_classweight_l2", True)), specs):
-        scored = test.select(y, lg.score_expr(feats, coefs[sp.name]).alias("score"))
-        met = md.classification_metrics(scored, y).collect()[0]
-        rows.append(("all_features", name, float(best[bal][0]), float(best[bal][1]),
-                     *[float(met[k]) if met[k] is not None else None
-                       for k in ("roc_auc", "pr_auc", "f1", "precision", "accuracy", "sensitivity", "specificity",
-                                 "kappa")], *[int(met[k]) for k in ("tn", "fp", "fn", "tp")]))
-    res = spark.createDataFrame(rows, "variant string, model string, C double, cv_auc double, roc_auc double, "
-                                      "pr_auc double, f1 double, precision double, accuracy double, "
-                                      "sensitivity double, specificity double, kappa double, "
-                                      "tn long, fp long, fn long, tp long")
-    # The best model by ROC-AUC then F1 (its confusion counts are in the row)
-    res = flag_best(res, [F.desc("roc_auc"), F.desc("f1")], flag="best_by_auc")
-    # Leaderboard by F1, ROC-AUC, kappa with the overall pick flagged
+    res = flag_best(_class_comparison(spark, sf_dir.rstrip("/"))[2].table, [F.desc("roc_auc"), F.desc("f1")], flag="best_by_auc")
     return round_doubles(md.leaderboard(res, [("f1", "desc"), ("roc_auc", "desc"), ("kappa", "desc")]), 6)
 
 
+def _scaled_class_frame(spark, sf_dir):
+    b, feats, _, y = class_frame(spark, sf_dir)
+    return fe.apply_scaler(b, fe.fit_scaler(b.where(F.col("split") == "train"), feats)), feats, y
+
+
 @register("L6_mllib_logistic_fixed_C")
 def q_l6m(spark, sf_dir):
     """The same model through MLlib's LogisticRegression (regParam = 1/(C·n),
     unpenalised intercept) for a fixed C, as the library's MLlib path."""
-    b, feats, y = class_frame(spark, sf_dir)
+    b, feats, y = _scaled_class_frame(spark, sf_dir)
     train, test = b.where(F.col("split") == "train"), b.where(F.col("split") == "test")
     va, m = md.fit_logistic(train, feats, y, 1.0, balanced=True)
     return round_doubles(md.classification_metrics(md.logistic_scores(va, m, test, keep=[y]), y), 6)
@@ -506,33 +588,19 @@ def q_l6m(spark, sf_dir):
 
 @register("L8_smote_logistic")
 def q_l8(spark, sf_dir):
-    """SMOTE on training rows only, then unweighted logistic regression."""
-    from kestrel.operators.neighbors import smote
-    b, feats, y = class_frame(spark, sf_dir)
-    train, test = b.where(F.col("split") == "train"), b.where(F.col("split") == "test")
-    over = smote(train, feats, y, "doc_id", k=5, minority=0)
-    va, m = md.fit_logistic(over, feats, y, 1.0, False)
-    met = md.classification_metrics(md.logistic_scores(va, m, test, keep=[y]), y)
-    counts = over.groupBy(y).count().collect()
-    return round_doubles(met.withColumn("n_train_after", F.lit(sum(r["count"] for r in counts))), 6)
+    """SMOTE on training rows only, inside each fold, then unweighted logistic regression
+    with C from the grid."""
+    b, feats, _, y = class_frame(spark, sf_dir)
+    out = comparison.classification(b, {"all_features": feats}, y, "doc_id", md.LOGREG_CS, models=("logreg_smote_l2",))
+    return round_doubles(out.table, 6)
 
 
 @register("F6_rfe_logistic")
 def q_f6(spark, sf_dir):
-    """RFE with logistic regression on training rows: drop the smallest |coef|
-    one at a time until 2 features remain."""
-    b, feats, y = class_frame(spark, sf_dir)
-    train = b.where(F.col("split") == "train")
-    active, ranks = list(feats), {f: 1 for f in feats}
-    rank = len(feats) - 2 + 1
-    while len(active) > 2:
-        _, m = md.fit_logistic(train, active, y, 1.0, False)
-        coefs = m.coefficients.toArray()
-        drop = active[int(abs(coefs).argmin())]
-        ranks[drop] = rank
-        rank -= 1
-        active.remove(drop)
-    return spark.createDataFrame([(f, int(ranks[f])) for f in feats], "feature string, ranking int")
+    """Logistic elimination on the raw features of the training rows, down to 30."""
+    b, feats, _, y = class_frame(spark, sf_dir)
+    ranks, fit = logistic.rfe(b.where(F.col("split") == "train"), feats, y, min(RFE_COMPARED_K, len(feats)))
+    return spark.createDataFrame([(f, int(ranks[f]), fit.converged) for f in feats], "feature string, ranking int, converged boolean")
 
 
 # ---------------------------------------------------------------- M9, M10

@@ -8,6 +8,8 @@ Parquet is the default table format (column pruning and filter pushdown).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +114,19 @@ def read_positions_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("column string, row_id string").json(path)
 
 
+def write_params_json(spark: SparkSession, params: dict, path: str, mode: str = "overwrite") -> str:
+    """Chosen parameters by model as one indented JSON document."""
+    text = json.dumps(params, indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
+    return path
+
+
+def read_params_json(spark: SparkSession, path: str) -> dict:
+    """What ``write_params_json`` wrote."""
+    rows = spark.read.text(path, wholetext=True).collect()  # one document
+    return json.loads(rows[0]["value"]) if rows else {}
+
+
 def read_na_map_json(spark: SparkSession, path: str) -> DataFrame:
     """Read a ``{column: [row ids]}`` JSON document (S9) as (column, row_id)."""
     raw = spark.read.text(path, wholetext=True)

@@ -91,13 +91,13 @@ def test_logistic_newton_stationary(spark):
     specs = [lg.Spec("all", 0.5, -1, False), lg.Spec("bal", 0.5, 2, True)]
     coefs = lg.fit_many(df, ["a", "b"], "y", specs)
     A = np.hstack([X, np.ones((n, 1))])
-    b = coefs["all"]
+    b = coefs["all"].coef
     mu = 1 / (1 + np.exp(-(A @ b)))
     grad = b - 0.5 * A.T @ (yv - mu)
     assert np.max(np.abs(grad)) < 1e-8
     keep = np.arange(n) % 5 != 2
     n1, n0 = yv[keep].sum(), (1 - yv[keep]).sum()
     sw = np.where(yv[keep] == 1, keep.sum() / (2 * n1), keep.sum() / (2 * n0))
-    b2 = coefs["bal"]
+    b2 = coefs["bal"].coef
     mu2 = 1 / (1 + np.exp(-(A[keep] @ b2)))
     assert np.max(np.abs(b2 - 0.5 * A[keep].T @ (sw * (yv[keep] - mu2)))) < 1e-8
