@@ -5,7 +5,8 @@ gives away, a random string shows itself by how badly it compresses: under a
 byte-level vocabulary it needs nearly a token for every two characters, where
 words and names need far fewer.  Digests of known lengths and identifiers
 (UUIDs, plain numbers, names with separators, addresses) are no secrets and are
-left out before the test.
+left out before the test.  A run is tested as a whole, and if it passes, its parts
+between separators, so that a readable path or name does not hide a key behind it.
 """
 
 from __future__ import annotations
@@ -39,7 +40,10 @@ _run = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH).fi
 _any_hex = re.compile("[0-9a-fA-F]+").fullmatch
 _uuid = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}").fullmatch
 _number = re.compile("[0-9_+/=-]+").fullmatch
-_checksum = re.compile("sha(1|256|384|512)[-:=]").match
+_checksum = re.compile("sha(1|256|384|512)[-=]([A-Za-z0-9+/_-]+)=*").fullmatch
+#: By digest: its length in hexadecimal and in base 64 without padding.
+_CHECKSUM_LENGTHS = {"1": (40, 27), "256": (64, 43), "384": (96, 64), "512": (128, 86)}
+_SEPARATORS = ["/", "=", "-", "_", "+", "/=_+-"]
 _words = re.compile("(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4})(?:[_/+=-]+(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4}))*").fullmatch
 
 
@@ -57,13 +61,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def is_known(run: str) -> bool:
     """A digest of a known length, or an identifier."""
-    return bool((len(run) in DIGEST_LENGTHS and _any_hex(run)) or _uuid(run) or _number(run) or _checksum(run)
-                or _words(run))
+    checksum = _checksum(run)
+    return bool((len(run) in DIGEST_LENGTHS and _any_hex(run)) or _uuid(run) or _number(run) or _words(run)
+                or (checksum and len(checksum.group(2)) in _CHECKSUM_LENGTHS[checksum.group(1)]))
 
 
 def classes(run: str) -> int:
-    """Of lower case, upper case and digits, how many occur."""
-    return (any("a" <= c <= "z" for c in run)) + (any("A" <= c <= "Z" for c in run)) + (any("0" <= c <= "9" for c in run))
+    """Of lower case, upper case and digits, how many occur; a capital at the start alone
+    does not count."""
+    return (any("a" <= c <= "z" for c in run)) + (any("A" <= c <= "Z" for c in run[1:])) + (any("0" <= c <= "9" for c in run))
 
 
 @lru_cache(maxsize=1)
@@ -76,19 +82,44 @@ def _encoding(path: str):
 
 
 def random_spans(text: str, path: str) -> list[tuple[str, int, int]]:
-    """The runs of ``MIN_LENGTH`` characters or more that are no known digest or
-    identifier and take more than a token per ``MAX_CHARS_PER_TOKEN`` characters."""
+    """The runs of ``MIN_LENGTH`` characters or more, or else their parts between
+    separators, that are no known digest or identifier and take more than a token per
+    ``MAX_CHARS_PER_TOKEN`` characters."""
     if max(map(len, text.split()), default=0) < MIN_LENGTH:
         return []
     out = []
     for m in _run(text):
         run = m.group()
-        if classes(run) >= MIN_CLASSES and any("0" <= c <= "9" for c in run) and not is_known(run):
-            if len(run) < MAX_CHARS_PER_TOKEN * len(_encoding(path).encode_ordinary(run)):
-                out.append((FOUND, m.start(), m.end()))
+        if is_known(run):
+            continue
+        if is_random(run, path):
+            out.append((FOUND, m.start(), m.end()))
+            continue
+        found: list[tuple[int, int]] = []
+        for separators in _SEPARATORS:
+            for start, end in parts(run, separators):
+                part = run[start:end]
+                if (all(end <= s or e <= start for s, e in found) and not is_known(part) and is_random(part, path)):
+                    found.append((start, end))
+        out += [(FOUND, m.start() + s, m.start() + e) for s, e in sorted(found)]
     return out
 
 
+def parts(run: str, separators: str) -> list[tuple[int, int]]:
+    """Where the parts of ``MIN_LENGTH`` characters or more between separators stand."""
+    out, start = [], 0
+    for i, c in enumerate(run + separators[0]):
+        if c in separators:
+            if MIN_LENGTH <= i - start < len(run):
+                out.append((start, i))
+            start = i + 1
+    return out
+
+
+def is_random(run: str, path: str) -> bool:
+    return classes(run) >= MIN_CLASSES and len(run) < MAX_CHARS_PER_TOKEN * len(_encoding(path).encode_ordinary(run))
+
+
 def all_spans(text: str, path: str) -> tuple[list, list]:
     """The base spans, and all spans; a random run inside a base span is not repeated."""
     base = base_spans(text)
