@@ -2,8 +2,9 @@
 
 Seed entities (addresses, phone and card numbers that their form gives away)
 and the words around them make a graph of patterns and instances.  Spark scores
-it in rounds: a pattern is as trustworthy as the share of its instances that are
-known, an unknown instance as the patterns it stands in.  Patterns that become
+it in rounds: known instances speak for a pattern; unknown ones count little against
+it, as finding them is the aim, unless they also stand where no known one ever does.
+An unknown instance is as good as the patterns it stands in.  Patterns that become
 trusted mark identifiers whose form alone says too little: numbers of six
 digits or more, letter-and-digit numbers, and addresses spelt with "at" and
 "dot".  The seeds always stay.
@@ -26,7 +27,7 @@ from kestrel.llm.common import by_slices, cut, free_name, numbered, texts_of
 KINDS = ["email", "ip", "card", "phone"]
 #: What the patterns find.
 FOUND = "id"
-ROUNDS, MIN_KNOWN, TRUST = 3, 3, 0.8
+ROUNDS, MIN_KNOWN, TRUST, UNKNOWN_WEIGHT = 3, 3, 0.7, 0.25
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -124,7 +125,7 @@ def instance_of(text: str) -> str:
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Spans that may be identifiers and touch no seed."""
     found = [m.span() for m in _numbers(text)] if _digit(text) else []
-    if "dot" in text or "at)" in text or "at]" in text:
+    if " at " in text or "at)" in text or "at]" in text:
         found += [m.span() for m in _spelt(text)]
     return outside(found, [(s, e) for _, s, e in base])
 
@@ -162,18 +163,27 @@ def trusted_patterns(table: DataFrame, rounds: int = ROUNDS, min_known: int = MI
     """``pattern, trust`` of the patterns that the graph vouches for.
 
     An instance counts once however often it is met, so copies of a text lend no
-    weight.  A pattern's trust is its known instances over all its instances and
-    one; it needs ``min_known`` of them.  An unknown instance scores 1 minus the
-    product of its patterns' doubts, and counts as known at ``trust``.
+    weight.  A pattern needs ``min_known`` known instances; its trust is their share
+    among them, the instances that speak against it, ``UNKNOWN_WEIGHT`` of the other
+    unknown ones, and one.  An unknown instance speaks against its patterns if another
+    pattern that it stands in has ``min_known`` instances and none known.  It scores 1
+    minus the product of its patterns' doubts, and counts as known at ``trust``.
     """
     spots = table.select(F.explode("seen").alias("s")).select("s.seed", "s.instance", F.explode("s.patterns").alias("pattern"))
     edges = cut(spots.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     known = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
     chosen = None
     for _ in range(rounds):
-        scored = edges.select("pattern", "instance").join(known, "instance")
-        chosen = cut(scored.groupBy("pattern").agg(F.sum("score").alias("known"), F.count("*").alias("all"))
-                     .select("pattern", "known", (F.col("known") / (F.col("all") + 1)).alias("trust"))
+        scored = cut(edges.select("pattern", "instance").join(known, "instance"))
+        counted = scored.groupBy("pattern").agg(F.sum("score").alias("known"), F.count("*").alias("all"))
+        strange = counted.where((F.col("known") == 0) & (F.col("all") >= min_known)).select("pattern")
+        against = (scored.where("score = 0").join(strange, "pattern").select("instance").distinct()
+                   .withColumn("against", F.lit(1)))
+        counted = scored.join(against, "instance", "left").groupBy("pattern").agg(
+            F.sum("score").alias("known"), F.count("*").alias("all"), F.count("against").alias("against"))
+        rest = F.col("all") - F.col("known") - F.col("against")
+        share = F.col("known") / (F.col("known") + F.col("against") + UNKNOWN_WEIGHT * rest + 1)
+        chosen = cut(counted.select("pattern", "known", share.alias("trust"))
                      .where((F.col("known") >= min_known) & (F.col("trust") >= trust)).select("pattern", "trust"))
         told = (edges.join(chosen, "pattern", "left").groupBy("instance")
                 .agg(F.max("seed").alias("seed"),
@@ -234,7 +244,7 @@ def redact(docs: DataFrame) -> DataFrame:
     are masked alike; an empty table stays empty.
     """
     place, gone = free_name(docs, "place"), free_name(docs, "spans")
-    docs = numbered(docs, place)
+    columns, docs = docs.columns, numbered(docs, place)
     rows = docs.select(F.col(place).alias("place"), "doc_id", "text")
     found = _spans(cut(_seed_table(rows)))
     extra = F.transform(F.coalesce("found", F.array().cast("array<struct<start:long,end:long>>")),
@@ -248,7 +258,7 @@ def redact(docs: DataFrame) -> DataFrame:
     marked = docs.join(some, place, "left")
     out = marked.withColumn("text", F.when(F.col(gone).isNull(), F.col("text"))
                             .otherwise(F.pandas_udf(run, "string")(F.col("text"), F.col(gone))))
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(docs.columns)
+    return out.select(columns)
