@@ -2,10 +2,12 @@
 
 Words and word pairs of a text fall into ``BUCKETS`` hashed buckets.  Two bag
 models are counted in Spark: the raw one over all documents, the target one
-over the documents labelled good.  A document's log importance weight is its
-mean log ratio of the two models per n-gram, times ``WINDOW`` n-grams, so that
-it does not grow with the length of the text.  With standard Gumbel noise added,
-the k highest keys are a sample without replacement in proportion to the weights.
+over the documents labelled good.  A document's log importance weight is the log
+ratio of its probabilities under the two models, the sum over its n-grams, at a
+temperature: 1 up to ``WINDOW`` n-grams, beyond that the n-grams over ``WINDOW``.  So the
+errors of the bucket ratios, which a long text adds up, cannot outgrow its evidence; an
+infinite window gives the plain sum.  With standard Gumbel noise added, the k highest
+keys are a sample without replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import WORD, by_slices, cut, texts_of
 
 BUCKETS = 10_000
-WINDOW = 128
+WINDOW, PRIOR = 128, 10_000
 SEED = 7
 CACHE_ENTRIES = 300_000
 
@@ -69,16 +71,16 @@ def count_models(marked: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray,
     return target, raw
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Smoothed log ratio of the two models by bucket."""
-    b = len(raw)
-    return np.log((target + 1) / (target.sum() + b)) - np.log((raw + 1) / (raw.sum() + b))
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Log ratio of the two models by bucket.  The target model is drawn towards the raw one
+    by ``prior`` n-grams: what the target texts never hold speaks against a text, the more
+    the more target text there is, and without target text the ratio is 0."""
+    p = (raw + 1) / (raw.sum() + len(raw))
+    return np.log((target + prior * p) / ((target.sum() + prior) * p))
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """``doc_id, log_weight`` for each row; a text without words weighs as the
-    least likely one: the lowest ratio of any bucket in each n-gram."""
-    floor = float(ratio.min()) * window
+def weigh(docs: DataFrame, ratio: np.ndarray, window: float = WINDOW) -> DataFrame:
+    """``doc_id, log_weight`` for each row; a text without words holds no evidence: 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS doubles
 
     def make():
@@ -86,7 +88,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, window: int = WINDOW) -> DataFrame
             ratios, out = shared.value, []
             for text in texts_of(batch):
                 at = ngram_buckets(text, len(ratios))
-                out.append(float(ratios[at].mean()) * window if len(at) else floor)
+                out.append(float(ratios[at].sum()) / max(1.0, len(at) / window))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["k", "log_weight"])
         return work
     rows = docs.select(F.col("doc_id").alias("k"), "text")
@@ -126,9 +128,10 @@ def resample(docs: DataFrame, good: DataFrame, share: float | None = None, label
     """``doc_id, log_weight, sample_key, kept`` for each row of ``docs``.
 
     ``good(doc_id)`` names the target rows.  ``share`` of the rows is sampled;
-    by default as large a share as ``good`` has of ``labelled`` rows.  Null and
-    empty texts have the lowest weight; repeated rows get equal keys; no good
-    rows: the models are equal but for smoothing; an empty table gives no rows.
+    by default as large a share as ``good`` has of ``labelled`` rows; rows that tie at the
+    cut all stay.  Null and empty texts weigh 0; repeated rows get equal keys; no good
+    rows: the models are equal but for smoothing; an empty table gives no rows; extra
+    columns are left out.
     """
     good = good.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("target", F.lit(True))
     marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select(
