@@ -2,7 +2,8 @@
 
 A logistic model over the distinct lower-cased words of a text.  Document
 counts of every word by class are taken over all labelled rows in Spark; words
-whose log count ratio is strong become features, scaled by that ratio.  The
+whose log count ratio is strong become features, scaled by that ratio, and so do all
+identity terms met, whatever their ratio, as the penalty can only act on features.  The
 weights minimise log loss + L2 + a counterfactual penalty: each sentence of a
 labelled text that mentions an identity term is copied with the term swapped
 for another of its group, and the squared change of its score is penalised, as
@@ -48,8 +49,6 @@ IDENTITY_GROUPS = [
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_GROUP_OF = {term: group for group in IDENTITY_GROUPS for term in group}
-
 #: The model is fitted on at most this many labelled rows (the ones of lowest hash);
 #: document counts, and so the choice of features, cover all labelled rows.
 MAX_FIT_ROWS = 40_000
@@ -80,23 +79,23 @@ class Model:
         return Model({int(k): w for k, w in x["weights"].items()}, x["bias"])
 
 
-def swaps(text: str) -> list[tuple[set, set]]:
+def swaps(text: str, groups: list[list[str]] = IDENTITY_GROUPS) -> list[tuple[set, set]]:
     """Words of each sentence that mentions an identity term, and of the same
     sentence with that term swapped for the next one of its group."""
-    out = []
+    group_of, out = {term: group for group in groups for term in group}, []
     for sentence in _SENTENCE.findall(text.lower()):
         words = _WORD.findall(sentence)
-        for term in dict.fromkeys(w for w in words if w in _GROUP_OF):
-            group = _GROUP_OF[term]
+        for term in dict.fromkeys(w for w in words if w in group_of):
+            group = group_of[term]
             other = group[(group.index(term) + 1) % len(group)]
             out.append((set(words), {other if w == term else w for w in words}))
     return out
 
 
-def _lexicon_swaps() -> list[tuple[set, set]]:
+def _lexicon_swaps(groups: list[list[str]]) -> list[tuple[set, set]]:
     """Each term against the next one of its group, and against none."""
     out = []
-    for group in IDENTITY_GROUPS:
+    for group in groups:
         for a, b in zip(group, group[1:] + group[:1]):
             out += [({a}, {b}), ({a}, set())]
     return out
@@ -117,29 +116,31 @@ def _hash_lists(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: sorted(word_hashes(t)))
 
 
-def _swap_lists(texts: pd.Series) -> pd.Series:
-    """By swap: the hashes that it brings in, and those that it takes out."""
-    return texts.map(lambda t: [{"gone": [_hash(w) for w in a - b], "new": [_hash(w) for w in b - a]}
-                                for a, b in swaps(t)] if t else [])
-
-
-def word_table(docs: DataFrame, text: str = "text") -> DataFrame:
+def word_table(docs: DataFrame, text: str = "text", groups: list[list[str]] = IDENTITY_GROUPS) -> DataFrame:
     """``doc_id, words, swaps``: what the classifier reads of each row; an integer for
-    each distinct word, so that joins move less than the texts."""
+    each distinct word, so that joins move less than the texts, and by swap the hashes
+    that it takes out and brings in."""
+    terms = re.compile(r"\b(?:%s)\b" % "|".join(re.escape(t) for g in groups for t in g)).search
+
+    def swap_lists(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"gone": [_hash(w) for w in a - b], "new": [_hash(w) for w in b - a]}
+                                    for a, b in swaps(t, groups)] if t and terms(t.lower()) else [])
     words = F.pandas_udf(_hash_lists, "array<int>")
-    changes = F.pandas_udf(_swap_lists, "array<struct<gone:array<int>,new:array<int>>>")
+    changes = F.pandas_udf(swap_lists, "array<struct<gone:array<int>,new:array<int>>>")
     return docs.select("doc_id", words(text).alias("words"), changes(text).alias("swaps"))
 
 
 def fit(labelled: DataFrame, label: str = "label", max_rows: int = MAX_FIT_ROWS,
-        max_features: int = MAX_FEATURES, swap_penalty: float = SWAP_PENALTY) -> Model:
-    """Fit on ``labelled(words, swaps, label)``; rows with a null label are left out.
+        max_features: int = MAX_FEATURES, swap_penalty: float = SWAP_PENALTY,
+        groups: list[list[str]] = IDENTITY_GROUPS) -> Model:
+    """Fit on ``labelled(doc_id, words, swaps, label)``; rows with a null label are left out.
 
-    Without rows, or with one class, the model has no weights and its bias is
+    The rows fitted on are those of lowest hash of ``doc_id``, so that copies of a text
+    cannot crowd out the others.  Without rows, or with one class, the model has no weights and its bias is
     the smoothed share of label 1.
     """
     rows = cut(labelled.where(F.col(label).isNotNull()).select(
-        F.col(label).cast("int").alias("y"), F.xxhash64("words").alias("h"), "words", "swaps"))
+        F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"), "words", "swaps"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1 = sum(n for y, n in sizes.items() if y == 1)
     n0 = sum(n for y, n in sizes.items() if y != 1)
@@ -151,8 +152,9 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = MAX_FIT_ROWS,
     counted = (rows.select("y", F.explode("words").alias("word")).groupBy("word")
                .agg(one.alias("c1"), zero.alias("c0")).where(F.col("c1") + F.col("c0") >= MIN_COUNT)
                .select("word", ratio.alias("ratio"), (F.col("c1") + F.col("c0")).alias("n"))
-               .where(F.abs("ratio") >= MIN_RATIO)
-               .orderBy((F.abs("ratio") * F.sqrt("n")).desc(), "word").limit(max_features))
+               .withColumn("term", F.col("word").isin(*{_hash(t) for g in groups for t in g}))
+               .where((F.abs("ratio") >= MIN_RATIO) | F.col("term"))
+               .orderBy(F.col("term").desc(), (F.abs("ratio") * F.sqrt("n")).desc(), "word").limit(max_features))
     features = {r["word"]: r["ratio"] for r in counted.select("word", "ratio").collect()}
     names = list(features)
     column = {w: i for i, w in enumerate(names)}
@@ -164,7 +166,7 @@ def fit(labelled: DataFrame, label: str = "label", max_rows: int = MAX_FIT_ROWS,
     at = np.repeat(np.arange(len(sample)), [len(r["x"]) for r in sample])
     x = np.array([i for r in sample for i in sorted(r["x"])], int)
     moved: list[dict[int, float]] = []
-    for gone, new in [([_hash(w) for w in a - b], [_hash(w) for w in b - a]) for a, b in _lexicon_swaps()] + [
+    for gone, new in [([_hash(w) for w in a - b], [_hash(w) for w in b - a]) for a, b in _lexicon_swaps(groups)] + [
             (c["gone"], c["new"]) for r in sample for c in r["swaps"]]:
         moved.append({column[w]: sign for side, sign in ((gone, -1.0), (new, 1.0)) for w in side if w in column})
     moved = [m for m in moved if m]
@@ -203,16 +205,18 @@ def score_column(spark: SparkSession, model: Model, text: str = "text") -> F.Col
     return F.pandas_udf(score, "double")(F.col(text))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataFrame:
-    """``words, swaps, label`` of the rows to learn from: crc32(doc_id) mod 5 is not 0."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, target: str = "toxic",
+                  groups: list[list[str]] = IDENTITY_GROUPS) -> DataFrame:
+    """``doc_id, words, swaps, label`` of the rows to learn from: crc32(doc_id) mod 5 is not 0."""
     marks = (labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()
                           & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
              .groupBy("doc_id").agg(F.max(target).alias("label")))
-    return word_table(docs).join(marks.hint("merge"), "doc_id").select("words", "swaps", "label")
+    return word_table(docs, groups=groups).join(marks.hint("merge"), "doc_id").select("doc_id", "words", "swaps", "label")
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row of ``docs``."""
+    """``doc_id, held_out, score, predicted`` for each row of ``docs``; repeated rows are
+    scored alike, an empty table gives no rows, extra columns are left out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     scored = docs.select("doc_id", held.alias("held_out"),
                          score_column(docs.sparkSession, model).alias("score"))
