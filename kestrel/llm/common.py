@@ -34,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written as Parquet in the shared folder and read from there."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a number for each row in column ``name``, written to the shared
     folder and read from there.
@@ -42,9 +49,7 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     otherwise on each scan (it looks at the cores of the moment); so rows that several
     steps must find again are numbered in one scan, and the steps read what it wrote.
     """
-    path = scratch_dir(docs.sparkSession, "numbered")
-    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def by_slices(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],

@@ -9,28 +9,64 @@ from tests.conftest import SF001
 from tests.llm import edges
 
 
-def slow_dedup(rows):
-    """Rows in order of (id, place); the first occurrence of each chunk stays."""
-    seen, out = set(), {}
-    for place, (doc_id, text) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
-        gone = []
-        for line, n, chunk in line_chunks.chunks(text or ""):
-            if chunk in seen:
-                gone.append({"line": line, "lines": n})
-            seen.add(chunk)
-        out[place] = text if not gone else line_chunks.without_chunks(text, gone)
-    return [out[i] for i in range(len(rows))]
-
-
-def test_line_chunks_like_brute_force(spark):
+def worded(text):
+    return [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+
+
+def pairs(text):
+    lines = worded(text)
+    return list(zip(lines, lines[1:]))
+
+
+def check_cuts(before, after):
+    """A line goes only with a neighbour (blank lines aside), and both still stand side by side
+    in some text that is left."""
+    left = {p for t in after for p in pairs(t)}
+    for old, new in zip(before, after):
+        was, rest = worded(old), worded(new)
+        kept, j = set(), 0
+        for i, x in enumerate(was):        # the kept lines are a subsequence
+            if j < len(rest) and x == rest[j]:
+                kept.add(i)
+                j += 1
+        assert j == len(rest)
+        for i in set(range(len(was))) - kept:
+            near = [p for p in ((was[i - 1], was[i]) if i else None, (was[i], was[i + 1]) if i + 1 < len(was) else None) if p]
+            assert any(p in left for p in near)
+
+
+def test_line_chunks_keep_a_copy_of_every_passage(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    want = {r[0]: t for r, t in zip(rows, slow_dedup(rows))}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = {r["doc_id"]: r for r in queries.op7_line_chunks(spark, SF001).collect()}
-    assert {k: r["text"] for k, r in got.items()} == want
+    check_cuts([t for _, t in rows], [got[i]["text"] for i, _ in rows])
     assert any(r["n_chunks_cut"] for r in got.values())
 
 
+def cut_texts(spark, texts):
+    out = line_chunks.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r["text"] for r in sorted(out, key=lambda r: r["doc_id"])]
+
+
+def test_single_lines_between_blank_ones_stay(spark):
+    texts = [f"start {i}\n\nRead more\n\nend {i}" for i in range(5)]
+    assert cut_texts(spark, texts) == texts
+
+
+def test_blank_lines_do_not_hide_a_run(spark):
+    assert cut_texts(spark, ["a a\nb b\nc", "x\na a\n\nb b\n \ny"]) == ["a a\nb b\nc", "x\n \ny"]
+
+
+def test_a_cut_needs_a_copy_that_stays(spark):
+    texts = ["p p\nq q", "lead\np p\nq q\nr r", "other\nq q\nr r\nend", "last\nq q\nr r\nfin"]
+    # the third text keeps what the cut in the second one broke, and so serves as the copy
+    assert cut_texts(spark, texts) == [texts[0], "lead", texts[2], "last\nfin"]
+
+
+def test_equal_lines_leave_a_pair(spark):
+    assert cut_texts(spark, ["a\na\na\na\na\na"]) == ["a\na"] and cut_texts(spark, ["a\na\na"]) == ["a\na\na"]
+
+
 def test_shared_passage_is_cut_wherever_it_stands(spark):
     passage = [f"line {i} of a long passage that many documents share, with some words" for i in range(40)]
     texts = ["\n".join([f"start {d} {i}" for i in range(d)] + passage + [f"end {d}", "bye"]) for d in range(1, 6)]
@@ -42,47 +78,78 @@ def test_shared_passage_is_cut_wherever_it_stands(spark):
         assert sum(x in passage for x in left) <= 12 and f"end {d + 1}" in left and left[0] == texts[d].split("\n")[0]
 
 
-def test_chunk_ends_move_with_the_lines():
-    lines = [f"line {i}" for i in range(200)]
-    ends = set(line_chunks.chunk_ends(lines))
-    moved = {e - 7 for e in line_chunks.chunk_ends([f"new {i}" for i in range(7)] + lines)}
-    assert len({e for e in ends if e > 20} ^ {e for e in moved if e > 20}) == 0
-    assert line_chunks.chunks("one line") == [] and line_chunks.chunks("") == []
-
-
-def plain_cuts(texts):
-    """The lines of each text in a run of two lines or more, with a word, that occurs
-    before; every place is compared with every earlier one."""
-    split = [t.split("\n") for t in texts]
-    out = [set() for _ in texts]
-    for b, theirs in enumerate(split):
-        for a in range(b + 1):
-            for j in range(len(theirs) - 1):
-                for i in range(len(split[a]) - 1 if a < b else j):
-                    if split[a][i:i + 2] == theirs[j:j + 2] and "".join(theirs[j:j + 2]).strip():
-                        out[b] |= {j, j + 1}
-    return out
+def test_chunks_do_not_depend_on_what_stands_around():
+    lines = [f"line {i}" for i in range(60)]
+    inner = {(n, h) for i, n, h in line_chunks.chunks(lines) if i + n <= 50}
+    moved = {(n, h) for _, n, h in line_chunks.chunks([f"new {i}" for i in range(7)] + lines[:50] + ["x", "y"])}
+    assert inner <= moved
+    sizes = [n for _, n, _ in line_chunks.chunks(lines)]
+    assert min(sizes) == 2 and max(sizes) > 2 and {i for i, n, _ in line_chunks.chunks(lines) if n == 2} == set(range(59))
+    assert line_chunks.chunks(["one line"]) == [] and line_chunks.chunks([]) == []
+    h = line_chunks.rolling(line_chunks.np.arange(9, dtype="u8"), 3)
+    assert len(h) == 7 and h[2] == line_chunks.rolling(line_chunks.np.arange(2, 5, dtype="u8"), 3)[0]
 
 
-def test_every_repeated_run_of_lines_is_cut(spark):
+def test_every_planted_run_of_lines_is_cut(spark):
+    """Recall by length: of two copies of a run, the second goes, whole."""
     rnd, texts, planted = random.Random(11), [], {}
     for n in (2, 3, 4, 6, 12):
         for k in range(30):
             passage = [f"shared {n} {k} {i}" for i in range(n)]
             for copy in range(2):
                 top = [f"top {n} {k} {copy} {i}" for i in range(rnd.randrange(6))]
+                end = [f"end {n} {k} {copy} {i}" for i in range(rnd.randrange(6))]
                 if copy:
-                    planted[len(texts)] = (n, set(range(len(top), len(top) + n)))
-                texts.append("\n".join(top + passage + [f"end {n} {k} {copy} {i}" for i in range(rnd.randrange(6))]))
-    few = ["a", "b", "c", "", " "]
-    texts += ["\n".join(rnd.choice(few) for _ in range(rnd.randrange(9))) for _ in range(40)]
-    want = plain_cuts(texts)
-    assert all(want[i] == lines for i, (_, lines) in planted.items())
-    got = {r["doc_id"]: r for r in line_chunks.report(
-        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    for i, text in enumerate(texts):
-        assert got[i]["text"] == "\n".join(x for j, x in enumerate(text.split("\n")) if j not in want[i])
-        assert got[i]["n_lines_cut"] == len(want[i])
+                    planted[len(texts)] = "\n".join(top + end)
+                texts.append("\n".join(top + passage + end))
+    got = cut_texts(spark, texts)
+    assert all(got[i] == planted.get(i, t) for i, t in enumerate(texts))
+
+
+def test_random_texts_keep_their_passages(spark):
+    """As ``check_cuts``, with the places of the cuts, as equal lines are many."""
+    rnd = random.Random(5)
+    for few in (["a", "b", "c", "", " "], [f"w{i}" for i in range(12)]):
+        texts = ["\n".join(rnd.choice(few) for _ in range(rnd.randrange(9))) for _ in range(60)]
+        rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "place long, doc_id long, text string")
+        spans = {}
+        for r in line_chunks.repeated_runs(rows).collect():
+            spans.setdefault(r["place"], []).append(r.asDict())
+        gone = {i: {j for g in line_chunks.same_lines(texts[i], some) for j in range(g["line"], g["line"] + g["lines"])}
+                for i, some in spans.items()}
+        after = ["\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone.get(i, ())) for i, t in enumerate(texts)]
+        assert cut_texts(spark, texts) == after and sum(map(len, gone.values())) > 20
+        left = {p for t in after for p in pairs(t)}
+        for i, some in gone.items():
+            lines = texts[i].split("\n")
+            at = [j for j, x in enumerate(lines) if x.strip()]
+            near = {j: {(lines[x], lines[y]) for x, y in zip(at, at[1:]) if j in (x, y) and {x, y} <= some} for j in some if j in at}
+            assert all(p & left for p in near.values())
+
+
+def test_rows_are_found_again_when_splits_change(spark, tmp_path):
+    """Three stages give the same on a table whose splits depend on the cores of the moment."""
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    docs.repartition(40).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/docs")
+    stages = dict(corpus_pipeline.STAGES)
+    conf = {"spark.sql.files.openCostInBytes": "1k", "spark.sql.leafNodeDefaultParallelism": "2"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+
+    def rows(stage, after):
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        table = spark.read.parquet(f"{tmp_path}/docs")
+        out = stages[stage](spark, table, SF001)
+        if after:
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+        return sorted((r["doc_id"], r["text"]) for r in out.collect())
+    try:
+        for stage in ("line_dedup", "simhash_dedup", "personal_data"):
+            assert rows(stage, False) == rows(stage, True)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_lines_that_differ_from_the_model_stay():
