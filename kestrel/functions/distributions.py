@@ -10,7 +10,6 @@ Shapiro-Wilk, and Gauss-Legendre quadrature for the studentized range.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -99,44 +98,41 @@ def norm_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
+# fixed values: Wichura (1988) AS 241 PPND16, numerators and denominators from the highest power
+_PPF = {
+    "centre": ([2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
+            13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608],
+           [5226.495278852545925, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867,
+            5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0]),
+    "side": ([7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258,
+            3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734],
+           [1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459,
+            0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0]),
+    "tail": ([2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093,
+            0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772],
+           [2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4,
+            0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0]),
+}
+
+
+def norm_ppf_array(p: np.ndarray) -> np.ndarray:
+    """Normal quantiles (AS 241); NaN outside [0, 1]."""
+    p = np.asarray(p, float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q, low = p - 0.5, np.minimum(p, 1 - p)
+        r = np.sqrt(-np.log(low))
+        side = np.where(r <= 5, _ratio("side", r - 1.6), _ratio("tail", r - 5.0))
+        out = np.where(np.abs(q) <= 0.425, q * _ratio("centre", 0.180625 - q * q), np.copysign(side, q))
+    return np.where(low == 0, np.copysign(np.inf, q), np.where(low > 0, out, np.nan))
+
+
+def _ratio(name: str, r: np.ndarray) -> np.ndarray:
+    num, den = _PPF[name]
+    return np.polyval(num, r) / np.polyval(den, r)
+
+
 def norm_ppf(p: float) -> float:
-    """Normal quantile, Wichura (1988) AS 241 PPND16."""
-    if not 0.0 < p < 1.0:
-        if p == 0.0:
-            return -math.inf
-        if p == 1.0:
-            return math.inf
-        return math.nan
-    q = p - 0.5
-    if abs(q) <= 0.425:
-        r = 0.180625 - q * q
-        num = (((((((2509.0809287301226727 * r + 33430.575583588128105) * r + 67265.770927008700853) * r
-                   + 45921.953931549871457) * r + 13731.693765509461125) * r + 1971.5909503065514427) * r
-                + 133.14166789178437745) * r + 3.387132872796366608)
-        den = (((((((5226.495278852545925 * r + 28729.085735721942674) * r + 39307.89580009271061) * r
-                   + 21213.794301586595867) * r + 5394.1960214247511077) * r + 687.1870074920579083) * r
-                + 42.313330701600911252) * r + 1.0)
-        return q * num / den
-    r = p if q < 0 else 1.0 - p
-    r = math.sqrt(-math.log(r))
-    if r <= 5.0:
-        r -= 1.6
-        num = (((((((7.7454501427834140764e-4 * r + 0.0227238449892691845833) * r + 0.24178072517745061177) * r
-                   + 1.27045825245236838258) * r + 3.64784832476320460504) * r + 5.7694972214606914055) * r
-                + 4.6303378461565452959) * r + 1.42343711074968357734)
-        den = (((((((1.05075007164441684324e-9 * r + 5.475938084995344946e-4) * r + 0.0151986665636164571966) * r
-                   + 0.14810397642748007459) * r + 0.68976733498510000455) * r + 1.6763848301838038494) * r
-                + 2.05319162663775882187) * r + 1.0)
-    else:
-        r -= 5.0
-        num = (((((((2.01033439929228813265e-7 * r + 2.71155556874348757815e-5) * r + 0.0012426609473880784386) * r
-                   + 0.026532189526576123093) * r + 0.29656057182850489123) * r + 1.7848265399172913358) * r
-                + 5.4637849111641143699) * r + 6.6579046435011037772)
-        den = (((((((2.04426310338993978564e-15 * r + 1.4215117583164458887e-7) * r + 1.8463183175100546818e-5) * r
-                   + 7.868691311456132591e-4) * r + 0.0148753612908506148525) * r + 0.13692988092273580531) * r
-                + 0.59983220655588793769) * r + 1.0)
-    x = num / den
-    return -x if q < 0 else x
+    return float(norm_ppf_array(np.array([p]))[0])
 
 
 def t_sf_two_sided(t: float, df: float) -> float:
@@ -240,48 +236,75 @@ def shapiro_wilk(x) -> tuple[float, float]:
 
 
 # ---------------------------------------------------------------- studentized range
-_GL_X, _GL_W = np.polynomial.legendre.leggauss(64)
+_GL_X, _GL_W = np.polynomial.legendre.leggauss(96)
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def _range_cdf_z(w: float, k: int) -> float:
-    """P(range of k std normals < w) = k ∫ φ(z)[Φ(z) − Φ(z−w)]^(k−1) dz."""
-    if w <= 0:
-        return 0.0
-    lo, hi = -8.0, 8.0
-    z = 0.5 * (hi - lo) * _GL_X + 0.5 * (hi + lo)
-    from math import erf
-    phi = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-    cz = 0.5 * (1 + np.array([erf(v / math.sqrt(2)) for v in z]))
-    czw = 0.5 * (1 + np.array([erf((v - w) / math.sqrt(2)) for v in z]))
-    val = k * np.sum(_GL_W * phi * np.clip(cz - czw, 0, 1) ** (k - 1)) * 0.5 * (hi - lo)
-    return float(min(1.0, max(0.0, val)))
+def _nodes(low: float, high: float, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights on ``parts`` equal pieces of [low, high]."""
+    edges = np.linspace(low, high, parts + 1)
+    half = (edges[1:] - edges[:-1])[:, None] / 2
+    return (edges[:-1, None] + half + half * _GL_X).ravel(), (half * _GL_W).ravel()
+
+
+def _upper(z: np.ndarray) -> np.ndarray:
+    """P(N > z)."""
+    return 0.5 * _erfc(z / math.sqrt(2)).astype(float)
+
+
+def _range_sf_z(w: np.ndarray, k: int) -> np.ndarray:
+    """P(range of k standard normals > w), computed as such.
+
+    The smallest value lies at z with density k φ(z) P(N > z)^(k-1); the others then all
+    stay below z + w with probability (1 - u)^(k-1), u = P(N > z + w) / P(N > z), so the
+    tail is the mean of 1 - (1 - u)^(k-1), without a difference of numbers near 1.
+    """
+    z, weight = _nodes(-9.0, 9.0, 2)
+    upper = _upper(z)
+    log_density = math.log(k) - 0.5 * z * z - 0.5 * math.log(2 * math.pi) + (k - 1) * np.log(np.maximum(upper, 1e-300))
+    u = np.minimum(_upper(z + np.asarray(w, float)[:, None]) / np.maximum(upper, 1e-300), 1 - 1e-16)
+    tail = -np.expm1((k - 1) * np.log1p(-u))
+    # the smallest of k values is above z + w only if all are; it is beyond the grid never
+    return np.minimum(1.0, (weight * np.exp(log_density) * tail).sum(1))
+
+
+def studentized_range_sf(q: float, k: int, df: float) -> float:
+    """P(Q > q) for k means and ``df`` error degrees of freedom (Tukey HSD): one quadrature
+    over s = sqrt(chi² / df) for every df, on the stretch that holds the integral."""
+    if q <= 0 or k < 2:
+        return 1.0
+    # log density of s; its spread is about 1 / sqrt(2 df), and small s weigh more in the tail
+    spread = 1 / math.sqrt(2 * df)
+    low, high = max(1e-8, 1 - 40 * spread), 1 + 12 * spread
+    const = (df / 2) * math.log(df / 2) - math.lgamma(df / 2) + math.log(2)
+    grid = np.linspace(low, high, 2001)
+
+    def log_density(s):
+        return const + (df - 1) * np.log(s) - df * s * s / 2
+    with np.errstate(divide="ignore"):
+        mass = log_density(grid) + np.log(np.maximum(_range_sf_z(q * grid[::20], k).repeat(20)[:len(grid)], 1e-300))
+    some = grid[mass > mass.max() - 60]
+    step = grid[1] - grid[0]
+    s, weight = _nodes(max(low, some[0] - 21 * step), min(high, some[-1] + 21 * step), 2)
+    return float(min(1.0, max(0.0, (weight * np.exp(log_density(s)) * _range_sf_z(q * s, k)).sum())))
 
 
 def studentized_range_cdf(q: float, k: int, df: float) -> float:
-    """P(Q < q) for k means and df error degrees of freedom (Tukey HSD)."""
-    if q <= 0:
-        return 0.0
-    if df > 5000:
-        return _range_cdf_z(q, k)
-    # s = sqrt(chi2_df / df); integrate over s with its density on a grid
-    nu = df
-    smax = 1 + 12 / math.sqrt(2 * nu)
-    smin = max(1e-6, 1 - 12 / math.sqrt(2 * nu))
-    xs = 0.5 * (smax - smin) * _GL_X + 0.5 * (smax + smin)
-    logc = (nu / 2) * math.log(nu / 2) - math.lgamma(nu / 2) + math.log(2)
-    dens = np.exp(logc + (nu - 1) * np.log(xs) - nu * xs * xs / 2)
-    vals = np.array([_range_cdf_z(q * s, k) for s in xs])
-    return float(min(1.0, max(0.0, np.sum(_GL_W * dens * vals) * 0.5 * (smax - smin))))
+    return 1.0 - studentized_range_sf(q, k, df)
 
 
 def studentized_range_ppf(p: float, k: int, df: float) -> float:
-    lo, hi = 0.0, 50.0
-    for _ in range(80):
+    lo, hi = 0.0, 1.0
+    while studentized_range_sf(hi, k, df) > 1 - p:
+        lo, hi = hi, 2 * hi
+    for _ in range(60):
         mid = 0.5 * (lo + hi)
-        if studentized_range_cdf(mid, k, df) < p:
+        if studentized_range_sf(mid, k, df) > 1 - p:
             lo = mid
         else:
             hi = mid
+        if hi - lo < 1e-12 * hi:
+            break
     return 0.5 * (lo + hi)
 
 
@@ -315,34 +338,56 @@ def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def norm_ppf_udf(p: pd.Series) -> pd.Series:
-    return _vec(_safe(norm_ppf), p)
+def tukey_p_udf(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
+    return _vec(_safe(lambda a, b, c: studentized_range_sf(a, int(b), c)), q, k, df)
 
 
-@F.pandas_udf(T.DoubleType())
-def tukey_p_udf(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
-    return _vec(_safe(lambda a, b, c: 1.0 - studentized_range_cdf(a, int(b), c)), q, k, df)
+#: Positions at each end of a long tied run whose quantiles are added one by one.
+SCORE_ENDS = 256
+
 
+def _scores_of(first: np.ndarray, count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and sums of squares of the normal quantiles at Filliben's positions
+    first .. first + count - 1 of ``total``, one by one."""
+    run = np.repeat(np.arange(len(count)), count)
+    pos = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    m = total[run]
+    p = (pos - 0.3175) / (m + 0.365)
+    p = np.where(pos == m, 0.5 ** (1 / m), np.where(pos == 1, 1 - 0.5 ** (1 / m), p))
+    q = norm_ppf_array(p)
+    return np.bincount(run, q, len(count)), np.bincount(run, q * q, len(count))
 
-#: Positions of one tied value are worked off in pieces of this many.
-SCORE_PIECE = 1 << 20
+
+def _scores_between(first: np.ndarray, last: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for long stretches away from the ends of the scale: the integrals of z and z²
+    from half a position before to half a position after, which are differences of the
+    density φ(z) and of u - zφ(z), less the first term of the midpoint rule."""
+    h = 1 / (total + 0.365)
+    out = []
+    for edge in ((last + 0.5 - 0.3175) * h, (first - 0.5 - 0.3175) * h):
+        z = norm_ppf_array(edge)
+        density = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+        out.append((-density, edge - z * density, 1 / density, 2 * z / density))
+    (a1, a2, d1, d2), (b1, b2, e1, e2) = out
+    return (a1 - b1) / h - h / 24 * (d1 - e1), (a2 - b2) / h - h / 24 * (d2 - e2)
+
+
+def normal_scores(before: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean, and sum of squares, of the normal quantiles at positions before + 1 .. before + n
+    of ``total`` ordered values, for each tied run."""
+    long = n > 4 * SCORE_ENDS
+    head = np.where(long, SCORE_ENDS, n)
+    one, squares = _scores_of(before + 1, head, total)
+    if long.any():
+        b, k, m = before[long], n[long], total[long]
+        ends = np.full(len(b), SCORE_ENDS)
+        for part in (_scores_of(b + k - SCORE_ENDS + 1, ends, m), _scores_between(b + SCORE_ENDS + 1, b + k - SCORE_ENDS, m)):
+            one[long] += part[0]
+            squares[long] += part[1]
+    return one / n, squares
 
 
 @F.pandas_udf(T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("squares", T.DoubleType())]))
 def normal_scores_udf(before: pd.Series, n: pd.Series, total: pd.Series) -> pd.DataFrame:
-    """Mean, and sum of squares, of the normal quantiles at Filliben's positions
-    before + 1 .. before + n of ``total`` ordered values."""
-    ppf = NormalDist().inv_cdf
-    out = []
-    for b, k, m in zip(before.astype("int64"), n.astype("int64"), total.astype("int64")):
-        one = squares = 0.0
-        for at in range(b + 1, b + k + 1, SCORE_PIECE):
-            pos = np.arange(at, min(at + SCORE_PIECE, b + k + 1))
-            p = (pos - 0.3175) / (m + 0.365)
-            p[pos == m] = 0.5 ** (1 / m)
-            p[pos == 1] = 1 - 0.5 ** (1 / m)
-            q = np.fromiter(map(ppf, p), float, len(p))
-            one += q.sum()
-            squares += q @ q
-        out.append((one / k, squares))
-    return pd.DataFrame(out, columns=["mean", "squares"])
+    mean, squares = normal_scores(*(c.to_numpy().astype("int64") for c in (before, n, total)))
+    return pd.DataFrame({"mean": mean, "squares": squares})

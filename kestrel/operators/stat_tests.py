@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions import distributions as dist
-from kestrel.operators.aggregates import to_long, pearson
+from kestrel.operators.aggregates import pearson, rank_columns, to_long
 from kestrel.operators.missing import subsample
 from kestrel.operators.ranking import (exact_median, null_safe_join, ranked_histogram,
                                        value_histogram)
@@ -78,11 +78,9 @@ def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """ρ (Pearson on average ranks) and two-sided t-approximation p."""
-    d = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = ranked_histogram(d, x).select(F.col(x).alias("_vx"), F.col("rank").alias("_rx"))
-    ry = ranked_histogram(d, y).select(F.col(y).alias("_vy"), F.col("rank").alias("_ry"))
-    j = d.join(rx, d[x] == rx["_vx"]).join(ry, d[y] == ry["_vy"])
-    r = j.agg(pearson("_rx", "_ry").alias("corr"), F.count(F.lit(1)).alias("n"))
+    d = df.select(F.col(x).cast("double").alias("_rx"), F.col(y).cast("double").alias("_ry"))
+    d = d.where(F.col("_rx").isNotNull() & F.col("_ry").isNotNull())
+    r = rank_columns(d, ["_rx", "_ry"]).agg(pearson("_rx", "_ry").alias("corr"), F.count(F.lit(1)).alias("n"))
     return r.withColumn("p_value", dist.corr_p_udf("corr", F.col("n").cast("double")))
 
 
