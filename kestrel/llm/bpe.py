@@ -232,7 +232,8 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode again, and digest both: ``key, n_tokens, ids_sha256,
-    decoded_sha256``, one row per input row (null text: empty)."""
+    decoded_sha256``, one row per input row (null text: empty).  Repeated rows have equal
+    digests; an empty table gives no rows; extra columns are left out."""
     def make():
         enc = encoder(path, pattern)
 

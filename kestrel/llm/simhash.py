@@ -25,6 +25,7 @@ from kestrel.llm.common import cut, free_name, numbered
 from kestrel.llm.graph import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
+SLICE = 500_000  # shingles whose bits are counted at once
 NEAR = 3  # sorted neighbours that a member is compared with at first
 
 
@@ -37,10 +38,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     size = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:len(words) - size] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1:].tolist())], "<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    digest, stops, ones = xxhash.xxh64_intdigest, ends[size - 1:].tolist(), np.zeros(64, np.int64)
+    for at in range(0, len(stops), SLICE):
+        spans = zip(starts[at:at + SLICE], stops[at:at + SLICE])
+        hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], "<u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(stops), bitorder="little").view("<i8")[0])
 
 
 def fingerprint_column(text: str = "text", shingle: int = SHINGLE) -> F.Column:

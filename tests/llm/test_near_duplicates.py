@@ -48,6 +48,13 @@ def test_fingerprint_equals_definition():
         assert simhash.fingerprint(t) % (1 << 64) == slow_simhash(t)
 
 
+def test_fingerprints_do_not_depend_on_slices(monkeypatch):
+    texts = ["", "one", " ".join(f"w{i * i % 97}" for i in range(400)), edges.LONG]
+    want = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert [simhash.fingerprint(t) for t in texts] == want
+
+
 def test_masks_cover_every_pair_within_the_radius():
     rnd, all_masks = random.Random(5), simhash.masks(4)
     assert len(all_masks) == 31
