@@ -603,6 +603,61 @@ def q_f6(spark, sf_dir):
     return spark.createDataFrame([(f, int(ranks[f]), fit.converged) for f in feats], "feature string, ranking int, converged boolean")
 
 
+# ---------------------------------------------------------------- closed forms in SQL
+@register("L5_log1p_one_feature", f"""{TRAIN},
+f AS (SELECT regr_slope(ln(1 + price), quantity) AS b, regr_intercept(ln(1 + price), quantity) AS a FROM tr)
+SELECT round(any_value(b), 8) AS coef, round(any_value(a), 8) AS intercept,
+       round(sqrt(avg(power(price - (exp(a + b * quantity) - 1), 2))), 4) AS rmse,
+       round(avg(abs(price - (exp(a + b * quantity) - 1))), 4) AS mae FROM s, f WHERE split = 'test'""")
+def q_l5_one(spark, sf_dir):
+    """OLS on log1p of the target, judged in its own units on the test rows."""
+    s = _train(spark, sf_dir)
+    tr = s.where(F.col("split") == "train").withColumn("price", F.log1p("price"))
+    fit = gram.fit_linear(gram.total(gram.gram_moments(tr, ["quantity"], "price")), "ols")
+    pred = F.expm1(md.linear_predict(["quantity"], fit, "_lp")).alias("pred")
+    m = md.regression_metrics(s.where(F.col("split") == "test").select("price", pred), "price")
+    return m.select(F.round(F.lit(float(fit.coef[0])), 8).alias("coef"), F.round(F.lit(float(fit.intercept)), 8).alias("intercept"),
+                    F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"))
+
+
+@register("V9_coefficient_table_two_features", f"""{TRAIN},
+{_moments_sql('quantity', 'discount')},
+w AS (SELECT (c22 * r1 - c12 * r2) / (c11 * c22 - c12 * c12) AS w1, (c11 * r2 - c12 * r1) / (c11 * c22 - c12 * c12) AS w2 FROM z)
+SELECT 'quantity' AS feature, round(w1, 4) AS coef, round(abs(w1), 4) AS abs_coef FROM w
+UNION ALL SELECT 'discount', round(w2, 4), round(abs(w2), 4) FROM w""")
+def q_v9_two(spark, sf_dir):
+    tr = _train(spark, sf_dir).where(F.col("split") == "train")
+    fit = gram.fit_linear(gram.total(gram.gram_moments(tr, ["quantity", "discount"], "price")), "ols")
+    return round_doubles(md.coefficient_table(spark, ["quantity", "discount"], fit), 4)
+
+
+@register("V3_ridge_cv_rmse_one_feature", f"""{W},
+f AS (SELECT *, CAST((row_number() OVER (
+    ORDER BY ('0x' || substr(md5(concat_ws('|', '42', 'fold', rid)), 1, 8))::BIGINT, rid) - 1) % 5 AS INTEGER) AS fold FROM wide),
+a AS (SELECT unnest([0.01, 0.1, 1.0, 10.0, 100.0]) AS alpha),
+m AS (SELECT k.fold, count(*) AS n, avg(quantity) AS mx, stddev_pop(quantity) AS sx, avg(price) AS my, covar_pop(quantity, price) AS cxy
+      FROM f, (SELECT DISTINCT fold FROM f) k WHERE f.fold <> k.fold GROUP BY k.fold),
+c AS (SELECT fold, alpha, mx, my, n * cxy / sx / (n + alpha) / sx AS b FROM m, a),
+e AS (SELECT alpha, c.fold, sqrt(avg(power(price - my - b * (quantity - mx), 2))) AS rmse FROM c JOIN f ON f.fold = c.fold GROUP BY ALL)
+SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(rmse), 6) AS cv_rmse FROM e GROUP BY alpha""")
+def q_v3_one(spark, sf_dir):
+    """The whole ridge grid by five-fold CV; the scaler is refitted per fold."""
+    folds = gram.gram_moments(mm.kfold(wide(spark, sf_dir), "rid", 5), ["quantity"], "price", group="fold")
+    rows = [(float(a), gram.cv_rmse(folds, "ridge", a)) for a in md.RIDGE_ALPHAS]
+    return round_doubles(spark.createDataFrame(rows, "alpha double, cv_rmse double"), 6)
+
+
+@register("R2_components_two_features", f"""{W},
+r AS (SELECT (1 + abs(corr(quantity, price))) / 2 AS first FROM wide)
+SELECT CASE WHEN first >= 0.6 THEN 1 ELSE 2 END AS k60, CASE WHEN first >= 0.9 THEN 1 ELSE 2 END AS k90,
+       CASE WHEN first >= 0.99 THEN 1 ELSE 2 END AS k99 FROM r""")
+def q_r2(spark, sf_dir):
+    _, _, ratios = fe.pca_fit(wide(spark, sf_dir), ["quantity", "price"])
+    vt = fe.variance_table(ratios, spark)
+    k60, k90, k99 = (fe.components_for(vt, t) for t in (0.6, 0.9, 0.99))
+    return spark.createDataFrame([(k60, k90, k99)], "k60 int, k90 int, k99 int")
+
+
 # ---------------------------------------------------------------- M9, M10
 def _imputer_frames(spark, sf_dir):
     """Numbers and two categories with holes, indicators and an exact split."""
