@@ -110,13 +110,14 @@ def top_k_levels(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def keep_levels(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
-    """Membership filter to the given levels (P9): left-semi join against a
-    frame that the caller bounds (top-k), hence broadcast."""
-    return df.join(F.broadcast(levels.select(column)), column, "left_semi")
+    """Membership filter to the given levels (P9): a left-semi join, broadcast only if
+    Spark finds the levels small enough."""
+    return df.join(levels.select(column), column, "left_semi")
 
 
 def keep_top_levels(df: DataFrame, column: str, k: int) -> DataFrame:
-    return keep_levels(df, column, top_k_levels(df, column, k))
+    """Rows of the k most frequent levels; k rows are broadcast."""
+    return df.join(F.broadcast(top_k_levels(df, column, k).select(column)), column, "left_semi")
 
 
 def n_levels(df: DataFrame, column: str, approx: bool = False) -> DataFrame:

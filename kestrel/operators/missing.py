@@ -181,11 +181,18 @@ def merge_rare_levels(fit: DataFrame, df: DataFrame, column: str, min_count: int
 
 
 # ---------------------------------------------------------------- M4 / M5 one-hot
+#: Levels that are made columns at most.
+MAX_LEVELS = 10_000
+
+
 def levels_of(df: DataFrame, column: str) -> list:
-    """Sorted distinct non-NULL levels (one small aggregate; the level count
-    bounds the number of output columns anyway)."""
-    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
-            .orderBy(column).collect()]
+    """Sorted distinct non-NULL levels; each becomes a column, so more than ``MAX_LEVELS``
+    are an error (``sparse_one_hot`` has no such bound, ``merge_rare_levels`` lowers it)."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
+             .orderBy(column).limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
+    return found
 
 
 def one_hot(df: DataFrame, column: str, levels=None, prefix: str | None = None,

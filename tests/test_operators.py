@@ -114,3 +114,20 @@ def test_spearman_is_pairwise(spark):
         ranks = both.rank()
         want = np.corrcoef(ranks.iloc[:, 0], ranks.iloc[:, -1])[0, 1]
         assert r["corr"] == pytest.approx(want, abs=1e-9)
+
+
+def test_levels_are_bounded(spark, monkeypatch):
+    from kestrel.operators import missing, stat_tests
+    df = spark.createDataFrame([(c, d) for c in "abcd" for d in "xy"], "c string, d string")
+    assert missing.levels_of(df, "c") == ["a", "b", "c", "d"]
+    monkeypatch.setattr(missing, "MAX_LEVELS", 3)
+    with pytest.raises(ValueError):
+        missing.levels_of(df, "c")
+    assert stat_tests.odds_ratio_2x2(df, "c", "d").first()[0] is None
+    assert stat_tests.odds_ratio_2x2(df.where("c in ('a', 'b')"), "c", "d").first()[0] == pytest.approx(1.0)
+
+
+def test_average_precision_without_positives(spark):
+    from kestrel.operators.models import average_precision
+    df = spark.createDataFrame([(0, 0.2), (0, 0.7)], "y int, score double")
+    assert average_precision(df, "y").first()[0] is None
