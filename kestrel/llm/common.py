@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +43,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a number for each row in column ``name``, written to the shared
-    folder and read from there.
+    """``docs`` with a number for each row in column ``name``, the same on every scan.
 
-    The number of a row follows from how the input is split, which Spark may do
-    otherwise on each scan (it looks at the cores of the moment); so rows that several
-    steps must find again are numbered in one scan, and the steps read what it wrote.
+    Spark's own row numbers follow from how the input is split, which may be otherwise
+    on each scan (it looks at the cores of the moment).  A row of Parquet files is numbered
+    by its file and its place in there; rows from anything else are numbered in one scan
+    that is written to the shared folder, and the steps read what it wrote.
     """
-    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    try:
+        at = docs.select("*", F.col("_metadata.file_path").alias("path__"), F.col("_metadata.row_index").alias("row__"))
+        paths = [r[0] for r in at.select("path__").distinct().orderBy("path__").collect()]  # a row a file
+    except AnalysisException:  # no files, or files without row places
+        return saved(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "path__ string, file__ long")
+    number = F.shiftleft(F.col("file__"), 40) + F.col("row__")  # 2^40 rows a file, 2^23 files
+    return at.join(F.broadcast(files), "path__").select(*docs.columns, number.alias(name))
 
 
 def by_slices(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],

@@ -140,13 +140,14 @@ def near_duplicates(docs: DataFrame, radius: int = MAX_BITS, shingle: int = SHIN
 def keep_one(docs: DataFrame, radius: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` per group, the one of smallest id, with all columns.
 
-    Rows are told apart by a number that is written with their fingerprint, so one of
-    several rows with one id stays; an empty table stays empty.
+    Rows are told apart by a number, so one of several rows with one id stays; an empty
+    table stays empty.
     """
-    place, print_ = free_name(docs, "place"), free_name(docs, "fingerprint")
-    docs = numbered(docs.withColumn(print_, fingerprint_column(shingle=shingle)), place)
-    rows = _grouped(docs.select("doc_id", F.col(place).alias("place"), F.col(print_).alias("fp")), radius)
+    place = free_name(docs, "place")
+    docs = numbered(docs, place)
+    rows = cut(docs.select("doc_id", F.col(place).alias("place"), fingerprint_column(shingle=shingle).alias("fp")))
+    rows = _grouped(rows, radius)
     winner = rows.groupBy("group").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "place")).alias("w"))
     winner = cut(winner.select(F.col("w.place").alias(place)))
-    return docs.join(winner, place, "left_semi").drop(place, print_)
+    return docs.join(winner, place, "left_semi").drop(place)
