@@ -85,3 +85,29 @@ def test_density_is_near_the_direct_sum(spark, monkeypatch, most):
     assert np.allclose([r["x"] for r in rows], grid)
     width = (x.max() - x.min()) / min(most, agg.KDE_BINS * (x.max() - x.min()) / h)
     assert np.abs(got - want).max() <= (1e-12 if most > 1000 else 0.05 * (width / h) ** 2 / h)
+
+
+def test_spearman_ranks_each_pair_on_its_own_rows_and_counts_once(spark, monkeypatch):
+    """Holes, ties and a column without a pair; joined by broadcast and by key alike; the
+    values are counted in one pass, not for every pair of columns."""
+    import numpy as np
+    import pandas as pd
+    from kestrel.operators import aggregates as agg
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"a": rng.integers(0, 9, 400), "b": rng.normal(size=400), "c": rng.integers(0, 3, 400), "d": np.nan}).astype(float)
+    x["b"] += x["a"]
+    for k, c in enumerate("abc"):
+        x.loc[rng.random(400) < 0.1 * k, c] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x.to_numpy()]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    asked, ranked = [], agg.ranked_histogram
+    monkeypatch.setattr(agg, "ranked_histogram", lambda *a, **k: asked.append(1) or ranked(*a, **k))
+    for limit in (agg.BROADCAST_VALUES, 0):
+        monkeypatch.setattr(agg, "BROADCAST_VALUES", limit)
+        got = {(r["a"], r["b"]): r["corr"] for r in agg._ranked_pairs(df, list("abcd"), [(i, j) for i in range(4) for j in range(4)])
+               .selectExpr("element_at(array('a','b','c','d'), i + 1) a", "element_at(array('a','b','c','d'), j + 1) b", "corr").collect()}
+        assert len(got) == 16
+        want = x.corr("spearman")
+        for (i, j), v in got.items():
+            assert (v is None and "d" in (i, j)) or abs(v - want.loc[i, j]) < 1e-12
+    assert not asked
