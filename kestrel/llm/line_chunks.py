@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import WORD, by_slices, cut, free_name, numbered, saved, texts_of
 
 WINDOW, MAX_LINES = 2, 8
-#: Rounds in which models are settled; chunks still open then are not cut.
+#: Rounds of settling models after which the lists of what is settled are written anew.
 ROUNDS = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _has_word = re.compile(WORD).search
@@ -103,6 +103,17 @@ def _touching(spans: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
     return each.join(lines, ["place", "at"], "left_semi").select(*key).distinct()
 
 
+def _first_waiting(chosen: DataFrame, pending: DataFrame) -> DataFrame:
+    """The models ``chosen(h, place, line, lines)`` that come, by place and line, before the
+    model of every repetition in ``pending`` that touches them."""
+    at = F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)).alias("at")
+    order = F.struct(F.col("first_place").alias("place"), F.col("first_line").alias("line"), "h").alias("theirs")
+    mine = chosen.select("h", F.struct("place", "line", "h").alias("own"), "place", at)
+    theirs = pending.select(order, "place", at)
+    late = mine.join(theirs, ["place", "at"]).where("theirs < own").select("h").distinct()
+    return chosen.join(late, "h", "left_anti")
+
+
 def settled_cuts(table: DataFrame) -> DataFrame:
     """``place, line, lines, first_place, first_line`` of the chunks to cut, each with a model
     that no cut touches."""
@@ -115,7 +126,9 @@ def settled_cuts(table: DataFrame) -> DataFrame:
     # an occurrence can be a model until a cut touches it
     linked = saved(table.join(models(table).where("n > 1").select("h", *first), "h").withColumn("whole", F.lit(True)), "chunks")
     cuts, held, place = linked.select(*columns).where(F.lit(False)), None, ["h", "place", "line"]
-    for _ in range(ROUNDS):
+    turn = 0
+    while not linked.isEmpty():
+        turn += 1
         # a repetition that overlaps its own model, as in a run of equal lines, is left
         apart = (F.col("place") != F.col("first_place")) | (F.abs(F.col("line") - F.col("first_line")) >= F.col("lines"))
         pending = linked.where(apart)
@@ -124,17 +137,21 @@ def settled_cuts(table: DataFrame) -> DataFrame:
         chosen = linked.select("h", F.col("first_place").alias("place"), F.col("first_line").alias("line"), "lines").distinct()
         touched = cut(_touching(chosen, _lines_of(pending), ["h"]))
         ready = cut(pending.join(touched, "h", "left_anti").select(*columns))
-        if ready.isEmpty():
-            break
+        settled = chosen.join(touched, "h", "left_anti")
+        stuck = settled.isEmpty()  # each model waits for another: the first of those in each other's way stay
+        if stuck:
+            settled = cut(_first_waiting(chosen, pending))
         cuts = cuts.unionByName(ready)
-        relied = _lines_of(chosen.join(touched, "h", "left_anti"))
+        relied = _lines_of(settled)
         held = relied if held is None else held.unionByName(relied)
+        if turn % ROUNDS == 0:
+            cuts, held = cut(cuts), cut(held)
+        if stuck:
+            continue
         rest = linked.join(touched, "h", "left_semi").drop("first_place", "first_line")
         broken = _touching(rest.where("whole").select(*place, "lines"), _lines_of(ready), place).withColumn("b", F.lit(True))
         rest = cut(rest.join(broken, place, "left").withColumn("whole", F.col("whole") & F.col("b").isNull()).drop("b"))
         linked = cut(rest.join(models(rest.where("whole")).select("h", *first), "h"))
-        if linked.isEmpty():
-            break
     return cuts
 
 

@@ -191,3 +191,31 @@ def test_nn_descent_audit_and_empty(spark):
     units = nn_descent.unit_vectors(df)
     none = spark.createDataFrame([], "place long, n long")
     assert nn_descent.audit(units, none) == 0.0
+
+
+def test_op7_settles_long_chains_of_models(spark):
+    """A chunk's copy overlaps the model of the next chunk, 12 times over: every chunk is
+    settled, and no cut touches a model that another cut relies on."""
+    from kestrel.llm.line_chunks import settled_cuts
+    n, rows = 12, []
+    for i in range(n):  # seen at the start of text 2i and twice inside text 2i + 2
+        rows += [(2 * i, 2 * i, 0, 2, i), (2 * i + 2, 2 * i + 2, 1, 2, i), (2 * i + 1, 2 * i + 1, 0, 2, i)]
+    table = spark.createDataFrame(rows, "place long, doc_id long, line int, lines int, h long")
+    cuts = settled_cuts(table).collect()
+    gone = {(r["place"], k) for r in cuts for k in range(r["line"], r["line"] + r["lines"])}
+    kept = {(r["first_place"], k) for r in cuts for k in range(r["first_line"], r["first_line"] + r["lines"])}
+    assert not gone & kept
+    found = {(p, line): h for p, _, line, _, h in rows}
+    assert {found[r["place"], r["line"]] for r in cuts} == set(range(n))
+    for place, _, line, lines, h in rows:  # what stays is a model, or holds a line of one
+        own = {(place, k) for k in range(line, line + lines)}
+        assert own <= gone or own & kept
+    assert settled_cuts(table.where("h < 0")).isEmpty()
+
+
+def test_op7_settles_models_that_wait_for_each_other(spark):
+    from kestrel.llm.line_chunks import _first_waiting
+    chosen = spark.createDataFrame([(1, 5, 0, 2), (2, 6, 0, 2)], "h long, place long, line int, lines int")
+    pending = spark.createDataFrame([(1, 6, 1, 2, 5, 0), (2, 5, 1, 2, 6, 0)],
+                                    "h long, place long, line int, lines int, first_place long, first_line int")
+    assert [r["h"] for r in _first_waiting(chosen, pending).collect()] == [1]
