@@ -9,6 +9,7 @@ import pytest
 
 from kestrel.functions import distributions as d
 from kestrel.operators import aggregates as agg
+from kestrel.operators import features
 
 
 @pytest.mark.parametrize("limit", [0, 100_000])
@@ -111,3 +112,17 @@ def test_spearman_ranks_each_pair_on_its_own_rows_and_counts_once(spark, monkeyp
         for (i, j), v in got.items():
             assert (v is None and "d" in (i, j)) or abs(v - want.loc[i, j]) < 1e-12
     assert not asked
+
+
+def test_information_without_a_join(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 30, 500), rng.normal(size=500).round(1), rng.normal(size=500)])
+    x[:, 2] += x[:, 0] / 10
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, 1.0), (1.0, float("nan"), 1.0)], "a double, b double, y double")
+    out = features.mutual_information(df, ["a", "b"], "y", bins=5)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    bins = [(x[:, i, None] > np.unique(np.quantile(x[:, i], [0.2, 0.4, 0.6, 0.8]))).sum(1) for i in range(3)]
+    for r in out.collect():
+        t = pd.crosstab(bins["ab".index(r["feature"])], bins[2]).to_numpy() / 500
+        e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True)
+        assert r["mutual_info"] == pytest.approx((t[t > 0] * np.log(t[t > 0] / e[t > 0])).sum())
