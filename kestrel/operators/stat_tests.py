@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions import distributions as dist
-from kestrel.operators.aggregates import pearson, rank_columns, to_long
+from kestrel.operators.aggregates import _ranked_pairs, pearson, rank_columns, to_long
 from kestrel.operators.missing import subsample
-from kestrel.operators.ranking import (exact_median, null_safe_join, ranked_histogram,
+from kestrel.operators.ranking import (assign_buckets, exact_median, exact_quantiles, null_safe_join, ranked_histogram,
                                        value_histogram)
 
 
@@ -84,15 +84,51 @@ def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
     return r.withColumn("p_value", dist.corr_p_udf("corr", F.col("n").cast("double")))
 
 
-def rank_long(df: DataFrame, columns, target: str, row_id: str) -> DataFrame:
-    """Long (row_id, column, x, y, rx, ry): average ranks of each feature and
-    of the target over that feature's complete rows, for every column at once."""
-    long = (to_long(df.select(row_id, target, *columns), columns, id_cols=[row_id, target])
-            .withColumnRenamed("value", "x").withColumn("y", F.col(target).cast("double"))
-            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    rx = ranked_histogram(long, "x", by="column").select("column", "x", F.col("rank").alias("rx"))
-    ry = ranked_histogram(long, "y", by="column").select("column", "y", F.col("rank").alias("ry"))
-    return long.join(rx, ["column", "x"]).join(ry, ["column", "y"])
+def _rank_correlations(df: DataFrame, y: str, columns) -> list[float | None]:
+    """Spearman's rho of ``y`` and each of ``columns``, all without NULLs.
+
+    The columns' ranks are added up by value of ``y`` (one combining aggregate), and ``y``
+    is ranked among its values, so the rows are not sorted or joined for its ranks.
+    """
+    middle = (df.count() + 1) / 2.0  # the mean of the ranks
+    ranks = rank_columns(df, columns, row_id=y)
+    own = [F.col(c) - middle for c in columns]
+    h = ranks.groupBy(y).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(r).alias(f"s{i}") for i, r in enumerate(own)],
+                             *[F.sum(r * r).alias(f"q{i}") for i, r in enumerate(own)]).checkpoint()
+    h = assign_buckets(h, y, h)
+    inside = Window.partitionBy("_b").orderBy(y).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    starts = h.groupBy("_b").agg(F.sum("n").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(lower), F.lit(0.0)).alias("_start"))
+    h = h.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0.0))).join(F.broadcast(starts), "_b")
+    theirs = F.col("_start") + F.col("_before") + (F.col("n") + 1) / 2.0 - middle
+    row = h.agg(F.sum(F.col("n") * theirs * theirs).alias("y"), *[x for i in range(len(columns)) for x in (
+        F.sum(F.col(f"s{i}") * theirs).alias(f"s{i}"), F.sum(f"q{i}").alias(f"q{i}"))]).first()
+    return [row[f"s{i}"] / math.sqrt(row[f"q{i}"] * row["y"]) if row["y"] and row[f"q{i}"] else None for i in range(len(columns))]
+
+
+def target_spearman(df: DataFrame, target: str, columns) -> DataFrame:
+    """``column, spearman, pearson, n``: the correlations of each column with the target over
+    the rows where both have a value; a column without such rows is left out.
+
+    The target and the columns without NULLs are ranked once; where one of a pair has
+    NULLs, the pair is ranked on its own rows.
+    """
+    cols = list(dict.fromkeys(columns))
+    names, y = [f"x{i}" for i in range(len(cols))], f"x{len(cols)}"
+    d = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip([*cols, target], [*names, y])])
+    both = {c: F.col(c).isNotNull() & F.col(y).isNotNull() for c in names}
+    row = d.agg(F.count_if(F.col(y).isNull()).alias("_y"), *[x for c in names for x in (
+        F.count_if(F.col(c).isNull()).alias(f"_h{c}"), F.count_if(both[c]).alias(f"_n{c}"), pearson(c, y).alias(f"_p{c}"))]).first()
+    whole = [c for c in names if not row["_y"] and not row[f"_h{c}"]]
+    holed = [i for i, c in enumerate(names) if c not in whole]
+    rho = {}
+    if whole:
+        rho = dict(zip(whole, _rank_correlations(d, y, whole)))
+    if holed:
+        pairs = [p for i in holed for p in ((i, len(cols)), (len(cols), i))]
+        rho |= {names[r["i"]]: r["corr"] for r in _ranked_pairs(d, [*names, y], pairs).where(F.col("i") < F.col("j")).collect()}
+    rows = [(c, rho.get(n), row[f"_p{n}"], row[f"_n{n}"]) for c, n in zip(cols, names) if row[f"_n{n}"]]
+    return df.sparkSession.createDataFrame(rows, "column string, spearman double, pearson double, n long")
 
 
 def correlation_tests(df: DataFrame, target: str, columns, row_id: str, alpha: float = 0.05,
@@ -104,9 +140,7 @@ def correlation_tests(df: DataFrame, target: str, columns, row_id: str, alpha: f
     norm = shapiro_columns(df, [*cols, target], row_id, max_n)
     npv = {r["column"]: r["p_value"] for r in norm.collect()}  # one row per column
     ty = npv.get(target)
-    rl = rank_long(df, cols, target, row_id)
-    stats = rl.groupBy("column").agg(pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"),
-                                     F.count(F.lit(1)).alias("n"))
+    stats = target_spearman(df, target, cols)
     pear = {c for c in cols if npv.get(c) is not None and ty is not None and not math.isnan(npv[c])
             and not math.isnan(ty) and npv[c] > alpha and ty > alpha}
     use_p = F.col("column").isin(*pear) if pear else F.lit(False)
@@ -219,9 +253,9 @@ def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame,
     per-bucket offsets (as in the ranked histogram), and one aggregate gives,
     for every pair, U_1 = Σ_v n_1(v)·(N_2(<v) + n_2(v)/2) and the tie term
     Σ_v (t³ − t) with t = n_1(v) + n_2(v).  p uses the tie-corrected normal
-    approximation with continuity correction.
+    approximation with continuity correction.  The histogram may be passed as
+    ``hist(group, value, n)``; the rows are not read then.
     """
-    from kestrel.operators.ranking import assign_buckets
     lv = levels.orderBy("pos").collect()  # k rows
     names = [r[group] for r in lv]
     k = len(names)

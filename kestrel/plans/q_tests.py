@@ -98,9 +98,8 @@ def q_t4(spark, sf_dir):
 r AS (SELECT {', '.join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in WIDE_FEATURES + ['price'])} FROM wide)
 {' UNION ALL '.join(f"SELECT '{c}' AS feature, round(corr(r_{c}, r_price), 8) AS spearman FROM r" for c in WIDE_FEATURES)}""")
 def q_t4s(spark, sf_dir):
-    rl = st.rank_long(wide(spark, sf_dir), WIDE_FEATURES, "price", "rid")
-    out = rl.groupBy(F.col("column").alias("feature")).agg(F.corr("rx", "ry").alias("spearman"))
-    return round_doubles(out, 8)
+    out = st.target_spearman(wide(spark, sf_dir), "price", WIDE_FEATURES)
+    return round_doubles(out.select(F.col("column").alias("feature"), "spearman"), 8)
 
 
 # ---------------------------------------------------------------- T5-T7

@@ -9,7 +9,7 @@ import pytest
 
 from kestrel.functions import distributions as d
 from kestrel.operators import aggregates as agg
-from kestrel.operators import features
+from kestrel.operators import features, stat_tests
 
 
 @pytest.mark.parametrize("limit", [0, 100_000])
@@ -114,6 +114,26 @@ def test_spearman_ranks_each_pair_on_its_own_rows_and_counts_once(spark, monkeyp
     assert not asked
 
 
+def test_target_correlations_by_sums(spark, monkeypatch):
+    """Ties, NULLs in one column, a constant and a column without values, against pandas;
+    the target's ranks come without a join or a sort of rows."""
+    rng = np.random.default_rng(4)
+    x = pd.DataFrame({"a": rng.integers(0, 9, 700).astype(float), "b": rng.normal(size=700), "c": 2.0, "d": np.nan,
+                      "y": rng.integers(0, 200, 700).astype(float)})
+    x["b"] += x["y"] / 50
+    x.loc[rng.random(700) < 0.2, "b"] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x.to_numpy()],
+                               "a double, b double, c double, d double, y double")
+    monkeypatch.setattr(agg, "BROADCAST_VALUES", 50)  # fewer than the target has
+    monkeypatch.setattr(agg, "_rank_by_ranges", None)
+    got = {r["column"]: r for r in stat_tests.target_spearman(df, "y", ["a", "b", "c", "d"]).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"]["spearman"] is None
+    for c in "ab":
+        both = x[[c, "y"]].dropna()
+        assert got[c]["spearman"] == pytest.approx(both[c].rank().corr(both["y"].rank()))
+        assert got[c]["pearson"] == pytest.approx(both[c].corr(both["y"])) and got[c]["n"] == len(both)
+
+
 def test_information_without_a_join(spark):
     rng = np.random.default_rng(5)
     x = np.column_stack([rng.integers(0, 30, 500), rng.normal(size=500).round(1), rng.normal(size=500)])
