@@ -162,7 +162,12 @@ def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
 
 def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     """F, p, eta² (T6, T7) from per-group (n, mean, var) — one aggregate."""
-    g = group_moments(df, value, group).fillna({"var": 0.0})
+    return _anova_of(group_moments(df, value, group))
+
+
+def _anova_of(moments: DataFrame) -> DataFrame:
+    """:func:`one_way_anova` of ``moments(n, mean, var)``, a row for each group."""
+    g = moments.fillna({"var": 0.0})
     tot = g.agg(F.sum("n").alias("nn"), F.count(F.lit(1)).alias("k"),
                 (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")).collect()[0]  # one row
     nn, k, grand = tot["nn"] or 0, tot["k"], tot["grand"]
@@ -177,13 +182,26 @@ def one_way_anova(df: DataFrame, value: str, group: str) -> DataFrame:
     return out.withColumn("p_value", dist.f_sf_udf("F", "df_between", "df_within"))
 
 
-def levene_median(df: DataFrame, value: str, group: str) -> DataFrame:
+def levene_median(df: DataFrame, value: str, group: str, hist: DataFrame | None = None) -> DataFrame:
     """Brown-Forsythe Levene: ANOVA on |x - group median| (T5).  The median is
-    the exact distributed one; the join back is an equi-join on the group."""
-    d = df.where(F.col(value).isNotNull()).select(group, value)
-    med = exact_median(d, value, group, name="_med")
-    z = null_safe_join(d, med, [group]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
-    a = one_way_anova(z, "_z", group)
+    the exact distributed one; the join back is an equi-join on the group.  With
+    the value histogram ``hist(group, value, n)`` at hand the rows are not read."""
+    if hist is None:
+        d = df.where(F.col(value).isNotNull()).select(group, value)
+        med = exact_median(d, value, group, name="_med")
+        z = null_safe_join(d, med, [group]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
+        a = one_way_anova(z, "_z", group)
+    else:
+        rh = ranked_histogram(None, value, group, hist=hist)
+        med = exact_quantiles(None, value, [0.5], group, rh=rh).select(group, F.col("quantile").alias("_med"))
+        z = null_safe_join(hist, med.checkpoint(), [group]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
+        mean = F.sum(F.col("n") * F.col("_z")) / F.sum("n")
+        # the squares are taken from the mean, which needs a second pass over the histogram
+        z = null_safe_join(z, z.groupBy(group).agg(mean.alias("_mean")).checkpoint(), [group])
+        square = F.sum(F.col("n") * (F.col("_z") - F.col("_mean")) ** 2)
+        g = z.groupBy(group).agg(F.sum("n").alias("n"), F.first("_mean").alias("mean"),
+                                 F.try_divide(square, F.sum("n") - 1).alias("var"))
+        a = _anova_of(g.checkpoint())  # a row for each group
     return a.select(F.col("F").alias("W"), F.col("p_value"), "df_between", "df_within")
 
 
@@ -210,14 +228,17 @@ def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> Dat
 
 
 # ---------------------------------------------------------------- T8-T9 Kruskal-Wallis
-def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
+def kruskal_wallis(df: DataFrame, value: str, group: str, hist: DataFrame | None = None) -> DataFrame:
     """H with tie correction, chi²(k-1) p, epsilon².
 
     Ranks come from the global ranked histogram of the value; each group's
-    rank sum is Σ n_g(v)·rank(v) over the (group, value) histogram.
+    rank sum is Σ n_g(v)·rank(v) over the (group, value) histogram, which may be
+    passed as ``hist(group, value, n)``; the rows are not read then.
     """
-    d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
-    gh = value_histogram(d, value, group)
+    d = None
+    if hist is None:
+        d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
+    gh = value_histogram(d, value, group) if hist is None else hist.where(F.col(group).isNotNull())
     rh = ranked_histogram(d, value, hist=gh.groupBy(value).agg(F.sum("n").alias("n")))
     ties = rh.agg(F.sum(F.col("n") ** 3 - F.col("n")).alias("tie"), F.sum("n").alias("N"))
     rs = (gh.join(rh.select(value, "rank"), value)
@@ -244,7 +265,7 @@ def group_pairs(levels: DataFrame, group: str) -> DataFrame:
 
 
 def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame,
-                       buckets: int | None = None) -> DataFrame:
+                       buckets: int | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U for every pair of the given levels.
 
     ``levels`` (group, pos) is bounded (top-k).  The value histogram is
@@ -259,8 +280,8 @@ def mann_whitney_pairs(df: DataFrame, value: str, group: str, levels: DataFrame,
     lv = levels.orderBy("pos").collect()  # k rows
     names = [r[group] for r in lv]
     k = len(names)
-    d = df.where(F.col(value).isNotNull() & F.col(group).isin(*names)).select(group, value)
-    h = d.groupBy(value).pivot(group, names).agg(F.count(F.lit(1)))
+    d = (df if hist is None else hist).where(F.col(value).isNotNull() & F.col(group).isin(*names))
+    h = d.groupBy(value).pivot(group, names).agg(F.count(F.lit(1)) if hist is None else F.sum("n"))
     h = h.select(value, *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).cast("double").alias(f"n{i}")
                           for i, g in enumerate(names)])
     h = assign_buckets(h, value, d, buckets)
@@ -403,21 +424,23 @@ def compare_groups(df: DataFrame, value: str, group: str, row_id: str, alpha: fl
     frame is ``test, statistic, p_value, effect`` (eta or epsilon squared), the second
     ``test, group1, group2, statistic, p_adj, reject`` (mean difference or U).
     """
-    if assumptions_hold(shapiro_by_group(df, value, group, row_id), levene_median(df, value, group), alpha):
+    # one histogram serves the variance test, the rank test and the pairs
+    hist = value_histogram(df, value, group).checkpoint()
+    if assumptions_hold(shapiro_by_group(df, value, group, row_id), levene_median(df, value, group, hist), alpha):
         name, pairs_name = "anova", "tukey"
         whole = one_way_anova(df, value, group).select(F.col("F").alias("statistic"), "p_value", F.col("eta2").alias("effect"))
         pairs = tukey_hsd(df, value, group, alpha).select("group1", "group2", F.col("meandiff").alias("statistic"), "p_adj", "reject")
     else:
         name, pairs_name = "kruskal", "mann_whitney_holm"
-        whole = kruskal_wallis(df, value, group).select(F.col("H").alias("statistic"), "p_value", F.col("epsilon2").alias("effect"))
-        names = (df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-                 .groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group))
+        whole = kruskal_wallis(df, value, group, hist).select(F.col("H").alias("statistic"), "p_value", F.col("epsilon2").alias("effect"))
+        names = (hist.where(F.col(group).isNotNull())
+                 .groupBy(group).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), group))
         levels = names.limit(MAX_GROUPS + 1).collect()
         if len(levels) > MAX_GROUPS:
             raise ValueError(f"pairwise tests take at most {MAX_GROUPS} groups")
         kind = df.schema[group].dataType.simpleString()
         levels = df.sparkSession.createDataFrame([(r[group], i) for i, r in enumerate(levels)], f"`{group}` {kind}, pos int")
-        found = holm_adjust(mann_whitney_pairs(df, value, group, levels), order_tiebreak="group_1")
+        found = holm_adjust(mann_whitney_pairs(df, value, group, levels, hist=hist), order_tiebreak="group_1")
         pairs = found.select(F.col("group_1").alias("group1"), F.col("group_2").alias("group2"),
                              F.col("U_stat").alias("statistic"), F.col("p_value_holm").alias("p_adj"),
                              (F.col("p_value_holm") < alpha).alias("reject"))

@@ -146,3 +146,20 @@ def test_information_without_a_join(spark):
         t = pd.crosstab(bins["ab".index(r["feature"])], bins[2]).to_numpy() / 500
         e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True)
         assert r["mutual_info"] == pytest.approx((t[t > 0] * np.log(t[t > 0] / e[t > 0])).sum())
+
+
+def test_group_decision_takes_one_histogram(spark, monkeypatch):
+    calls, real = [], stat_tests.value_histogram
+    monkeypatch.setattr(stat_tests, "value_histogram", lambda *a: calls.append(a) or real(*a))
+    rng = np.random.default_rng(6)
+    rows = [(i, g, float(v)) for i, (g, v) in enumerate(zip(["a", "b", None] * 60, rng.exponential(size=180).round(1)))]
+    df = spark.createDataFrame(rows + [(999, "a", None)], "id long, g string, v double")
+    whole, pairs = stat_tests.compare_groups(df, "v", "g", "id")
+    test, post = whole.first(), pairs.first()
+    assert len(calls) == 1 and test["test"] == "kruskal"
+    monkeypatch.undo()
+    assert test["statistic"] == pytest.approx(stat_tests.kruskal_wallis(df, "v", "g").first()["H"])
+    levels = spark.createDataFrame([("a", 0), ("b", 1)], "g string, pos int")
+    assert post["statistic"] == stat_tests.mann_whitney_pairs(df, "v", "g", levels).first()["U_stat"]
+    hist = real(df, "v", "g")
+    assert stat_tests.levene_median(df, "v", "g", hist).first()["W"] == pytest.approx(stat_tests.levene_median(df, "v", "g").first()["W"])
