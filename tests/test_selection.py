@@ -113,3 +113,18 @@ def test_iterative_impute_recovers_linear_relation(spark):
     for i, a, b in rows:
         assert out[i]["a"] == a
         assert out[i]["b"] == pytest.approx(3.0 * a + 2.0, abs=1e-6)
+
+
+def test_subsample_ranks_few_rows(spark, monkeypatch):
+    """The rows that are ranked are those of low hash; repeated ids, whose hashes are no
+    longer spread, get the whole way.  Both equal a plain sort."""
+    ranked, real = [], missing.smallest_k_cutoff
+    monkeypatch.setattr(missing, "smallest_k_cutoff", lambda d, *a, **k: ranked.append(d.count()) or real(d, *a, **k))
+    spread = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(6000)], "id long, g string")
+    got = {(r["g"], r["id"]) for r in missing.subsample(spread, "id", 20, by="g").collect()}
+    h = sorted((_h(411, "sample", i), i) for i in range(6000))
+    want = {("a" if multiple else None, i) for multiple in (0, 1) for _, i in [x for x in h if bool(x[1] % 3) == bool(multiple)][:20]}
+    assert got == want and ranked[0] < 1000
+    high = h[-1][1]
+    same = spark.createDataFrame([(high, "a")] * 3000, "id long, g string")
+    assert missing.subsample(same, "id", 20, by="g").count() >= 20 and ranked[1] == 3000
