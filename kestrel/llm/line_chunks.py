@@ -137,12 +137,11 @@ def settled_cuts(table: DataFrame) -> DataFrame:
         chosen = linked.select("h", F.col("first_place").alias("place"), F.col("first_line").alias("line"), "lines").distinct()
         touched = cut(_touching(chosen, _lines_of(pending), ["h"]))
         ready = cut(pending.join(touched, "h", "left_anti").select(*columns))
-        settled = chosen.join(touched, "h", "left_anti")
-        stuck = settled.isEmpty()  # each model waits for another: the first of those in each other's way stay
+        relied = cut(_lines_of(chosen.join(touched, "h", "left_anti")))  # later rounds read it again
+        stuck = relied.isEmpty()  # each model waits for another: the first of those in each other's way stay
         if stuck:
-            settled = cut(_first_waiting(chosen, pending))
+            relied = cut(_lines_of(_first_waiting(chosen, pending)))
         cuts = cuts.unionByName(ready)
-        relied = _lines_of(settled)
         held = relied if held is None else held.unionByName(relied)
         if turn % ROUNDS == 0:
             cuts, held = cut(cuts), cut(held)

@@ -213,6 +213,23 @@ def test_op7_settles_long_chains_of_models(spark):
     assert settled_cuts(table.where("h < 0")).isEmpty()
 
 
+def test_op7_reads_the_lines_of_settled_models_as_written(spark, monkeypatch):
+    """What a round holds back is not joined anew in each of the rounds after it."""
+    from kestrel.llm import line_chunks
+    touching, plans = line_chunks._touching, []
+
+    def watched(spans, lines, key):
+        plans.append(lines._jdf.queryExecution().optimizedPlan().toString())
+        return touching(spans, lines, key)
+    monkeypatch.setattr(line_chunks, "_touching", watched)
+    rows = []
+    for i in range(4):
+        rows += [(2 * i, 2 * i, 0, 2, i), (2 * i + 2, 2 * i + 2, 1, 2, i), (2 * i + 1, 2 * i + 1, 0, 2, i)]
+    table = spark.createDataFrame(rows, "place long, doc_id long, line int, lines int, h long")
+    assert line_chunks.settled_cuts(table).count() == 8
+    assert len(plans) > 6 and not any("Join" in p for p in plans)
+
+
 def test_op7_settles_models_that_wait_for_each_other(spark):
     from kestrel.llm.line_chunks import _first_waiting
     chosen = spark.createDataFrame([(1, 5, 0, 2), (2, 6, 0, 2)], "h long, place long, line int, lines int")
