@@ -84,10 +84,11 @@ def detect_numeric(df: DataFrame, na_values=("", "NA")) -> DataFrame:
     return row.select(F.explode(F.array(*pairs)).alias("s")).select("s.column", "s.is_numeric")
 
 
-def write_csv(df: DataFrame, path: str, na_rep: str = "NA", mode: str = "overwrite") -> str:
-    """CSV with a header; NULL written as ``na_rep``."""
+def write_csv(df: DataFrame, path: str, na_rep: str = "NA", mode: str = "overwrite", compression: str = "none") -> str:
+    """CSV with a header; NULL written as ``na_rep`` (S6, S7).  The readers open compressed
+    files as they are; a file under gzip is one split."""
     (df.write.mode(mode).option("header", True).options(**QUOTING)
-     .option("nullValue", na_rep).option("emptyValue", "").csv(path))
+     .option("nullValue", na_rep).option("emptyValue", "").option("compression", compression).csv(path))
     return path
 
 

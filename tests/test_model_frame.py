@@ -1,6 +1,7 @@
 """The model frame's passes: what is fitted comes before the folds, rows are written once."""
 
 import datetime
+import os
 
 from kestrel.operators import missing as mm
 from kestrel.plans import q_models
@@ -41,3 +42,17 @@ def test_medians_come_from_counts(spark, monkeypatch):
     monkeypatch.setattr(mm, "exact_quantiles", lambda rows, *a, **k: seen.append(rows) or old(rows, *a, **k))
     fills = mm.fit_simple_imputer(df, ["a", "b", "c"])
     assert fills == {"a": 3.0, "b": 5.0} and seen == [None]
+
+
+def test_pca_export_is_compressed_csv_and_reads_back_exactly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_models, "scratch_dir", lambda spark, name="": str(tmp_path / name))
+    rows = [(i, i / 3, ((i * 37) % 101) / 7, ((i * 53) % 97) / 11, float(i), i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "rid long, a double, b double, c double, price double, fold int")
+    train, test = df.where("rid % 5 > 0"), df.where("rid % 5 = 0")
+    plain_train, plain_test, names, _ = q_models.pca_variant(train, test, ["a", "b", "c"], "price")
+    tr, te, pcs, _ = q_models.export_pca(spark, train, test, ["a", "b", "c"], "price", "pca")
+    assert pcs == names
+    for part, back, plain in (("train", tr, plain_train), ("test", te, plain_test)):
+        files = [f for f in os.listdir(tmp_path / "pca" / f"{part}.csv") if f.startswith("part-")]
+        assert files and all(f.endswith(".csv.gz") for f in files)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, plain.collect()))
