@@ -99,6 +99,24 @@ def test_smote_balances_exactly_between_neighbours(spark, monkeypatch):
     assert neighbors.smote(df, ["a", "b"], "y", "rid", minority=0).count() == 51
 
 
+def test_minority_is_compared_once_for_all_folds(spark, monkeypatch):
+    """The new rows of each fold are those that SMOTE makes of the rows outside it alone."""
+    from kestrel.operators import comparison
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(60, 3)), 1)  # some ties
+    rows = [(i, *map(float, v), int(i % 4 == 0), i % 3) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "rid long, a double, b double, c double, y int, fold int")
+    calls, real = [], neighbors._in_block_pairs
+    monkeypatch.setattr(neighbors, "_in_block_pairs", lambda *a: calls.append(1) or real(*a))
+    places = {0: 1, 1: 2, 2: 3, -1: 4}
+    made = comparison._oversampled(df, ["a", "c"], "y", "rid", list(places), places, ["a", "b", "c"], 42)
+    got = {s: sorted(tuple(r["x"]) for m in made for r in m.where(F.col("s") == s).collect()) for s in places.values()}
+    assert len(calls) == 1
+    for fold, place in places.items():
+        alone = neighbors.smote(df.where(F.col("fold") != fold), ["a", "c"], "y", "rid").where("rid < 0")
+        assert got[place] == sorted((r["a"], 0.0, r["c"]) for r in alone.collect()) and got[place]
+
+
 def test_iterative_impute_recovers_linear_relation(spark):
     from kestrel.operators.imputation import iterative_impute
     rows = []
