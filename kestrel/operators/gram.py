@@ -13,10 +13,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass
@@ -63,46 +63,55 @@ class Moments:
 
 
 def gram_moments(df: DataFrame, features, label: str, group: str | None = None,
-                 shift: bool = True) -> dict:
+                 shift: bool = True, centre=None) -> dict:
     """Moments per value of ``group`` (one entry ``None`` without a group).
 
     Rows with a NULL in a feature or the label are skipped (the reference
     drops them before fitting).  ``shift`` subtracts approximate means first
-    so that the centring later does not cancel digits.
+    so that the centring later does not cancel digits; ``centre`` (features, label)
+    gives them where they are known, which saves a pass.
     """
     feats = list(features)
     p = len(feats)
     d = df.select(*([F.col(group).alias("_g")] if group else [F.lit(0).alias("_g")]),
                   *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(feats)],
-                  F.col(label).cast("double").alias("y")).na.drop("any")
-    if shift:
-        row = d.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)], F.avg("y").alias("y")).collect()[0]
+                  F.col(label).cast("double").alias("y")).where(F.col("_g").isNotNull())
+    if centre is not None:
+        cx, cy = np.asarray(centre[0], float), float(centre[1])
+    elif shift:
+        whole = d.na.drop("any")
+        row = whole.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)], F.avg("y").alias("y")).collect()[0]
         cx = np.array([row[f"x{i}"] or 0.0 for i in range(p)])
         cy = row["y"] or 0.0
     else:
         cx, cy = np.zeros(p), 0.0
     m = p + 2
     iu, ju = np.triu_indices(m)
-    xcols = [f"x{i}" for i in range(p)]
+    about = np.concatenate(([0.0], cx, [cy]))
 
     def partial(batches):
-        acc = {}
-        for pdf in batches:
-            if len(pdf) == 0:
+        acc, kind = {}, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for g, sub in pdf.groupby("_g", sort=False):
-                z = np.empty((len(sub), m))
-                z[:, 0] = 1.0
-                z[:, 1:p + 1] = sub[xcols].to_numpy(dtype=float) - cx
-                z[:, p + 1] = sub["y"].to_numpy(dtype=float) - cy
-                zz = z.T @ z
-                acc[g] = acc[g] + zz if g in acc else zz
+            z = np.ones((batch.num_rows, m))
+            for i in range(1, m):
+                z[:, i] = batch.column(i).to_numpy(zero_copy_only=False)  # NULL becomes NaN
+            z -= about
+            full, kind = ~np.isnan(z).any(1), batch.column(0).type  # skipped here: a filter would work out every column twice
+            codes = pc.dictionary_encode(batch.column(0))
+            at = codes.indices.to_numpy()
+            for i, g in enumerate(codes.dictionary.to_pylist()):
+                own = z[full & (at == i)]
+                if len(own) and g == g:
+                    zz = own.T @ own
+                    acc[g] = acc[g] + zz if g in acc else zz
         for g, zz in acc.items():
-            yield pd.DataFrame({"_g": g, "i": iu.astype(np.int32), "j": ju.astype(np.int32), "v": zz[iu, ju]})
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(iu), kind), pa.array(iu.astype(np.int32)), pa.array(ju.astype(np.int32)),
+                                              pa.array(zz[iu, ju])], names=["_g", "i", "j", "v"])
 
-    schema = T.StructType([T.StructField("_g", d.schema["_g"].dataType), T.StructField("i", T.IntegerType()),
-                           T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())])
-    sums = d.mapInPandas(partial, schema).groupBy("_g", "i", "j").agg(F.sum("v").alias("v"))
+    schema = f"_g {d.schema['_g'].dataType.simpleString()}, i int, j int, v double"
+    sums = d.mapInArrow(partial, schema).groupBy("_g", "i", "j").agg(F.sum("v").alias("v"))
     out = {}
     for g, grp in sums.toPandas().groupby("_g"):  # groups x (p+2)(p+3)/2 numbers
         zz = np.zeros((m, m))

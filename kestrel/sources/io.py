@@ -9,6 +9,7 @@ Parquet is the default table format (column pruning and filter pushdown).
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=EXP
              columns=None, multi_line: bool = True) -> DataFrame:
     """Typed CSV read (S1, S2): text read, NA tokens -> NULL, ``try_cast`` to
     the schema, NaN -> NULL.  ``na_values=PANDAS_NA_VALUES`` gives S2."""
-    raw = null_na_tokens(read_csv_text(spark, path, columns, multi_line), na_values)
+    raw = read_csv_text(spark, path, columns, multi_line)
+    # a token that spells no number is NULL in a column of numbers without being looked for
+    numbers = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType) and f.name in raw.columns]
+    if others := [c for c in raw.columns if c not in numbers]:
+        raw = null_na_tokens(raw, na_values, others)
+    if numbers and (some := [t for t in na_values if re.search(r"[0-9]|inf", t.lower())]):
+        raw = null_na_tokens(raw, some, numbers)
     out = []
     for f in schema.fields:
         if columns and f.name not in columns:
@@ -59,10 +66,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=EXP
         if isinstance(f.dataType, T.StringType):
             out.append(F.col(f.name))
         else:
-            c = number_or_null(f.name, f.dataType) if isinstance(f.dataType, T.NumericType) else F.expr(
+            c = number_or_null(f.name, f.dataType, nan=False) if isinstance(f.dataType, T.NumericType) else F.expr(
                 f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-                c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
             out.append(c.alias(f.name))
     return raw.select(*out)
 
@@ -88,7 +93,8 @@ def write_csv(df: DataFrame, path: str, na_rep: str = "NA", mode: str = "overwri
     """CSV with a header; NULL written as ``na_rep`` (S6, S7).  The readers open compressed
     files as they are; a file under gzip is one split."""
     (df.write.mode(mode).option("header", True).options(**QUOTING)
-     .option("nullValue", na_rep).option("emptyValue", "").option("compression", compression).csv(path))
+     .option("nullValue", na_rep).option("emptyValue", "").option("compression", compression)
+     .option("zlib.compress.level", "BEST_SPEED").csv(path))  # numbers as text gain little from more
     return path
 
 

@@ -101,3 +101,53 @@ def test_logistic_newton_stationary(spark):
     b2 = coefs["bal"].coef
     mu2 = 1 / (1 + np.exp(-(A[keep] @ b2)))
     assert np.max(np.abs(b2 - 0.5 * A[keep].T @ (sw * (yv[keep] - mu2)))) < 1e-8
+
+
+def test_known_centre_saves_a_pass_and_rows_with_holes_are_skipped(spark):
+    rows = [(k % 3 if k % 11 else None, float(k), float(k * k % 17) if k % 7 else float("nan"), 2.0 * k if k % 5 else None) for k in range(90)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y double")
+    full = df.na.drop("any")
+    given = gram.gram_moments(df, ["a", "b"], "y", group="g", centre=([44.0, 8.0], 90.0))
+    assert {k: m.n for k, m in given.items()} == {r["g"]: r["count"] for r in full.groupBy("g").count().collect()}
+    for other in (gram.gram_moments(df, ["a", "b"], "y", group="g"), gram.gram_moments(full, ["a", "b"], "y", group="g", shift=False)):
+        for k, m in given.items():
+            for one, two in zip(m.centred(), other[k].centred()):
+                np.testing.assert_allclose(one, two, rtol=1e-9, atol=1e-7)
+    assert (given[0].shift_x == [44.0, 8.0]).all() and given[0].shift_y == 90.0
+    text = df.where("g IS NOT NULL").selectExpr("CAST(g AS STRING) AS g", "a", "b", "y")
+    assert set(gram.gram_moments(text, ["a", "b"], "y", group="g")) == {"0", "1", "2"}
+
+
+def test_regression_comparison_takes_three_passes_of_moments(spark, monkeypatch):
+    """Given features and the eliminated ones share one, each PCA table is read once for its own."""
+    from kestrel.plans import q_models
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 5))
+    names = q_models.WIDE_FEATURES
+    df = spark.createDataFrame([(i, "test" if i % 5 == 0 else "train", i % 4, float(v @ [1, 2, 0, 0, 3]) + 50, *map(float, v)) for i, v in enumerate(x)],
+                               "rid long, split string, fold int, price double, " + ", ".join(f"{c} double" for c in names))
+    calls, plain = [], gram.gram_moments
+    monkeypatch.setattr(gram, "gram_moments", lambda *a, **k: calls.append(k.get("centre")) or plain(*a, **k))
+    monkeypatch.setattr(q_models, "model_frame", lambda *_: (df, names, "price"))
+    monkeypatch.setattr(q_models, "RFE_COMPARED_K", 3)
+    rows, _ = q_models._regression_table.__wrapped__(spark, "/nowhere")
+    assert len(calls) == 3 and sum(c is not None for c in calls) == 2
+    found = {(r[0], r[1]): r for r in rows}
+    assert found["feature_selection_rfe_3", "ols"][4] == pytest.approx(found["all_features", "ols"][4], abs=1e-8) == 0
+    monkeypatch.setattr(gram, "gram_moments", plain)
+    suite = q_models.md.fit_regression_suite(df.where("split = 'train'"), ["quantity", "discount", "retailprice"], "price")
+    again = {m: (p, s) for m, p, s, _ in suite}
+    for model in ("ridge", "lasso", "elasticnet"):
+        row = found["feature_selection_rfe_3", model]
+        assert row[2] == q_models._params(again[model][0]) and row[3] == pytest.approx(again[model][1])
+
+
+def test_numbers_of_a_csv_are_parsed_once(spark, tmp_path):
+    from kestrel.sources import io
+    df = spark.createDataFrame([(1, 1.5, "a"), (2, None, "NA"), (3, float("nan"), None), (4, float("-inf"), "x")], "i int, v double, t string")
+    io.write_csv(df, f"{tmp_path}/t", compression="gzip")
+    back = io.read_csv(spark, f"{tmp_path}/t", df.schema, multi_line=False)
+    assert sorted(map(tuple, back.collect())) == [(1, 1.5, "a"), (2, None, None), (3, None, None), (4, float("-inf"), "x")]
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rlike") == 2
+    assert [r["v"] for r in io.read_csv(spark, f"{tmp_path}/t", df.schema, na_values=("1.5",)).orderBy("i").collect()] == [None, None, None, float("-inf")]
